@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes handled at once; a longer single text is handled alone.
@@ -53,12 +55,32 @@ def binary_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
 
 @dataclass
 class Words:
-    """Words of n texts: codes into `distinct`; text i has codes[at[i]:at[i + 1]]."""
+    """Words of n texts, end to end; text i has words[at[i]:at[i + 1]]."""
 
-    codes: np.ndarray
-    distinct: pa.Array
+    words: pa.Array
     at: np.ndarray
 
+    @cached_property
+    def coded(self) -> pa.DictionaryArray:
+        return self.words.dictionary_encode()
+
+    @property
+    def codes(self) -> np.ndarray:
+        """Of each word, its place in `distinct`."""
+        return np.asarray(self.coded.indices).astype(np.int64)
+
+    @property
+    def distinct(self) -> pa.Array:
+        return self.coded.dictionary
+
+    def places(self, vocabulary: pa.Array) -> np.ndarray:
+        """Of each word, its place in the vocabulary, or -1."""
+        return np.asarray(pc.index_in(self.words, value_set=vocabulary.cast(self.words.type)).fill_null(-1)).astype(np.int64)
+
+    def texts(self) -> np.ndarray:
+        """Of each word, its text."""
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         one = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in self.distinct.to_pylist()), np.uint64, len(self.distinct))
@@ -77,8 +99,7 @@ def split_words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray | None
     starts = np.flatnonzero(~gap & first[: len(raw)])
     ends = np.flatnonzero(~gap & last[: len(raw)]) + 1
     offsets = np.concatenate(([0], np.cumsum(ends - starts)))
-    coded = binary_array(raw[~gap], offsets).dictionary_encode()
-    return Words(np.asarray(coded.indices).astype(np.int64), coded.dictionary, np.searchsorted(starts, at))
+    return Words(binary_array(raw[~gap], offsets), np.searchsorted(starts, at))
 
 
 def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
