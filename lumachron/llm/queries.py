@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, piece_tokens, token_files
+from . import decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files
 from .shared import new_folder, table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,29 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
+OP5 = """
+with lines as (
+  select doc_id, coalesce(source, '') as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
+  from documents),
+wordy as (select *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') as wordy from lines),
+counted as (select site, line, count(distinct doc_id) as n from wordy where wordy group by 1, 2),
+total as (select coalesce(source, '') as site, count(*) as total from documents group by 1),
+frequent as (select site, line from counted join total using (site) where n >= 5 and n > total * 0.1),
+marked as (select w.*, w.wordy and f.line is not null as dropped from wordy w left join frequent f on w.site = f.site and w.line = f.line),
+joined as (select doc_id, coalesce(string_agg(line, chr(10) order by place) filter (where not dropped), '') as text, count(*) filter (where dropped) as n_dropped from marked group by 1)
+select d.doc_id, j.text, coalesce(j.n_dropped, 0) as n_dropped from documents d left join joined j using (doc_id)
+"""
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assigned(table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -40,10 +67,13 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_sharding": op7_sharding,
     "op9_token_files": op9_token_files,
     "op10_piece_tokens": op10_piece_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5}
