@@ -8,10 +8,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files
+from . import decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files, url_filter, warc
 from .shared import new_folder, table
 
 
+#: The url rules of the query.
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+#: A host with one of these as a label is listed, with all its paths.
+LISTED_LABELS = ["spam-farm", "casino", "adult"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is that of the corpus's host and path keys under listed labels; a key is judged by the cascade."""
+    pages = table(spark, sf_dir, "pages")
+    key = F.when(F.col("host") != "", F.concat("host", "path"))
+    host = url_filter.host_of(F.col("url"))
+    listed = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))).select(F.concat(host, url_filter.path_of(F.col("url"))).alias("key")).distinct()
+    return url_filter.judged_urls(pages, RULES, listed, key)
+
+
+OP1 = """
+with parts as (
+  select page_id,
+    case when position('://' in coalesce(url, '')) = 0 then '' else substr(url, position('://' in url) + 3) end as rest
+  from pages),
+split as (
+  select page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts),
+ruled as (
+  select *, case
+    when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+    when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+    when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/'
+    when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+    when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end as rule,
+    list_has_any(string_split(host, '.'), ['spam-farm', 'casino', 'adult']) as listed
+  from split)
+select page_id, host, path, rule,
+  case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' when listed then 'block' else 'allow' end as verdict,
+  case when host <> '' then host || path end as key, listed
+from ruled
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +81,12 @@ select d.doc_id, j.text, coalesce(j.n_dropped, 0) as n_dropped from documents d
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assigned(table(spark, sf_dir, "documents"), 24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -67,13 +111,15 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
     "op9_token_files": op9_token_files,
     "op10_piece_tokens": op10_piece_tokens,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op5_line_dedup": OP5}
