@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files, url_filter, warc
+from . import cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files, url_filter, warc
 from .shared import new_folder, table
 
 
@@ -92,6 +92,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
+    "op8_cotraining": op8_cotraining,
     "op9_token_files": op9_token_files,
     "op10_piece_tokens": op10_piece_tokens,
 }
