@@ -50,13 +50,14 @@ def repeated(windows: str, size: int) -> Column:
     return once(once(packed, places), words)
 
 
-def text_statistics(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id and the counts: words, code points in words, symbols, lines equal to an earlier line with a word, words in
-    repeated windows of `size` words; also upper-case letters, marks and distinct words. One narrow pass over whole texts."""
+def text_statistics(docs: DataFrame, *keep: str, size: int = 5) -> DataFrame:
+    """The columns to keep (in a struct `kept_columns`) and the counts: words, code points in words, symbols, lines equal to
+    an earlier line with a word, words in repeated windows of `size` words; also upper-case letters, marks and distinct
+    words. One narrow pass over whole texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select("doc_id", text.alias("text"))
+    lines = docs.select(F.struct(*keep).alias("kept_columns"), text.alias("text"))
     split = lines.select(
-        "doc_id",
+        "kept_columns",
         F.array_remove(F.split("text", BLANKS), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(WORDY)).alias("lines"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -66,7 +67,7 @@ def text_statistics(docs: DataFrame, size: int = 5) -> DataFrame:
     word = lambda i: F.get(F.col("words"), i)
     hashed = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.xxhash64(*[word(i + j) for j in range(size)]))
     counted = split.select(
-        "doc_id",
+        "kept_columns",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -125,15 +126,14 @@ def bin_of(name: str, thresholds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col(name)))
 
 
-def learn_rules(statistics: DataFrame, labels: DataFrame, least_precision: float = 0.95, least_rows: int = 8, most_labelled: int = MOST_LABELLED) -> list[list[Condition]]:
-    """Ordered rules for bad documents from labels (doc_id, quality; 0 is bad) and at most `most_labelled` documents, those
-    whose hashed ids are least."""
+def learn_rules(docs: DataFrame, labels: DataFrame, least_precision: float = 0.95, least_rows: int = 8, most_labelled: int = MOST_LABELLED) -> list[list[Condition]]:
+    """Ordered rules for bad documents from labels (doc_id, quality; 0 is bad) and at most `most_labelled` labelled
+    documents, those whose hashed ids are least."""
     bad = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") < 1).alias("bad"))
-    rows = statistics.join(bad, "doc_id").select("doc_id", "bad", *[c.alias(n) for n, c in rates().items()])
+    chosen = bad.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # bounded by the parameter
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = text_statistics(labelled, "doc_id", "bad").select("kept_columns.*", *[c.alias(n) for n, c in rates().items()])
     rows = written(rows, "labelled")
-    n = rows.count()
-    if n > most_labelled:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (most_labelled << 20) // n)
     names = list(rates())
     cuts = rows.agg(*[F.percentile_approx(x, [k / BINS for k in range(1, BINS)], 10_000).alias(x) for x in names]).first()
     # thresholds between neighbouring quantiles; extremes are cut off by the tails of the bad
@@ -194,10 +194,21 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return chain
 
 
-def judged(docs: DataFrame, labels: DataFrame, least_words: int = 10, most_repeats: int = 20) -> DataFrame:
-    """doc_id, the counts, base_failed (fewer than `least_words` words, or over `most_repeats` percent of them in repeated
-    windows), rule (the learned rule it meets) and kept (neither)."""
-    statistics = written(text_statistics(docs), "statistics")
+def judged(docs: DataFrame, labels: DataFrame, *keep: str, least_words: int = 10, most_repeats: int = 20) -> DataFrame:
+    """The columns to keep (doc_id if none is named), the counts, base_failed (fewer than `least_words` words, or over
+    `most_repeats` percent of them in repeated windows), rule (the learned rule it meets) and kept (neither). Once rules
+    are learned, a narrow pass over all documents. Columns to keep that are named like a count are not given twice: the
+    count stands."""
+    own = [c for c in keep or ("doc_id",) if c not in (*COUNTS, "base_failed", "rule", "kept")]
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    rules = learn_rules(statistics, labels)
-    return statistics.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+    rules = learn_rules(docs, labels)
+    found = text_statistics(docs, *own).withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return found.select("kept_columns.*", *COUNTS, "base_failed", "kept", "rule")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that no rule rejects, with the columns of docs whatever their names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    placed = plain.withColumns({"doc_id": F.col(names[docs.columns.index("doc_id")]), "text": F.col(names[docs.columns.index("text")])})
+    return judged(placed, labels, *names).where("kept").select(*names).toDF(*docs.columns)
