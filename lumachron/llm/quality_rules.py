@@ -211,4 +211,10 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = [f"c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
     placed = plain.withColumns({"doc_id": F.col(names[docs.columns.index("doc_id")]), "text": F.col(names[docs.columns.index("text")])})
-    return judged(placed, labels, *names).where("kept").select(*names).toDF(*docs.columns)
+    # a filter would be pushed below the projections and copy each statistic many times over; a generator stays above them
+    row = F.struct(*names)
+    return judged(placed, labels, *names).select(F.inline(F.when(F.col("kept"), F.array(row)).otherwise(F.array().cast(f"array<{row_type(plain)}>")))).toDF(*docs.columns)
+
+
+def row_type(df: DataFrame) -> str:
+    return df.schema.simpleString()
