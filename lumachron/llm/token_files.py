@@ -11,6 +11,7 @@ each other. Columns other than the id and the text are not stored. A null id com
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,38 +22,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .words import BLANKS, gather_ranges, slices, split_words
+from .words import BLANKS, LOWER, flat_text, gather_ranges, slices, split_words
 
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 400_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 FILE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
+#: A letter or digit beside a full stop, comma and the like: the tokenizer's pattern never joins them.
+PLAIN = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+STOPS = np.isin(np.arange(256), [ord(c) for c in ".,;!?"])
+CUTS = (PLAIN[:, None] & STOPS[None, :]) | (STOPS[:, None] & PLAIN[None, :])
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [i for i in range(256) if i not in shown]
+    return {i: chr(i) for i in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokens:
     """Ids by the tokenizers library. The tokenizer drops white space and tokenises what lies between on its own, so each
-    distinct run without ASCII blanks is encoded once."""
+    distinct run without ASCII blanks is encoded once; lower-case Latin letters go straight to the library's model, as all
+    that comes before it leaves them as they are."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.letters = self.library.model, byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def learn(self, words: list[bytes]) -> None:
+        ids: list[list[int]] = [[]] * len(words)
+        others, tokenize = [], self.model.tokenize
+        for k, word in enumerate(words):
+            text = word.decode()
+            if text.isalpha() and text.islower() and max(text) < "\u0180":
+                ids[k] = [t.id for t in tokenize(text if text.isascii() else word.decode("latin-1").translate(self.letters))]
+            else:
+                others.append((k, text))
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            for (k, _), x in zip(some, self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                ids[k] = x.ids
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.ids = np.append(self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum())))
+        self.sizes = np.append(self.sizes, sizes)
+
     def encode(self, texts: pa.Array, end: int | None) -> pa.ListArray:
-        words = split_words(texts, BLANKS, None)
+        special = b"<|" in flat_text(texts)[0].tobytes()  # a special token's case counts
+        words = split_words(texts, BLANKS, None if special else LOWER, CUTS)
         distinct = words.distinct.to_pylist()
         if len(self.known) + len(distinct) > REMEMBERED:
             self.forget()
         if new := [w for w in distinct if w not in self.known]:
-            ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.ids, self.sizes = np.append(self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))), np.append(self.sizes, sizes)
+            self.learn(new)
         word = np.array([self.known[w] for w in distinct], np.int64)[words.codes] if distinct else words.codes
         tokens = self.ids[gather_ranges(self.starts[word], self.sizes[word])]
         at = np.append(0, np.cumsum(self.sizes[word]))[words.at]

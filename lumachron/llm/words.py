@@ -87,8 +87,9 @@ class Words:
         return one[self.codes] if len(one) else np.zeros(0, np.uint64)
 
 
-def split_words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray | None = LOWER) -> Words:
-    """Words are the longest runs of bytes that are no separators; a word never crosses two texts."""
+def split_words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray | None = LOWER, cuts: np.ndarray | None = None) -> Words:
+    """Words are the longest runs of bytes that are no separators; a word never crosses two texts, nor two bytes that
+    `cuts` (256 x 256) marks."""
     raw, at = flat_text(texts)
     if fold is not None:
         raw = fold[raw]
@@ -96,6 +97,10 @@ def split_words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray | None
     first, last = np.ones(len(raw) + 1, bool), np.ones(len(raw) + 1, bool)
     first[1:], last[: len(raw)] = np.append(gap, True)[:-1][: len(raw)], np.append(gap[1:], True)[: len(raw)]
     first[at], last[at[1:] - 1] = True, True
+    if cuts is not None and len(raw) > 1:
+        between = cuts[raw[:-1], raw[1:]]
+        first[1 : len(raw)] |= between
+        last[: len(raw) - 1] |= between
     starts = np.flatnonzero(~gap & first[: len(raw)])
     ends = np.flatnonzero(~gap & last[: len(raw)]) + 1
     offsets = np.concatenate(([0], np.cumsum(ends - starts)))
