@@ -136,8 +136,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, least_precision: float = 0.9
     rows = written(rows, "labelled")
     names = list(rates())
     cuts = rows.agg(*[F.percentile_approx(x, [k / BINS for k in range(1, BINS)], 10_000).alias(x) for x in names]).first()
-    # thresholds between neighbouring quantiles; extremes are cut off by the tails of the bad
-    tails = rows.where("bad").agg(*[F.percentile_approx(x, [k / BINS for k in range(1, BINS)], 10_000).alias(x) for x in names]).first()
+    # thresholds are quantiles of all rows and of the bad, with their least and greatest
+    tails = rows.where("bad").agg(*[F.percentile_approx(x, [k / BINS for k in range(BINS + 1)], 10_000).alias(x) for x in names]).first()
     grid = {x: sorted(set(cuts[x] or []) | set(tails[x] or [])) for x in names}
     bins = [bin_of(x, grid[x]).alias(f"b_{x}") for x in names]
     binned = written(rows.select((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("apart"), "bad", *bins), "binned")
