@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ DENSE_BITS = 2048
 MOST_COMMON = 250_000
 #: A shingle is looked at as common if this many documents of one slice have it.
 COMMON_IN_SLICE = 6
+#: Pairs or ids (16 bytes at most) up to which they are broadcast.
+FEW = 1_000_000
+#: A group of more documents than LARGE is compared in blocks with LARGE_PIVOTS pivots a round.
+LARGE, LARGE_PIVOTS, BLOCK = 32, 128, 256
 #: Documents of one band: sizes from 4^k up to 4^(k + 1).
 BAND_BASE = 4
 
@@ -168,6 +173,18 @@ def with_sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, text string, n long, dense binary")
 
 
+def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with the columns of both documents, as columnA and columnB. Pairs are written; few of them are sent to
+    where the documents are, so that only the documents named in pairs move."""
+    few = pairs.count() <= FEW
+
+    def side(x: str) -> DataFrame:
+        own = sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x.upper()}") for c in columns])
+        return own.join(F.broadcast(pairs) if few else pairs, x)
+
+    return side("a").join(side("b").hint("merge"), ["a", "b"])
+
+
 def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of similar sizes whose dense sketches are no farther apart than their sizes allow."""
 
@@ -178,9 +195,8 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             most = (100 - percent) * np.asarray(batch.column(4)) // (100 + percent)
             yield batch.select([0, 1]).filter(pa.array(far <= most))
 
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("dense").alias(f"dense{x}")) for x in "ab")
-    sized = pairs.join(one, "a").join(two, "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    return sized.select("a", "b", "densea", "denseb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(refuse, "a long, b long")
+    sized = with_sides(pairs, sets, "n", "dense").where((F.col("nA") * 100 >= F.col("nB") * percent) & (F.col("nB") * 100 >= F.col("nA") * percent))
+    return sized.select("a", "b", "denseA", "denseB", (F.col("nA") + F.col("nB")).alias("n")).mapInArrow(refuse, "a long, b long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -189,7 +205,7 @@ def similar(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataF
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
         for batch in batches:
-            for part in slices(batch, "textb"):
+            for part in slices(batch, "textB"):
                 keep = []
                 for a, text, (y, _, _) in zip(part.column(0).to_pylist(), part.column(2), document_sets(part.column(3), size)):
                     if a != last:
@@ -198,8 +214,7 @@ def similar(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataF
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("text").alias(f"text{x}")) for x in "ab")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "texta", "textb").mapInArrow(verify, "a long, b long")
+    return with_sides(pairs, sets, "text").select("a", "b", "textA", "textB").mapInArrow(verify, "a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -237,29 +252,72 @@ def shared_cells(some: DataFrame, member: DataFrame) -> DataFrame:
     return rare.union(hot).join(member, "doc_id").select("cell", F.col("rep").alias("doc")).distinct()
 
 
+def distinct_groups(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cell, doc) rows of groups that need comparing. A group is a cell and two neighbouring bands of sizes, of which
+    only those can be similar; of groups with the same documents (near copies share many cells) one is kept."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    sized = held.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
+    rows = sized.select("cell", "doc", F.explode(F.array(band, band - 1)).alias("band")).select(F.xxhash64("cell", "band").alias("cell"), "doc")
+    sums = rows.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "doc")).alias("y")).where("n > 1")
+    kept = sums.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
+    return rows.join(kept, "cell")
+
+
+def near_pivots(rows: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of large groups: the documents of each group, in blocks, against the group's pivots of other classes.
+
+    A block's sketches are compared where they lie, so pairs that sizes or sketches refuse are never rows.
+    """
+
+    def compare(docs: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(docs) and len(pivots):
+            x, y = (np.frombuffer(b"".join(t["dense"]), np.uint64).reshape(-1, DENSE_BITS // 64) for t in (docs, pivots))
+            doc, c, n = (docs[k].to_numpy() for k in ("doc", "c", "n"))
+            for k, (pivot, of, m) in enumerate(zip(pivots["doc"].tolist(), pivots["c"].tolist(), pivots["n"].tolist())):
+                far = np.bitwise_count(x ^ y[k]).sum(1, dtype=np.int64)
+                near = (c != of) & (n * 100 >= m * percent) & (m * 100 >= n * percent) & (far <= (100 - percent) * (n + m) // (100 + percent))
+                found += [(min(pivot, d), max(pivot, d)) for d in doc[near].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def known() -> DataFrame:
+        return sets.select(F.col("doc_id").alias("doc"), F.col("n").alias("n"), F.col("dense").alias("dense"))
+
+    blocks = F.ceil(F.col("g") / BLOCK)
+    left = rows.withColumn("block", F.pmod(F.xxhash64("doc"), blocks)).join(known(), "doc").select("cell", "block", "doc", F.col("c").alias("c"), "n", "dense")
+    right = chosen.select("cell", "doc", "c", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")).join(known(), "doc").select(F.col("cell").alias("cell"), "block", F.col("doc").alias("doc"), F.col("c").alias("c"), "n", "dense")
+    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(compare, "a long, b long")
+
+
 def verified_links(held: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """doc, class of documents with links, after enough links are verified that classes are whole.
 
-    Round by round, each cell whose documents are of several classes takes pivots, from its smallest classes first, and
-    all its documents of other classes are compared with them; then the pivots leave the cell. When no cell has two
+    Round by round, each group whose documents are of several classes takes pivots, from its smallest classes first, and
+    all its documents of other classes are compared with them; then the pivots leave the group. When no group has two
     classes, every pair of documents that share a cell was compared or is of one class.
     """
-    spark, known, tested, pivots, held = held.sparkSession, None, None, 1, written(held, "cells")
+    spark, known, tested, pivots, held = held.sparkSession, None, None, 2, written(distinct_groups(held, sets, percent), "groups")
     while True:
         rows = held.withColumn("c", F.col("doc")) if known is None else held.join(known, "doc", "left").select("cell", "doc", F.coalesce("class", "doc").alias("c"))
-        mixed_cells = rows.groupBy("cell").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("cell")
-        rows = written(rows.join(mixed_cells, "cell"), "mixed")
+        groups = rows.groupBy("cell").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("g")).where("x < y").select("cell", "g")
+        rows = written(rows.join(groups, "cell"), "mixed")
         if rows.isEmpty():
             return known if known is not None else spark.createDataFrame([], "doc long, class long")
         crowd = rows.groupBy("cell", "c").agg(F.count("*").alias("size"))
         order = Window.partitionBy("cell").orderBy("size", F.xxhash64("doc"), "doc")
-        chosen = written(rows.join(crowd, ["cell", "c"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("cell", F.col("doc").alias("pivot"), F.col("c").alias("of")), "pivots")
-        pairs = rows.join(chosen, "cell").where("c <> of").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
+        many = 4 if known is None else LARGE_PIVOTS  # a few first, as most of a group of near copies soon is one class
+        ranked = rows.join(crowd, ["cell", "c"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LARGE_PIVOTS).where((F.col("g") <= LARGE) | (F.col("rank") <= many))
+        chosen = written(ranked.where((F.col("g") > LARGE) | (F.col("rank") <= pivots)).select("cell", "doc", "c", "g"), "pivots")
+        few = chosen.where(F.col("g") <= LARGE).select("cell", F.col("doc").alias("pivot"), F.col("c").alias("of"))
+        pairs = rows.where(F.col("g") <= LARGE).join(few, "cell").where("c <> of").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
+        near = near_enough(written(pairs, "pairs"), sets, percent)
+        if not chosen.where(F.col("g") > LARGE).isEmpty():
+            near = near.union(near_pivots(rows.where(F.col("g") > LARGE), chosen.where(F.col("g") > LARGE), sets, percent)).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = similar(near_enough(pairs, sets, percent), sets, size, percent)
+            near = near.join(tested, ["a", "b"], "left_anti")
+        near = written(near, "near")
+        tested = near if tested is None else tested.union(near)
+        links = similar(near, sets, size, percent)
         if known is not None:  # between classes
             to = known.select(F.col("doc").alias("a"), F.col("class").alias("ca")), known.select(F.col("doc").alias("b"), F.col("class").alias("cb"))
             links = links.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -269,8 +327,8 @@ def verified_links(held: DataFrame, sets: DataFrame, size: int, percent: int) ->
             moved = known.join(root, known["class"] == root["node"], "left").select("doc", F.coalesce("root", "class").alias("class"))
             new = moved.union(new.join(known, "doc", "left_anti"))
         known = written(new, "classes")
-        held = written(rows.select("cell", "doc").join(chosen.select("cell", F.col("pivot").alias("doc")), ["cell", "doc"], "left_anti"), "cells")
-        pivots = min(2 * pivots, 64)
+        held = written(rows.select("cell", "doc").join(chosen.select("cell", "doc"), ["cell", "doc"], "left_anti"), "groups")
+        pivots *= 2
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -286,7 +344,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     copies = some.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
     member = written(some.select("doc_id", "one", "two").join(copies, ["one", "two"]).select("doc_id", "rep"), "copies")
     held = written(shared_cells(some, member), "cells")
-    needed = held.select(F.col("doc").alias("doc_id")).distinct()
+    needed = written(held.select(F.col("doc").alias("doc_id")).distinct(), "needed")
+    needed = F.broadcast(needed) if needed.count() <= FEW else needed
     sets = written(with_sketch(docs.join(needed, "doc_id", "left_semi"), size), "sets")
     known = verified_links(held, sets, size, percent)
     of_rep = member.join(known, member["rep"] == known["doc"], "left").select("doc_id", F.coalesce("class", "rep").alias("component_id"))
