@@ -240,27 +240,31 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def shared_cells(some: DataFrame, member: DataFrame) -> DataFrame:
-    """(cell, doc) of the cells that two or more different texts share; doc is the one that stands for its copies.
+    """(cell, doc) groups of two or more different texts that share a cell; doc is the one that stands for its copies.
 
-    The single large shuffle: 16 bytes a cell. Cells of common shingles only, which may have very many documents, skip the
-    window and meet in partial aggregates alone.
+    The single large shuffle: 16 bytes a cell; all that follows it keeps its partitioning. Near copies share many cells, so a
+    group is named by its documents (their number and XOR of hashes): cells with the same documents become one group,
+    and if two names were ever equal, the groups would be compared as one. Cells of common shingles only, which may have
+    very many documents, skip the windows and meet in partial aggregates.
     """
+    named = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("doc")), "y": F.bit_xor(F.xxhash64(F.lit(5), "doc"))}
+    name = F.xxhash64("n", "x", "y").alias("cell")
+    reps = some.join(F.broadcast(member) if member.count() <= FEW else member, "doc_id").select(F.col("rep").alias("doc"), "cells", "hot_cells")
     group = Window.partitionBy("cell")
-    rare = some.select("doc_id", F.explode("cells").alias("cell"))
-    rare = rare.withColumn("least", F.min("doc_id").over(group)).withColumn("greatest", F.max("doc_id").over(group)).where("least < greatest").select("cell", "doc_id")
-    hot = some.select(F.explode("hot_cells").alias("cell"), "doc_id")
-    return rare.union(hot).join(member, "doc_id").select("cell", F.col("rep").alias("doc")).distinct()
+    rare = reps.select("doc", F.explode("cells").alias("cell"))
+    rare = rare.withColumn("least", F.min("doc").over(group)).withColumn("greatest", F.max("doc").over(group)).where("least < greatest").select("cell", "doc").distinct()
+    rare = rare.select("doc", *[c.over(group).alias(k) for k, c in named.items()]).select(name, "doc")
+    hot = reps.select(F.explode("hot_cells").alias("cell"), "doc").distinct()
+    names = hot.groupBy("cell").agg(*[c.alias(k) for k, c in named.items()]).where("n > 1").select(F.col("cell").alias("own"), name)
+    hot = hot.withColumnRenamed("cell", "own").join(names, "own").select("cell", "doc")
+    return rare.union(hot).distinct()
 
 
-def distinct_groups(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cell, doc) rows of groups that need comparing. A group is a cell and two neighbouring bands of sizes, of which
-    only those can be similar; of groups with the same documents (near copies share many cells) one is kept."""
+def by_size(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Groups (cell, doc) divided by sizes: a group for two neighbouring bands, as only their documents can be similar."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     sized = held.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
-    rows = sized.select("cell", "doc", F.explode(F.array(band, band - 1)).alias("band")).select(F.xxhash64("cell", "band").alias("cell"), "doc")
-    sums = rows.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "doc")).alias("y")).where("n > 1")
-    kept = sums.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
-    return rows.join(kept, "cell")
+    return sized.select("cell", "doc", F.explode(F.array(band, band - 1)).alias("band")).select(F.xxhash64("cell", "band").alias("cell"), "doc")
 
 
 def near_pivots(rows: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +300,7 @@ def verified_links(held: DataFrame, sets: DataFrame, size: int, percent: int) ->
     all its documents of other classes are compared with them; then the pivots leave the group. When no group has two
     classes, every pair of documents that share a cell was compared or is of one class.
     """
-    spark, known, tested, pivots, held = held.sparkSession, None, None, 2, written(distinct_groups(held, sets, percent), "groups")
+    spark, known, tested, pivots, held = held.sparkSession, None, None, 2, by_size(held, sets, percent)
     while True:
         rows = held.withColumn("c", F.col("doc")) if known is None else held.join(known, "doc", "left").select("cell", "doc", F.coalesce("class", "doc").alias("c"))
         groups = rows.groupBy("cell").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("g")).where("x < y").select("cell", "g")
