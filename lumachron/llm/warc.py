@@ -51,7 +51,9 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
 def dictionary(pages: DataFrame, sampled: int = SAMPLED) -> bytes:
     """A dictionary from records of at most `sampled` pages, those whose hashed ids are least, and the first bytes of each;
     empty if there are too few."""
-    some = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(sampled).select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"))
+    least = lambda df: df.orderBy(F.xxhash64("page_id"), "page_id").limit(sampled)
+    ids = least(pages.select("page_id")).distinct()  # narrow, as each task sends the driver so many; bounded by the parameter
+    some = least(pages.join(F.broadcast(ids), "page_id").select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")))
     records = [record(r["page_id"], r["url"], x := r["html"].encode(), base32(hashlib.sha1(x).digest()), None, DATE) for r in some.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
