@@ -45,9 +45,15 @@ def sums_of(c: str, s: str) -> list[Column]:
     ]
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """series over all cores where it comes in fewer files: each row is about to make `count` rows, so moving it is little."""
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    return series if series.isStreaming or len(series.inputFiles()) >= cores else series.repartition(cores)
+
+
 def moments(series: DataFrame, count: int = COUNT, step: float = STEP, variable: str = "f", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """Sums by series (or other keys) and frequency."""
-    rows = with_grid(series.select(*keys, "t", "x"), count, step, variable)
+    rows = with_grid(spread(series.select(*keys, "t", "x")), count, step, variable)
     rows = rows.select(*keys, "freq_id", "x", F.cos(F.col("omega") * F.col("t")).alias("c"), F.sin(F.col("omega") * F.col("t")).alias("s"))
     sums = rows.groupBy(*keys, "freq_id").agg(*sums_of("c", "s"))
     f = F.col("freq_id") * F.lit(step)
