@@ -31,7 +31,7 @@ from .shared import written
 from .words import BLANKS, mixed, sequence_hash, shingle_hashes, slices, split_words
 
 #: Bits of the dense sketch that pairs are refused by.
-DENSE_BITS = 2048
+DENSE_BITS = 1024
 #: Most shingles that the broadcast list of common ones may have (8 bytes each).
 MOST_COMMON = 250_000
 #: A shingle is looked at as common if this many documents of one slice have it.
