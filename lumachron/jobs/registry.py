@@ -276,7 +276,7 @@ def prefix_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("multitaper", None)
 def multitaper(spark: SparkSession, d: str) -> DataFrame:
-    parts = tapers.multitaper_components(order_series(spark, d), 100, 4)
+    parts = tapers.multitaper_components(order_series(spark, d), 4)
     return values(tapers.multitaper_cross(parts), PAIR, co=F.col("co"))
 
 
