@@ -348,18 +348,9 @@ def iar_mle_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("iar_sweep", None)
 def iar_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Divergence of simulated series on the events' own times from their fits, by phi."""
-    times = event_series(spark, d).select("series_id", "t", "row_id")
-    found = None
-    for k, phi in enumerate((0.1, 0.5, 0.9)):
-        data = autoregression.simulated(times, phi, 7 + k)
-        rows = autoregression.lagged(data)
-        fit = rows.withColumn("x", autoregression.fitted(F.lit(phi))).select("series_id", "t", "x")
-        both = components(moments(data.select(F.lit("data").alias("kind"), "series_id", "t", "x").union(fit.select(F.lit("fit"), "series_id", "t", "x")), 50, STEP, keys=("kind", "series_id")))
-        side = lambda kind, n, both=both: both.where(F.col("kind") == kind).select("series_id", "freq_id", F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"))
-        j = divergence.divergences(side("data", 1).join(side("fit", 2), ["series_id", "freq_id"]), ["series_id"], 50, STEP).select(F.lit(phi).alias("phi"), "series_id", rounded(F.col("j")).alias("j"))
-        found = j if found is None else found.union(j)
-    return found
+    """Divergence of simulated series on the events' own times from their fits, by phi, on one grid (nw 0) and by multitaper."""
+    found = autoregression.sweep(event_series(spark, d), [0.01 + 0.025 * k for k in range(40)], (2, 3, 4, 5))
+    return values(found, ("series_id",), phi=F.col("true_phi"), nw=F.col("nw"), estimate=F.col("phi"), j=F.col("j"))
 
 
 @query("table_filter_pairs", f"with {ORDERS} select series_id, count(*) as n, {r('avg(x)', 4)} as mean from od where t > 9000 and x < 200000 group by 1")

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumachron.operators.blocks import ORDER, blocked, numbered, same, written
+from lumachron.operators.divergence import divergences
+from lumachron.operators.moments import COUNT, STEP, components
+from lumachron.operators.tapers import tapered_moments
+
+
+def previous(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, block, last: the values of the last row before each block of rows, null for a key's first block."""
+    ends = rows.groupBy(*keys, "block").agg(F.max_by(F.struct(*values), F.struct(*ORDER)).alias("end"))
+    return ends.select(*keys, "block", F.lag("end").over(Window.partitionBy(*keys).orderBy("block")).alias("last"))
 
-def lagged(series: DataFrame) -> DataFrame:
-    """series with gap and before: time and value from the observation before; ties in time by row_id."""
-    w = Window.partitionBy("series_id").orderBy("t", "row_id")
-    return series.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("before", F.lag("x").over(w))
+
+def lagged(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """series with gap and before: time and value from the observation before; ties in time by row_id.
+
+    Each block looks back within itself, its first row to the end of the block before. Rows with block are taken as blocked."""
+    given = "block" in series.columns
+    rows = series if given else blocked(series, keys)
+    w = Window.partitionBy(*keys, "block").orderBy(*ORDER)
+    own = rows.withColumn("ahead", F.lag(F.struct("t", "x")).over(w))
+    own = same(own, previous(rows, list(keys), ["t", "x"]), [*keys, "block"], "left")
+    ahead = F.coalesce(F.col("ahead"), F.col("last"))
+    found = own.withColumn("gap", F.col("t") - ahead["t"]).withColumn("before", ahead["x"]).drop("ahead", "last")
+    return found if given else found.drop("block")
 
 
 def fitted(phi: Column) -> Column:
@@ -18,54 +40,108 @@ def fitted(phi: Column) -> Column:
     return F.coalesce(F.pow(phi, F.col("gap")) * F.col("before"), F.lit(0.0))
 
 
-def likelihood(rows: DataFrame) -> DataFrame:
-    """series_id, phi, nll: half the sum of log v + e^2 / v, v = 1 - phi^(2 gap), of standardised lagged rows with phi.
+def likelihood(rows: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """keys, phi, nll: half the sum of log v + e^2 / v, v = 1 - phi^(2 gap), of standardised lagged rows with phi.
 
     Observations at one time have no variance left and are passed over."""
     v = 1 - F.pow("phi", 2 * F.col("gap"))
     e = F.col("x") - F.pow("phi", F.col("gap")) * F.col("before")
     terms = F.when(F.col("gap").isNull(), F.col("x") * F.col("x")).when(F.col("gap") > 0, F.log(v) + e * e / v)
-    return rows.groupBy("series_id", "phi").agg((F.sum(terms) / 2).alias("nll"))
+    return rows.groupBy(*keys, "phi").agg((F.sum(terms) / 2).alias("nll"))
 
 
-def standardised(series: DataFrame) -> DataFrame:
-    stats = series.groupBy("series_id").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
-    return series.join(stats, "series_id").withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
+def standardised(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    stats = series.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    return series.join(stats, list(keys)).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 
-def estimated(series: DataFrame, count: int = 49, rounds: int = 1) -> DataFrame:
-    """series_id, phi, nll: the phi of least nll on an even grid of (0, 1), refined about it for further rounds."""
-    rows = lagged(standardised(series))
-    best = least(likelihood(rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("phi", F.col("k") / F.lit(float(count + 1)))))
+def estimated(series: DataFrame, count: int = 49, rounds: int = 1, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """keys, phi, nll: the phi of least nll on an even grid of (0, 1), refined about it for further rounds."""
+    rows = lagged(standardised(series, keys), keys)
+    best = least(likelihood(rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("phi", F.col("k") / F.lit(float(count + 1))), keys), keys)
     width = 1.0 / (count + 1)
     for _ in range(rounds - 1):
         about = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda k: F.col("phi") + k * F.lit(width / 10))
-        near = best.select("series_id", F.explode(about).alias("phi")).where("phi > 0 and phi < 1")
-        best = least(likelihood(rows.join(near, "series_id")))
+        near = best.select(*keys, F.explode(about).alias("phi")).where("phi > 0 and phi < 1")
+        best = least(likelihood(rows.join(near, list(keys)), keys), keys)
         width /= 10
     return best
 
 
-def least(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("series_id").agg(F.min_by("phi", F.struct("nll", "phi")).alias("phi"), F.min("nll").alias("nll"))
+def least(scored: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    return scored.groupBy(*keys).agg(F.min_by("phi", F.struct("nll", "phi")).alias("phi"), F.min("nll").alias("nll"))
 
 
-def simulated(times: DataFrame, phi: float, seed: int = 1) -> DataFrame:
-    """times (series_id, t, row_id) with x: x_j = phi^gap x_(j-1) + sqrt(1 - phi^(2 gap)) e_j, e standard normal.
+def noise(seed: int) -> Column:
+    """A standard normal number from the row's series_id, t, row_id and true_phi alone, so that it is the same wherever it is drawn."""
+    drawn = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(2 * seed + k), "series_id", "t", "row_id", "true_phi"), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    return F.sqrt(-2 * F.log(drawn(0))) * F.cos(F.lit(6.283185307179586) * drawn(1))
 
-    With T the time since the start, x_j phi^-T_j is a sum of independent terms, but it overflows; so each series is folded in
-    order as an array, one series a row.
+
+def simulated_sweep(times: DataFrame, phis: Iterable[float], seed: int = 1) -> DataFrame:
+    """times (series_id, t, row_id) with x for each true_phi of phis, and block: x_j = phi^gap x_(j-1) + sqrt(1 - phi^(2 gap)) e_j, e standard
+    normal, drawn anew for each phi.
+
+    With T the time since the start, x_j phi^-T_j is a sum of independent terms, but it overflows; so each block is folded in
+    order from 0. A block's last value is its own plus phi^(its span) times the last value before, which a pass over the
+    blocks' ends works out; each row then adds phi^(time since the block before) times that carry.
     """
-    rows = times.withColumn("e", F.randn(seed)).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "row_id", "e"))).alias("o"))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
+    rows = blocked(times.select("series_id", "t", "row_id"))
+    ends = previous(rows, ["series_id"], ["t"]).select("series_id", "block", F.col("last.t").alias("since"))
+    each = F.explode(F.array(*[F.lit(float(p)) for p in phis]))
+    drawn = same(rows, ends, ["series_id", "block"]).withColumn("true_phi", each).withColumn("e", noise(seed))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "row_id"], kind="stable")
+        phi, since = float(part["true_phi"].iloc[0]), part["since"].iloc[0]
+        t = part["t"].to_numpy()
+        gap = t.copy()
+        gap[1:] -= t[:-1]
+        gap[0] = float("inf") if pd.isna(since) else t[0] - since
+        decay = phi**gap
+        shock = (1 - decay * decay) ** 0.5 * part["e"].to_numpy()
+        out, x = [], 0.0
+        for d, s in zip(decay.tolist(), shock.tolist()):
+            x = d * x + s
+            out.append(x)
+        return part.assign(x=out)[["series_id", "t", "row_id", "block", "since", "true_phi", "x"]]
+
+    kinds = dict(rows.dtypes)
+    schema = f"series_id {kinds['series_id']}, t double, row_id {kinds['row_id']}, block int, since double, true_phi double, x double"
+    own = drawn.groupBy("series_id", "block", "true_phi").applyInPandas(fold, schema)
+    tails = own.groupBy("series_id", "true_phi", "block").agg(F.max_by(F.struct("t", "since", "x"), F.struct("t", "row_id")).alias("z"))
+    lists = tails.groupBy("series_id", "true_phi").agg(F.array_sort(F.collect_list(F.struct("block", "z.t", "z.since", "z.x"))).alias("o"))
+    start = F.struct(F.lit(0.0).alias("x"), F.array().cast("array<struct<block: int, carry: double>>").alias("out"))
 
     def step(acc: Column, o: Column) -> Column:
-        decay = F.coalesce(F.pow(F.lit(phi), o["t"] - acc["t"]), F.lit(0.0))
-        x = decay * acc["x"] + F.sqrt(1 - decay * decay) * o["e"]
-        return F.struct(o["t"].alias("t"), x.alias("x"), F.concat(acc["out"], F.array(x)).alias("out"))
+        decay = F.coalesce(F.pow(F.col("true_phi"), o["t"] - o["since"]), F.lit(0.0))
+        carried = F.concat(acc["out"], F.array(F.struct(o["block"].alias("block"), acc["x"].alias("carry"))))
+        return F.struct((o["x"] + decay * acc["x"]).alias("x"), carried.alias("out"))
+
+    carries = lists.select("series_id", "true_phi", F.inline(F.aggregate("o", start, step, lambda acc: acc["out"])))
+    carry = F.coalesce(F.pow("true_phi", F.col("t") - F.col("since")) * F.col("carry"), F.lit(0.0))
+    return same(own, carries, ["series_id", "true_phi", "block"]).select("series_id", "t", "row_id", "block", "true_phi", (F.col("x") + carry).alias("x"))
 
-    values = rows.select("series_id", "o", F.aggregate("o", start, step, lambda acc: acc["out"]).alias("x"))
-    return values.select("series_id", F.explode(F.arrays_zip("o", "x")).alias("z")).select("series_id", F.col("z.o.t").alias("t"), F.col("z.o.row_id").alias("row_id"), F.col("z.x").alias("x"))
+
+def simulated(times: DataFrame, phi: float, seed: int = 1) -> DataFrame:
+    """times (series_id, t, row_id) with x, a simulated series of one phi."""
+    return simulated_sweep(times, [phi], seed).select("series_id", "t", "row_id", "x")
+
+
+def sweep(times: DataFrame, phis: Iterable[float], widths: Iterable[int] = (2, 3, 4, 5), count: int = COUNT, step: float = STEP, seed: int = 7) -> DataFrame:
+    """series_id, true_phi, nw, phi, ix, iy, ixy, j: a series simulated on the times for each true_phi, against its fit with the phi
+    estimated from it. nw 0 is the plain divergence; for each nw of widths integrals are averaged over 2 nw tapers."""
+    keys = ("series_id", "true_phi")
+    data = written(simulated_sweep(times, phis, seed), "simulated")
+    estimates = written(estimated(data, rounds=2, keys=keys).select(*keys, "phi"), "estimates")
+    rows = lagged(data, keys).join(estimates, list(keys)).withColumn("y", fitted(F.col("phi"))).drop("gap", "before", "phi")
+    means = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    rows = numbered(rows, keys).join(means, list(keys)).withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
+    parts = written(components(tapered_moments(rows, {0: 1, **{nw: 2 * nw for nw in widths}}, ("x", "y"), keys, count, step)).select(*keys, "value", "nw", "taper", "freq_id", "a", "b"), "parts")
+    side = lambda v, k: parts.where(F.col("value") == v).select(*keys, "nw", "taper", "freq_id", F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
+    each = divergences(side("x", 1).join(side("y", 2), [*keys, "nw", "taper", "freq_id"]), [*keys, "nw", "taper"], count, step)
+    found = each.groupBy(*keys, "nw").agg(*[F.avg(c).alias(c) for c in ("ix", "iy", "ixy", "j")])
+    return found.withColumn("nw", F.col("nw").cast("int")).join(estimates, list(keys))
 
 
 def folded(series: DataFrame, frequency: float) -> DataFrame:

@@ -44,8 +44,8 @@ def same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Dat
 
 
 def numbered(rows: DataFrame, keys: tuple[str, ...] = ("series_id",), order: tuple[str, ...] = ORDER, rows_a_block: int | None = None) -> DataFrame:
-    """rows with i, the place in the order of their key from 1, n, how many rows the key has, and block."""
-    rows = blocked(rows, keys, order, rows_a_block)
+    """rows with i, the place in the order of their key from 1, n, how many rows the key has, and block. Rows with block are taken as blocked."""
+    rows = rows if "block" in rows.columns else blocked(rows, keys, order, rows_a_block)
     counts = rows.groupBy(*keys, "block").agg(F.count("*").alias("rows"))
     w = Window.partitionBy(*keys)
     starts = counts.select(*keys, "block", (F.sum("rows").over(w.orderBy("block")) - F.col("rows")).alias("start"), F.sum("rows").over(w).alias("n"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumachron.operators import blocks, tapers
+from lumachron.operators import autoregression, blocks, tapers
 
 
 def brute_components(t, x, v, count, step):
@@ -44,3 +44,37 @@ def test_multitaper_takes_whole_series(spark, monkeypatch):
         assert len(own) == len(want) and (own.n == n).all()
         assert own[["taper", "freq_id"]].to_numpy().tolist() == want[:, :2].tolist()
         assert own[["a", "b"]].to_numpy() == pytest.approx(want[:, 2:], abs=1e-7, nan_ok=True)
+
+
+@pytest.fixture(scope="module")
+def times(spark):
+    rows = spark.range(2500).select(F.lit("s").alias("series_id"), (F.floor(F.col("id") / 2) * 1.4 + F.rand(3) * 0.3).alias("t"), F.col("id").alias("row_id"))
+    return blocks.written(rows.union(rows.where("id < 40").select(F.lit("r"), "t", "row_id")), "times")
+
+
+def test_simulation_and_lags_do_not_depend_on_blocks(spark, times, monkeypatch):
+    def drawn(rows_a_block):
+        monkeypatch.setattr(blocks, "ROWS_A_BLOCK", rows_a_block)
+        data = autoregression.simulated_sweep(times, [0.3, 0.985], 5)
+        rows = autoregression.lagged(data.drop("block"), ("series_id", "true_phi")).toPandas()
+        return rows.sort_values(["series_id", "true_phi", "t", "row_id"]).reset_index(drop=True), data.select("block").distinct().count()
+
+    (one, _), (many, parts) = drawn(100_000), drawn(60)
+    assert parts > 20
+    columns = ["x", "gap", "before"]
+    assert np.allclose(one[columns], many[columns], atol=1e-9, equal_nan=True)
+    for _, own in many.groupby(["series_id", "true_phi"]):  # one chain: no border forgets what came before
+        assert np.isnan(own.before.iloc[0]) and (own.before.to_numpy()[1:] == own.x.to_numpy()[:-1]).all()
+        assert (own.gap.to_numpy()[1:] == np.diff(own.t)).all()
+        assert 0.3 < own.x.std() < 2.5
+    near = many[(many.series_id == "s") & (many.true_phi == 0.985)]
+    assert np.corrcoef(near.x[1:], near.before[1:])[0, 1] > 0.95
+
+
+def test_sweep_estimates_and_tapers(times):
+    found = autoregression.sweep(times, [0.01, 0.5, 0.985], (2, 5), 20, 0.01).toPandas()
+    assert sorted(set(found.nw)) == [0, 2, 5] and len(found) == 2 * 3 * 3
+    own = found[(found.series_id == "s") & (found.nw == 0)].sort_values("true_phi")
+    assert np.abs(own.phi - own.true_phi).max() < 0.1 and (own.phi != own.true_phi).any()
+    assert (found.j >= 0).all() and found.j.nunique() == len(found)
+    assert np.allclose(found.j, 0.25 * (found.ix + found.iy - 2 * found.ixy) / (2 * np.pi))
