@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumachron.functions.numeric import is_finite, rounded
 from lumachron.operators import autoregression, cleaning, divergence, integrals, spectra, tapers
-from lumachron.operators.moments import COUNT, STEP, components, moments, sampling, with_grid
+from lumachron.operators.moments import COUNT, STEP, components, moments, sampling, with_grid, with_own_grid
 from lumachron.sources.series import event_series, finite_pairs, light_curve_lines, order_series, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,13 @@ def sampling_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.select("series_id", "freq_id", rounded(F.col("f")).alias("f"), rounded(F.col("omega")).alias("omega"))
 
 
+@query("sampling_grid_whole", f"with {EVENTS}, st as (select series_id, 1 / (2 * (max(t) - min(t)) / count(*)) as f_max from ev group by 1), g as (select series_id, f_max, unnest(range(1, cast(floor(f_max / 0.001) as bigint) + 2)) as freq_id from st) select series_id, freq_id, {r('freq_id * 0.001')} as f, {r('2 * pi() * freq_id * 0.001')} as omega from g where freq_id * 0.001 <= f_max")
+def sampling_grid_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every frequency up to each series' own f_max; sampling_grid stops at 1000 points, as its SQL does."""
+    grid = with_own_grid(sampling(event_series(spark, d)).select("series_id", "f_max"))
+    return grid.select("series_id", "freq_id", rounded(F.col("f")).alias("f"), rounded(F.col("omega")).alias("omega"))
+
+
 @query("finite_filter", "select user_id, count(*) as n, round(sum(value), 4) + 0.0 as total from events where ts is not null and value is not null and isfinite(value) group by 1")
 def finite_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").select("user_id", F.col("ts").alias("when"), F.col("value").alias("x"))

@@ -22,6 +22,20 @@ def with_grid(df: DataFrame, count: int = COUNT, step: float = STEP, variable: s
     return rows.withColumn("f", f).withColumn("omega", f if variable == "omega" else F.lit(TAU) * f)
 
 
+def with_own_grid(df: DataFrame, step: float = STEP, block: int = 100_000) -> DataFrame:
+    """df with every frequency from the step to the row's own f_max: freq_id, f, omega. Rows whose f_max isn't finite fail.
+
+    Frequencies come in blocks of indices, dealt over all tasks, as a high f_max makes many of a row."""
+    limit = F.when(F.isnan("f_max") | (F.col("f_max") == float("inf")), F.raise_error(F.lit("f_max is not finite")).cast("double")).otherwise(F.col("f_max"))
+    last = F.floor(limit / F.lit(step)).cast("long") + 1  # one more, as the quotient may round down; the filter decides
+    blocks = df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block))))
+    blocks = blocks.repartition(*df.columns, "part") if not df.isStreaming else blocks
+    ids = F.sequence(F.greatest(F.col("part") * block, F.lit(1).cast("long")), F.least(F.col("part") * block + (block - 1), last))
+    rows = blocks.where(F.greatest(F.col("part") * block, F.lit(1)) <= last).withColumn("freq_id", F.explode(ids)).drop("part")
+    f = F.col("freq_id") * F.lit(step)
+    return rows.withColumn("f", f).where("f <= f_max").withColumn("omega", F.lit(TAU) * F.col("f"))
+
+
 def sampling(series: DataFrame) -> DataFrame:
     """n, first and last time, mean, deviation, mean step (range over n) and pseudo-Nyquist frequency of each series."""
     stats = series.groupBy("series_id").agg(F.count("*").alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))

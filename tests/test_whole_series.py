@@ -1,10 +1,16 @@
 """Series of any length are worked on whole: results don't depend on blocks, and nothing past a bound is lost."""
 
+import os
+
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lumachron.jobs import registry
 from lumachron.operators import autoregression, blocks, tapers
+from lumachron.operators.moments import with_own_grid
 
 
 def brute_components(t, x, v, count, step):
@@ -78,3 +84,23 @@ def test_sweep_estimates_and_tapers(times):
     assert np.abs(own.phi - own.true_phi).max() < 0.1 and (own.phi != own.true_phi).any()
     assert (found.j >= 0).all() and found.j.nunique() == len(found)
     assert np.allclose(found.j, 0.25 * (found.ix + found.iy - 2 * found.ixy) / (2 * np.pi))
+
+
+def test_grid_reaches_each_series_own_limit(spark):
+    tops = spark.createDataFrame([("low", 0.0035), ("none", 0.0005), ("high", 33.3339), ("even", 0.25)], "series_id string, f_max double")
+    for block in (7, 100_000):
+        got = with_own_grid(tops, 0.001, block).groupBy("series_id").agg(F.count("*").alias("n"), F.min("freq_id").alias("a"), F.max("freq_id").alias("z"), F.count_distinct("freq_id").alias("d")).collect()
+        assert {r["series_id"]: (r["n"], r["a"], r["z"], r["d"]) for r in got} == {"low": (3, 1, 3, 3), "high": (33333, 1, 33333, 33333), "even": (250, 1, 250, 250)}
+    with pytest.raises(Exception, match="not finite"):
+        with_own_grid(spark.createDataFrame([("x", float("inf"))], "series_id string, f_max double")).collect()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_whole_grid_against_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet'")
+    got, want = registry.QUERIES["sampling_grid_whole"](spark, folder).toPandas(), con.sql(registry.ORACLES["sampling_grid_whole"]).df()
+    assert len(got) > 100_000
+    got, want = (x.sort_values(["series_id", "freq_id"]).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
