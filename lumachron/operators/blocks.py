@@ -51,3 +51,23 @@ def numbered(rows: DataFrame, keys: tuple[str, ...] = ("series_id",), order: tup
     starts = counts.select(*keys, "block", (F.sum("rows").over(w.orderBy("block")) - F.col("rows")).alias("start"), F.sum("rows").over(w).alias("n"))
     inner = F.row_number().over(Window.partitionBy(*keys, "block").orderBy(*order))
     return same(rows.withColumn("i", inner), starts, [*keys, "block"]).withColumn("i", F.col("i") + F.col("start")).drop("start")
+
+
+def medians(rows: DataFrame, keys: tuple[str, ...], value: str, name: str = "middle") -> DataFrame:
+    """keys, name: the median of each key's values that aren't null, as F.median gives it.
+
+    Values are counted, and dealt in ranges of (key, value); running counts by range tell which ranges hold the middle
+    ranks, and only those are ordered.
+    """
+    counted = rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(value).alias("c"))
+    counted = blocked(counted, keys, ("v",))
+    sums = counted.groupBy(*keys, "block").agg(F.sum("c").alias("rows"))
+    w = Window.partitionBy(*keys)
+    starts = sums.select(*keys, "block", "rows", (F.sum("rows").over(w.orderBy("block")) - F.col("rows")).alias("start"), F.sum("rows").over(w).alias("n"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    held = same(counted, starts.where((F.col("start") < high) & (F.col("start") + F.col("rows") >= low)).drop("rows"), [*keys, "block"])
+    upto = F.col("start") + F.sum("c").over(Window.partitionBy(*keys, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("c") < rank) & (F.col("upto") >= rank), F.col("v")))
+    found = held.withColumn("upto", upto).groupBy(*keys).agg(at(low).alias("a"), at(high).alias("b"))
+    middle = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * 0.5 + F.col("b") * 0.5)
+    return same(sums.select(*keys).distinct(), found.select(*keys, middle.alias(name)), list(keys), "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumachron.functions.numeric import is_finite
+from lumachron.operators.blocks import medians
 
 #: Offsets in days of the missions' time scales.
 OFFSETS = {"Kepler": 2454833.0, "TESS": 2457000.0}
@@ -25,14 +26,14 @@ def positive_clip(series: DataFrame) -> DataFrame:
 def sigma_clip(series: DataFrame, sigma: float = 8.0, iterations: int = 5) -> DataFrame:
     """Values farther than sigma deviations from their series' median go, again and again up to `iterations` times."""
     for _ in range(iterations):
-        stats = series.groupBy("series_id").agg(F.median("x").alias("middle"), F.stddev_pop("x").alias("spread"))
-        series = series.join(stats, "series_id").where(F.abs(F.col("x") - F.col("middle")) <= sigma * F.col("spread")).drop("middle", "spread")
+        spread = series.groupBy("series_id").agg(F.stddev_pop("x").alias("spread"))
+        series = series.join(medians(series, ("series_id",), "x"), "series_id").join(spread, "series_id").where(F.abs(F.col("x") - F.col("middle")) <= sigma * F.col("spread")).drop("middle", "spread")
     return series
 
 
 def magnitudes(series: DataFrame) -> DataFrame:
     """mag = -2.5 log10(x / median), and mag_err = 2.5 / ln 10 * x_err / x; errors that aren't positive and finite are null."""
-    middle = series.groupBy("series_id").agg(F.median("x").alias("middle"))
+    middle = medians(series, ("series_id",), "x")
     mag = -2.5 * F.log10(F.col("x") / F.col("middle"))
     rows = series.join(middle, "series_id").withColumn("mag", mag).drop("middle")
     if "x_err" not in series.columns:
@@ -47,13 +48,13 @@ def absolute_time(series: DataFrame, offset: float, mode: str = "auto") -> DataF
         raise ValueError("mode must be auto, force or raw")
     if mode != "auto":
         return series.withColumn("t", F.col("t") + F.lit(offset if mode == "force" else 0.0))
-    middle = series.groupBy("series_id").agg(F.median("t").alias("middle"))
+    middle = medians(series, ("series_id",), "t")
     return series.join(middle, "series_id").withColumn("t", F.when(F.col("middle") < 1e5, F.col("t") + offset).otherwise(F.col("t"))).drop("middle")
 
 
 def stitched(segments: DataFrame) -> DataFrame:
     """Segments (series_id, segment, t, x), each divided by its median, as one series."""
-    middle = segments.groupBy("series_id", "segment").agg(F.median("x").alias("middle"))
+    middle = medians(segments, ("series_id", "segment"), "x")
     return segments.join(middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle")).drop("middle")
 
 

@@ -1,6 +1,7 @@
 """Series of any length are worked on whole: results don't depend on blocks, and nothing past a bound is lost."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumachron.jobs import registry
-from lumachron.operators import autoregression, blocks, tapers
+from lumachron.operators import autoregression, blocks, cleaning, tapers
 from lumachron.operators.moments import with_own_grid
 
 
@@ -104,3 +105,25 @@ def test_whole_grid_against_sql(spark):
     assert len(got) > 100_000
     got, want = (x.sort_values(["series_id", "freq_id"]).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
+
+
+def test_medians_need_no_whole_series(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS_A_BLOCK", 50)
+    nan, rng = float("nan"), np.random.default_rng(2)
+    data = {"even": rng.normal(size=1000).tolist(), "odd": rng.normal(size=777).tolist(), "hot": [0.0] * 600 + [-0.0] * 10 + rng.normal(size=500).tolist(), "nan": [1.0, nan, nan, 2.0], "null": [None, None], "some": [None, 3.0, 4.0], "one": [7.0], "inf": [1.0, float("inf")], None: [5.0, 6.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, x double").orderBy(F.rand(3))
+    found = blocks.medians(rows, ("k",), "x")
+    got, want = ({r["k"]: r["m"] for r in df.collect()} for df in (found.withColumnRenamed("middle", "m"), rows.groupBy("k").agg(F.median("x").alias("m"))))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-15, nan_ok=True), k
+    assert blocks.medians(rows.limit(0), ("k",), "x").count() == 0
+
+
+def test_no_aggregate_or_window_takes_a_whole_series(spark, times):
+    """Each series used to be one array, one buffer of values or one window."""
+    x = times.withColumn("x", F.col("t") % 7)
+    for df in (autoregression.simulated(times, 0.5), autoregression.lagged(x), cleaning.sigma_clip(x, 3.0, 1), cleaning.magnitudes(x), cleaning.absolute_time(x, 1.0), cleaning.stitched(x.withColumn("segment", F.lit(1)))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "median(" not in plan and "percentile(" not in plan
+        assert "collect_list(struct(t" not in plan and not re.search(r"windowspecdefinition\(series_id#\d+, t#", plan)
