@@ -120,10 +120,11 @@ def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], size: i
                             if y - x >= min(size, len(item)):
                                 spans[r].append({"item": c["item"], "start": a + shift + x, "length": y - x})
                 kind = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("length", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.at)), pa.array(spans, kind)], ["doc_id", "n_words", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.at)), pa.array(spans, kind), *part.columns[3:]], ["doc_id", "n_words", "spans", *key])
 
-    rows = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "places")
-    return rows.mapInArrow(verify, "doc_id long, n_words long, spans array<struct<item: int, start: int, length: int>>")
+    key = [c for c in docs.columns if c == "row"]
+    rows = docs.select("doc_id", "text", *key).join(found, "doc_id", "left").select("doc_id", "text", "places", *key)
+    return rows.mapInArrow(verify, "doc_id long, n_words long, spans array<struct<item: int, start: int, length: int>>" + ", row long" * len(key))
 
 
 def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> DataFrame:
@@ -132,6 +133,8 @@ def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> Data
     tests = tests.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // MOST_TEST_BYTES) or 1
+    if blocks > 1:  # results of the blocks meet by row, as ids may be null or repeated
+        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
     result = None
     for k in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().combine_chunks()
@@ -144,10 +147,11 @@ def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> Data
         hits = matched(docs, candidates(index, names, items), items, size)
         ids = F.array(*[F.lit(x) for x in rows.column("item_id").to_pylist()]) if rows.num_rows else F.array().cast("array<string>")
         named = F.transform("spans", lambda x: F.struct(F.get(ids, x["item"]).alias("item_id"), x["start"].alias("start"), x["length"].alias("length")))
-        hits = hits.select("doc_id", "n_words", named.alias("spans"))
+        hits = hits.select("doc_id", "n_words", named.alias("spans"), *(["row"] if blocks > 1 else []))
         result = hits if result is None else result.union(hits)
     if blocks > 1:
-        result = result.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+        merged = result.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+        result = merged.select("doc_id", "n_words", "spans")
     return result
 
 
