@@ -9,11 +9,11 @@ in one order for all documents, two such sets share one (pigeonhole). P goes by
 is sketched in both bands. The order puts cells made of very common shingles last and fuller ones first, so that the
 cells chosen are rare; it needs no exactness, as any common order finds all pairs.
 
-Copies are linked by a fingerprint first and only one of them is compared. Documents that share a cell are verified
-against pivots of that cell, a few in the first round and twice as many in each further one, until all documents that
-are left in the cell are of one class: no pair that could join two classes is left out, and a large group of near
-copies, soon of one class, never becomes all its pairs. Before sets are fetched, short dense sketches refuse pairs by
-their Hamming distance.
+Copies are one node, known by a fingerprint. Nodes of a small cell become pairs; those of a larger one a family with a pivot,
+compared with two members first, and then, in blocks of sketches, across the classes found so far. So a large group of
+near copies never becomes all its pairs, and no pair that could join two classes is left out. Dense sketches refuse pairs
+by their Hamming distance before texts are fetched. Cells of common shingles only don't pair two documents of which both
+have so many rare shingles that similar ones must share one: these meet in cells of the widest sketch, of one shingle each.
 """
 
 from __future__ import annotations
@@ -23,23 +23,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import written
 from .words import BLANKS, mixed, sequence_hash, shingle_hashes, slices, split_words
 
-#: Bits of the dense sketch that pairs are refused by.
-DENSE_BITS = 1024
+#: Least and most bits of the dense sketches that pairs are refused by; a set has about two bits a shingle.
+DENSE_BITS = 512, 65536
 #: Most shingles that the broadcast list of common ones may have (8 bytes each).
 MOST_COMMON = 250_000
 #: A shingle is looked at as common if this many documents of one slice have it.
 COMMON_IN_SLICE = 6
 #: Pairs or ids (16 bytes at most) up to which they are broadcast.
 FEW = 1_000_000
-#: A group of more documents than LARGE is compared in blocks with LARGE_PIVOTS pivots a round.
-LARGE, LARGE_PIVOTS, BLOCK = 32, 128, 256
+#: A cell of more nodes than this is compared by pivots first.
+SMALL = 8
+#: Nodes of a block in which a family's sketches are compared; families of more than 64 * LEAST_BLOCK have larger blocks.
+LEAST_BLOCK, MOST_BLOCK = 256, 4096
+#: Added to the level of families of cells of common shingles.
+HOT = 64
 #: Documents of one band: sizes from 4^k up to 4^(k + 1).
 BAND_BASE = 4
 
@@ -109,13 +113,48 @@ def cells(found: np.ndarray, content: np.ndarray, rare: np.ndarray, band: int, f
     return keys, hot
 
 
+def parity_width(n: int) -> int:
+    """Bits of the dense sketch of a set of n shingles."""
+    width = DENSE_BITS[0]
+    while width < 2 * n and width < DENSE_BITS[1]:
+        width *= 2
+    return width
+
+
 def dense_sketch(found: np.ndarray) -> bytes:
-    bits = np.bincount((mixed(found + np.uint64(11)) % np.uint64(DENSE_BITS)).astype(np.int64), minlength=DENSE_BITS) & 1
+    """Parities of the shingles by a hash; folding its halves on each other gives the sketch of half the width."""
+    width = parity_width(len(found))
+    bits = np.bincount((mixed(found + np.uint64(11)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def chosen_cells(found: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of a set in all bands where a similar set may be: rare ones, and those of common shingles only."""
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Dense sketches of one width, of at least `width` bytes, as rows of that many bytes."""
+    rows = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while rows.shape[1] * 8 > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Hamming distance of each two dense sketches, by the narrower width."""
+    sizes, far = np.array([[len(x), len(y)] for x, y in zip(left, right)]).reshape(-1, 2), np.zeros(len(left), np.int64)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes == (a, b)).all(1)).tolist()
+        x, y = folded([left[i] for i in rows], min(a, b)), folded([right[i] for i in rows], min(a, b))
+        far[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return far
+
+
+def chosen_cells(found: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The cells of a set in all bands where a similar set may be: rare ones, and those of common shingles only; and
+    whether the set is distinct, so that two distinct ones need no common cells to meet.
+
+    If the shares of rare shingles in two sets are such that, rare shingles being unequal, the difference were already too large, similar
+    sets must have a rare shingle in common. A distinct set so adds cells of the widest sketch, in which each shingle has a
+    cell of its own; of its rare shingles as many as a similar set may lack, and one more, in an order for all sets.
+    """
     k = len(found)
     # sizes that can be similar: from k * percent / 100 to k * 100 / percent
     most = (100 - percent) * (k + k * 100 // percent) // (100 + percent)
@@ -124,12 +163,14 @@ def chosen_cells(found: np.ndarray, common: np.ndarray, percent: int) -> tuple[n
     rare = (common[np.minimum(np.searchsorted(common, found), len(common) - 1)] != found).astype(np.int64) if len(common) else np.ones(k, np.int64)
     parts = [cells(found, content, rare, band, most + 1) for band in range(low, high + 1)]
     keys, hot = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    return keys[~hot], keys[hot]
+    distinct = bool(hot.any()) and int(rare.sum()) * (100 + percent) > (100 - percent) * k
+    single = np.sort(mixed(content[rare == 1] + np.uint64(0x9E3779B97F4A7C15)))[: k * (100 - percent) // 100 + 1] if distinct else np.zeros(0, np.uint64)
+    return np.concatenate((keys[~hot], single)), keys[hot], distinct
 
 
 def sketches(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, one, two (fingerprint), n_shingles, cells, hot_cells of every document; of copies within one slice only
-    the first has cells."""
+    """A row for each document: doc_id, x, y (hashes of the text), one, two (fingerprint), n_shingles, dense, cells, hot_cells, distinct;
+    of copies within one slice only the first has cells."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -140,18 +181,30 @@ def sketches(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Da
         for batch in batches:
             for part in slices(batch, "text"):
                 seen: set[tuple[int, int]] = set()
-                one, two, n, keys = [], [], [], []
-                for found, a, b in document_sets(part.column(1), size):
-                    fresh = len(found) and (a, b) not in seen
+                one, two, n, dense, keys = [], [], [], [], []
+                for found, a, b in document_sets(part.column(3), size):
+                    fresh = len(found) > 0 and (a, b) not in seen
                     seen.add((a, b))
-                    keys.append(chosen_cells(found, common, percent) if fresh else (none, none))
+                    keys.append(chosen_cells(found, common, percent) if fresh else (none, none, False))
+                    dense.append(dense_sketch(found) if fresh else None)
                     one.append(a)
                     two.append(b)
                     n.append(len(found))
-                columns = [part.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.array(n, pa.int64()), *(lists([x[i] for x in keys]) for i in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "one", "two", "n_shingles", "cells", "hot_cells"])
+                columns = [*part.columns[:3], *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.array(n, pa.int64()), pa.array(dense, pa.binary()), *(lists([x[i] for x in keys]) for i in (0, 1)), pa.array([x[2] for x in keys])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "y", "one", "two", "n_shingles", "dense", "cells", "hot_cells", "distinct"])
+
+    kind = "doc_id long, x long, y long, one long, two long, n_shingles long, dense binary, cells array<long>, hot_cells array<long>, distinct boolean"
+    return docs.select("doc_id", *text_key(), "text").mapInArrow(sketch, kind)
+
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, one long, two long, n_shingles long, cells array<long>, hot_cells array<long>")
+def text_key(text: Column | str = "text") -> list[Column]:
+    """Two hashes, x and y, that a text is known by."""
+    return [F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text).alias("y")]
+
+
+def broadcast_if_few(table: DataFrame) -> DataFrame:
+    """A written table with a hint to broadcast it, if it has few rows."""
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
 def band_of(n: int) -> int:
@@ -161,25 +214,47 @@ def band_of(n: int) -> int:
     return band
 
 
-def with_sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text, n, dense of documents."""
+def with_nodes(sketched: DataFrame) -> DataFrame:
+    """Documents with shingles, and the node that stands for all copies: the fingerprint's first half, or, where two fingerprints share that, a hash of both."""
+    some = sketched.where("n_shingles > 0")
+    unsure = written(some.groupBy("one").agg(F.min("two").alias("x"), F.max("two").alias("y")).where("x <> y").select("one"), "unsure")
+    if unsure.isEmpty():
+        return some.withColumn("node", F.col("one"))
+    marked = some.join(broadcast_if_few(unsure).withColumn("twice", F.lit(True)), "one", "left")
+    return marked.withColumn("node", F.when(F.col("twice"), F.xxhash64("one", "two")).otherwise(F.col("one"))).drop("twice")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [x[0] for x in document_sets(part.column(1), size)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) for x in found], pa.int64()), pa.array([dense_sketch(x) for x in found], pa.binary())], ["doc_id", "text", "n", "dense"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, text string, n long, dense binary")
+def candidates(some: DataFrame) -> DataFrame:
+    """a, b, level, distinct: nodes that share a cell.
+
+    The single large shuffle: 16 bytes a cell. Of a cell of few nodes all pairs are rows of level 0. Another cell's nodes
+    become members b of a family, known by a pivot a (that member of the cell whose hash is least) and by a level (the
+    magnitude of the cell). As near copies share many cells of similar nodes and so the pivot, their cells fall into few
+    families, and rows grow with the documents. Cells of common shingles only, which may have very many nodes, skip the
+    windows and meet in partial aggregates; their families are apart, with pivots that aren't distinct.
+    """
+    cell, first = Window.partitionBy("cell"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
+    rare = some.select("node", F.explode("cells").alias("cell"))
+    rare = rare.withColumns({"least": F.min("node").over(cell), "greatest": F.max("node").over(cell), "k": F.count("*").over(cell), "pivot": F.min(first).over(cell)["pivot"]}).where("least < greatest")
+    sets = rare.where(F.col("k") <= SMALL).groupBy("cell").agg(F.sort_array(F.collect_set("node")).alias("s")).select("s")
+    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = sets.select(F.explode(both).alias("p")).select("p.a", "p.b", F.lit(0).alias("level"), F.lit(False).alias("distinct"))
+    level = F.ceil(F.log2("k")).cast("int")
+    large = rare.where(F.col("k") > SMALL).select(F.col("pivot").alias("a"), F.col("node").alias("b"), level.alias("level"), F.lit(False).alias("distinct"))
+    hot = some.select("node", "distinct", F.explode("hot_cells").alias("cell"))
+    least = F.min(F.struct("distinct", F.xxhash64("node").alias("h"), F.col("node").alias("pivot")))
+    crowds = written(hot.groupBy("cell").agg(least.alias("p"), F.min("node").alias("least"), F.max("node").alias("greatest"), F.count("*").alias("k")).where("least < greatest and not p.distinct").select("cell", F.col("p.pivot").alias("a"), (level + HOT).alias("level")), "crowds")
+    hot = hot.join(broadcast_if_few(crowds), "cell").select("a", F.col("node").alias("b"), "level", "distinct")
+    return pairs.union(large).union(hot).distinct()
 
 
 def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs (a, b) with the columns of both documents, as columnA and columnB. Pairs are written; few of them are sent to
-    where the documents are, so that only the documents named in pairs move."""
+    """pairs (a, b) with the columns of both nodes, as columnA and columnB. Pairs are written; few of them are sent to
+    where the nodes are, so that only the nodes named in pairs move."""
     few = pairs.count() <= FEW
 
     def side(x: str) -> DataFrame:
-        own = sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x.upper()}") for c in columns])
+        own = sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x.upper()}") for c in columns])
         return own.join(F.broadcast(pairs) if few else pairs, x)
 
     return side("a").join(side("b").hint("merge"), ["a", "b"])
@@ -190,16 +265,14 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def refuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, DENSE_BITS // 64) for i in (2, 3))
-            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            most = (100 - percent) * np.asarray(batch.column(4)) // (100 + percent)
-            yield batch.select([0, 1]).filter(pa.array(far <= most))
+            far = distances(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * far <= (100 - percent) * np.asarray(batch.column(4))))
 
     sized = with_sides(pairs, sets, "n", "dense").where((F.col("nA") * 100 >= F.col("nB") * percent) & (F.col("nB") * 100 >= F.col("nA") * percent))
     return sized.select("a", "b", "denseA", "denseB", (F.col("nA") + F.col("nB")).alias("n")).mapInArrow(refuse, "a long, b long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union holds; whole texts are compared."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +287,7 @@ def similar(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataF
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return with_sides(pairs, sets, "text").select("a", "b", "textA", "textB").mapInArrow(verify, "a long, b long")
+    return with_sides(pairs, texts, "text").select("a", "b", "textA", "textB").mapInArrow(verify, "a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -224,6 +297,7 @@ def classes(links: DataFrame) -> DataFrame:
     its root; keys are nodes, the least neighbour comes from a partial aggregate, and a hub's rows are split by join.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -234,123 +308,125 @@ def classes(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = written(small, "edges")
         n, same = now.count(), now.join(edges, ["u", "v"], "left_semi").count()
-        if n == same == edges.count():
+        if n == same == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        edges = now
-
-
-def shared_cells(some: DataFrame, member: DataFrame) -> DataFrame:
-    """(cell, doc) groups of two or more different texts that share a cell; doc is the one that stands for its copies.
+        edges, before = now, n
 
-    The single large shuffle: 16 bytes a cell; all that follows it keeps its partitioning. Near copies share many cells, so a
-    group is named by its documents (their number and XOR of hashes): cells with the same documents become one group,
-    and if two names were ever equal, the groups would be compared as one. Cells of common shingles only, which may have
-    very many documents, skip the windows and meet in partial aggregates.
-    """
-    named = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("doc")), "y": F.bit_xor(F.xxhash64(F.lit(5), "doc"))}
-    name = F.xxhash64("n", "x", "y").alias("cell")
-    reps = some.join(F.broadcast(member) if member.count() <= FEW else member, "doc_id").select(F.col("rep").alias("doc"), "cells", "hot_cells")
-    group = Window.partitionBy("cell")
-    rare = reps.select("doc", F.explode("cells").alias("cell"))
-    rare = rare.withColumn("least", F.min("doc").over(group)).withColumn("greatest", F.max("doc").over(group)).where("least < greatest").select("cell", "doc").distinct()
-    rare = rare.select("doc", *[c.over(group).alias(k) for k, c in named.items()]).select(name, "doc")
-    hot = reps.select(F.explode("hot_cells").alias("cell"), "doc").distinct()
-    names = hot.groupBy("cell").agg(*[c.alias(k) for k, c in named.items()]).where("n > 1").select(F.col("cell").alias("own"), name)
-    hot = hot.withColumnRenamed("cell", "own").join(names, "own").select("cell", "doc")
-    return rare.union(hot).distinct()
-
-
-def by_size(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Groups (cell, doc) divided by sizes: a group for two neighbouring bands, as only their documents can be similar."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
-    sized = held.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
-    return sized.select("cell", "doc", F.explode(F.array(band, band - 1)).alias("band")).select(F.xxhash64("cell", "band").alias("cell"), "doc")
-
-
-def near_pivots(rows: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of large groups: the documents of each group, in blocks, against the group's pivots of other classes.
-
-    A block's sketches are compared where they lie, so pairs that sizes or sketches refuse are never rows.
-    """
-
-    def compare(docs: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(docs) and len(pivots):
-            x, y = (np.frombuffer(b"".join(t["dense"]), np.uint64).reshape(-1, DENSE_BITS // 64) for t in (docs, pivots))
-            doc, c, n = (docs[k].to_numpy() for k in ("doc", "c", "n"))
-            for k, (pivot, of, m) in enumerate(zip(pivots["doc"].tolist(), pivots["c"].tolist(), pivots["n"].tolist())):
-                far = np.bitwise_count(x ^ y[k]).sum(1, dtype=np.int64)
-                near = (c != of) & (n * 100 >= m * percent) & (m * 100 >= n * percent) & (far <= (100 - percent) * (n + m) // (100 + percent))
-                found += [(min(pivot, d), max(pivot, d)) for d in doc[near].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    def known() -> DataFrame:
-        return sets.select(F.col("doc_id").alias("doc"), F.col("n").alias("n"), F.col("dense").alias("dense"))
+def second_pivots(families: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a family with one more member that isn't distinct."""
+    least = F.min(F.struct("distinct", F.xxhash64(F.lit(3), "b").alias("h"), F.col("b").alias("p"))).alias("p")
+    of = families.groupBy("a", "level").agg(least).where("not p.distinct").select("a", "level", "p.p")
+    return families.join(of, ["a", "level"]).where("b <> p").select(F.least("b", "p").alias("a"), F.greatest("b", "p").alias("b"))
 
-    blocks = F.ceil(F.col("g") / BLOCK)
-    left = rows.withColumn("block", F.pmod(F.xxhash64("doc"), blocks)).join(known(), "doc").select("cell", "block", "doc", F.col("c").alias("c"), "n", "dense")
-    right = chosen.select("cell", "doc", "c", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")).join(known(), "doc").select(F.col("cell").alias("cell"), "block", F.col("doc").alias("doc"), F.col("c").alias("c"), "n", "dense")
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(compare, "a long, b long")
 
+def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one family but of different classes, of which sizes and dense sketches allow a link.
 
-def verified_links(held: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc, class of documents with links, after enough links are verified that classes are whole.
+    The members meet, in blocks, those outside of the family's largest class, or those that aren't distinct, whichever
+    are fewer: two members of the largest class need no link, and two distinct ones have none by this family. A block's
+    sketches are compared where they lie, so refused pairs are never rows.
+    """
 
-    Round by round, each group whose documents are of several classes takes pivots, from its smallest classes first, and
-    all its documents of other classes are compared with them; then the pivots leave the group. When no group has two
-    classes, every pair of documents that share a cell was compared or is of one class.
+    def compare(docs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        docs, found = docs.sort_values("n"), [np.zeros((0, 2), np.int64)]
+        for width, part in docs.groupby(docs["dense"].map(len)):
+            node, n, c, u = (part[k].to_numpy() for k in ("node", "n", "c", "distinct"))
+            for wide, other in others.groupby(others["dense"].map(len)):
+                x, y = folded(part["dense"].tolist(), min(width, wide)), folded(other["dense"].tolist(), min(width, wide))
+                for k, (p, m, of, v) in enumerate(zip(other["node"].tolist(), other["n"].tolist(), other["c"].tolist(), other["distinct"].tolist())):
+                    i, j = np.searchsorted(n, -(-m * percent // 100)), np.searchsorted(n, m * 100 // percent, "right")
+                    far = np.bitwise_count(x[i:j] ^ y[k]).sum(1, dtype=np.int64)
+                    near = ((100 + percent) * far <= (100 - percent) * (n[i:j] + m)) & (c[i:j] != of)
+                    hit = node[i:j][near & ~u[i:j] if v else near]
+                    found.append(np.stack((np.minimum(hit, p), np.maximum(hit, p)), 1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    rows = families.join(known.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "level", F.col("b").alias("node"), "distinct", F.coalesce("root", "b").alias("c"))
+    rows = written(rows, "members")
+    crowds = rows.groupBy("a", "level", "c").agg(F.count("*").alias("n"), F.sum((~F.col("distinct")).cast("long")).alias("plain"))
+    sums = crowds.groupBy("a", "level").agg(F.count("*").alias("classes"), F.sum("n").alias("k"), F.sum("plain").alias("plain"), F.max(F.struct("n", "c")).alias("most")).where("classes > 1 and plain > 0")
+    outside = F.col("k") - F.col("most.n")
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("k") / 64)))
+    sums = sums.select("a", "level", F.col("most.c").alias("largest"), (F.col("plain") < outside).alias("by_plain"), F.ceil(F.col("k") / block).alias("nl"), F.ceil(F.least("plain", outside) / block).alias("nr"))
+    rows = rows.join(sums, ["a", "level"]).join(sets.select("node", "n", "dense"), "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
+    columns = ["node", "n", "c", "distinct", "dense"]
+    left = rows.select("a", "level", own("nl").alias("i"), every("nr").alias("j"), *columns)
+    right = rows.where(F.when(F.col("by_plain"), ~F.col("distinct")).otherwise(F.col("c") != F.col("largest"))).select("a", "level", every("nl").alias("i"), own("nr").alias("j"), *columns)
+    key = ["a", "level", "i", "j"]
+    right = right.select(*[F.col(c).alias(c) for c in [*key, *columns]])  # columns of its own, for the cogroup
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
+
+
+def node_classes(docs: DataFrame, some: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, root of the nodes with links.
+
+    Two rounds, whatever the data are: pairs of small cells, and members of families with two pivots, are verified and
+    make classes; then members of a family that are of different classes meet, all of them, so no link is left out.
     """
-    spark, known, tested, pivots, held = held.sparkSession, None, None, 2, by_size(held, sets, percent)
-    while True:
-        rows = held.withColumn("c", F.col("doc")) if known is None else held.join(known, "doc", "left").select("cell", "doc", F.coalesce("class", "doc").alias("c"))
-        groups = rows.groupBy("cell").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("g")).where("x < y").select("cell", "g")
-        rows = written(rows.join(groups, "cell"), "mixed")
-        if rows.isEmpty():
-            return known if known is not None else spark.createDataFrame([], "doc long, class long")
-        crowd = rows.groupBy("cell", "c").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("cell").orderBy("size", F.xxhash64("doc"), "doc")
-        many = 4 if known is None else LARGE_PIVOTS  # a few first, as most of a group of near copies soon is one class
-        ranked = rows.join(crowd, ["cell", "c"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LARGE_PIVOTS).where((F.col("g") <= LARGE) | (F.col("rank") <= many))
-        chosen = written(ranked.where((F.col("g") > LARGE) | (F.col("rank") <= pivots)).select("cell", "doc", "c", "g"), "pivots")
-        few = chosen.where(F.col("g") <= LARGE).select("cell", F.col("doc").alias("pivot"), F.col("c").alias("of"))
-        pairs = rows.where(F.col("g") <= LARGE).join(few, "cell").where("c <> of").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
-        near = near_enough(written(pairs, "pairs"), sets, percent)
-        if not chosen.where(F.col("g") > LARGE).isEmpty():
-            near = near.union(near_pivots(rows.where(F.col("g") > LARGE), chosen.where(F.col("g") > LARGE), sets, percent)).distinct()
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = written(near, "near")
-        tested = near if tested is None else tested.union(near)
-        links = similar(near, sets, size, percent)
-        if known is not None:  # between classes
-            to = known.select(F.col("doc").alias("a"), F.col("class").alias("ca")), known.select(F.col("doc").alias("b"), F.col("class").alias("cb"))
-            links = links.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        root = written(classes(links), "roots")
-        new = root.select(F.col("node").alias("doc"), F.col("root").alias("class"))
-        if known is not None:
-            moved = known.join(root, known["class"] == root["node"], "left").select("doc", F.coalesce("root", "class").alias("class"))
-            new = moved.union(new.join(known, "doc", "left_anti"))
-        known = written(new, "classes")
-        held = written(rows.select("cell", "doc").join(chosen.select("cell", "doc"), ["cell", "doc"], "left_anti"), "groups")
-        pivots *= 2
+    found = written(candidates(some), "candidates")
+    families = found.where("level > 0")
+    direct = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(direct.union(second_pivots(families)).distinct(), "pairs")
+    needed = broadcast_if_few(written(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed"))
+    sketch = F.min(F.struct(F.col("n_shingles").alias("n"), "dense", "x", "y")).alias("s")
+    sets = written(some.where("dense is not null").join(needed, "node", "left_semi").groupBy("node").agg(sketch).select("node", "s.*"), "sets")
+    near = written(near_enough(pairs, sets, percent), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(families.select("b")).distinct()
+    of_texts = broadcast_if_few(written(wanted.join(sets.select("node", "x", "y"), "node"), "of_texts"))
+    texts = written(docs.select("text", *text_key()).join(of_texts, ["x", "y"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    known = written(classes(similar(near, texts, size, percent)), "classes")
+    more = written(across_classes(families, known, sets, percent).join(near, ["a", "b"], "left_anti"), "near")
+    if more.isEmpty():
+        return known
+    links = known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(more, texts, size, percent))
+    return written(classes(links), "classes")
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: the size of each document's set, and the least doc_id reachable by links.
+    """doc_id, n_shingles, component_id, chosen, x, y of each row: the size of its set, and the least doc_id reachable by links.
 
-    docs needs unique, non-null doc_id and text; null or wordless texts have no shingles and link with nothing. Words are
-    runs without ASCII blanks, A-Z lower-cased; a text of fewer words than `size` is one shingle. Other columns are ignored.
+    Words are runs without ASCII blanks, A-Z lower-cased; a text of fewer words than `size` is one shingle. Null or
+    wordless texts have no shingles and link with nothing. Rows are told apart by their texts, not by their ids: each row
+    of a repeated id is judged by its own text, and a class's component_id is null only if none of its rows has an id.
+    chosen marks the rows of a class's least (doc_id, x, y), x and y being hashes of the text (ids before null), and all rows
+    without shingles. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = written(sketches(docs, common_shingles(docs, size), size, percent), "sketches")
-    some = sketched.where("n_shingles > 0")
-    # copies by fingerprint: one of them stands for all
-    copies = some.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
-    member = written(some.select("doc_id", "one", "two").join(copies, ["one", "two"]).select("doc_id", "rep"), "copies")
-    held = written(shared_cells(some, member), "cells")
-    needed = written(held.select(F.col("doc").alias("doc_id")).distinct(), "needed")
-    needed = F.broadcast(needed) if needed.count() <= FEW else needed
-    sets = written(with_sketch(docs.join(needed, "doc_id", "left_semi"), size), "sets")
-    known = verified_links(held, sets, size, percent)
-    of_rep = member.join(known, member["rep"] == known["doc"], "left").select("doc_id", F.coalesce("class", "rep").alias("component_id"))
-    return sketched.select("doc_id", "n_shingles").join(of_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = with_nodes(sketched)
+    known = node_classes(docs, some, size, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "y")
+    nodes = written(some.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "nodes")
+    linked = nodes.join(known, "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("first"))
+    of_class = linked.select("node", "root").join(least, "root").select("node", "first")
+    alone = nodes.where("copies > 1").join(known, "node", "left_anti").select("node", "first")
+    groups = broadcast_if_few(written(of_class.union(alone), "groups"))  # a row that is alone in its class isn't in it
+    rows = some.select("doc_id", "n_shingles", "node", "x", "y").join(groups, "node", "left")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("x") == F.col("first.x")) & (F.col("y") == F.col("first.y"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    judged = rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("first").isNull() | same).alias("chosen"), "x", "y")
+    empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"), "x", "y")
+    return judged.union(empty)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without those that another row of their class stands for: a class keeps its chosen row, one of them if they are equal
+    in id and text; rows without shingles all stay. All columns are kept."""
+    found = written(jaccard_classes(docs, size, percent), "judged")
+    dropped = broadcast_if_few(written(found.where("not chosen").select("doc_id", "x", "y").distinct(), "dropped"))
+    repeated = written(found.where("chosen and n_shingles > 0").groupBy("doc_id", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text)).alias("k"))
+
+    def meet(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, F.col("k.doc_id").eqNullSafe(keys["doc_id"]) & (F.col("k.x") == keys["x"]) & (F.col("k.y") == keys["y"]), how)
+
+    kept = meet(own, dropped, "left_anti")
+    if not repeated.isEmpty():
+        repeated = broadcast_if_few(repeated)
+        kept = meet(kept, repeated, "left_anti").select("row").union(meet(kept, repeated, "left_semi").groupBy("k").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
