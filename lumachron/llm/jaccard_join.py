@@ -36,16 +36,16 @@ DENSE_BITS = 512, 65536
 MOST_COMMON = 250_000
 #: A shingle is looked at as common if this many documents of one slice have it.
 COMMON_IN_SLICE = 6
-#: Pairs or ids (16 bytes at most) up to which they are broadcast.
-FEW = 1_000_000
+#: Rows of a few numbers (some 30 MB in memory) up to which they are broadcast.
+FEW = 300_000
 #: A cell of more nodes than this is compared by pivots first.
 SMALL = 8
 #: Nodes of a block in which a family's sketches are compared; families of more than 64 * LEAST_BLOCK have larger blocks.
 LEAST_BLOCK, MOST_BLOCK = 256, 4096
 #: Added to the level of families of cells of common shingles.
 HOT = 64
-#: Documents of one band: sizes from 4^k up to 4^(k + 1).
-BAND_BASE = 4
+#: Documents of one band: sizes from 16^k up to 16^(k + 1).
+BAND_BASE = 16
 
 
 def document_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -235,17 +235,18 @@ def candidates(some: DataFrame) -> DataFrame:
     """
     cell, first = Window.partitionBy("cell"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
     rare = some.select("node", F.explode("cells").alias("cell"))
-    rare = rare.withColumns({"least": F.min("node").over(cell), "greatest": F.max("node").over(cell), "k": F.count("*").over(cell), "pivot": F.min(first).over(cell)["pivot"]}).where("least < greatest")
-    sets = rare.where(F.col("k") <= SMALL).groupBy("cell").agg(F.sort_array(F.collect_set("node")).alias("s")).select("s")
-    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = sets.select(F.explode(both).alias("p")).select("p.a", "p.b", F.lit(0).alias("level"), F.lit(False).alias("distinct"))
+    rare = rare.withColumns({"least": F.min("node").over(cell), "greatest": F.max("node").over(cell)}).where("least < greatest").select("node", "cell")
+    rare = rare.withColumns({"k": F.count("*").over(cell), "pivot": F.min(first).over(cell)["pivot"], "below": F.collect_list("node").over(cell.orderBy("node").rowsBetween(1 - SMALL, -1))})
     level = F.ceil(F.log2("k")).cast("int")
-    large = rare.where(F.col("k") > SMALL).select(F.col("pivot").alias("a"), F.col("node").alias("b"), level.alias("level"), F.lit(False).alias("distinct"))
+    row = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("level"), F.lit(False).alias("distinct"))
+    pairs = F.transform(F.filter("below", lambda x: x < F.col("node")), lambda x: row(x, F.col("node"), F.lit(0)))
+    rows = F.when(F.col("k") <= SMALL, pairs).otherwise(F.array(row(F.col("pivot"), F.col("node"), level)))
+    rare = rare.select(F.explode(rows).alias("r")).select("r.*")
     hot = some.select("node", "distinct", F.explode("hot_cells").alias("cell"))
     least = F.min(F.struct("distinct", F.xxhash64("node").alias("h"), F.col("node").alias("pivot")))
     crowds = written(hot.groupBy("cell").agg(least.alias("p"), F.min("node").alias("least"), F.max("node").alias("greatest"), F.count("*").alias("k")).where("least < greatest and not p.distinct").select("cell", F.col("p.pivot").alias("a"), (level + HOT).alias("level")), "crowds")
     hot = hot.join(broadcast_if_few(crowds), "cell").select("a", F.col("node").alias("b"), "level", "distinct")
-    return pairs.union(large).union(hot).distinct()
+    return rare.union(hot).distinct()
 
 
 def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -317,7 +318,7 @@ def second_pivots(families: DataFrame) -> DataFrame:
     """Pairs (a, b) of each member of a family with one more member that isn't distinct."""
     least = F.min(F.struct("distinct", F.xxhash64(F.lit(3), "b").alias("h"), F.col("b").alias("p"))).alias("p")
     of = families.groupBy("a", "level").agg(least).where("not p.distinct").select("a", "level", "p.p")
-    return families.join(of, ["a", "level"]).where("b <> p").select(F.least("b", "p").alias("a"), F.greatest("b", "p").alias("b"))
+    return families.join(broadcast_if_few(written(of, "second")), ["a", "level"]).where("b <> p").select(F.least("b", "p").alias("a"), F.greatest("b", "p").alias("b"))
 
 
 def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -349,7 +350,7 @@ def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, perce
     outside = F.col("k") - F.col("most.n")
     block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("k") / 64)))
     sums = sums.select("a", "level", F.col("most.c").alias("largest"), (F.col("plain") < outside).alias("by_plain"), F.ceil(F.col("k") / block).alias("nl"), F.ceil(F.least("plain", outside) / block).alias("nr"))
-    rows = rows.join(sums, ["a", "level"]).join(sets.select("node", "n", "dense"), "node")
+    rows = rows.join(broadcast_if_few(written(sums, "crowds")), ["a", "level"]).join(sets.select("node", "n", "dense"), "node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     columns = ["node", "n", "c", "distinct", "dense"]
