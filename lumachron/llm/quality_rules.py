@@ -13,6 +13,7 @@ more than once is bad if any label says so; null labels are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,24 +31,34 @@ MOST_LABELLED = 20_000
 BINS, MOST_CONDITIONS, MOST_RULES = 24, 3, 8
 
 
-def repeated(windows: str, size: int) -> Column:
-    """Words in windows that occur more than once: places with an equal window elsewhere are found by sorting window hashes
-    with their places in the low bits, and overlapping windows count their words once."""
+def repeated(windows: str, size: int, spare: int = 0) -> Column:
+    """Words in windows that occur more than once: places with an equal window elsewhere are found by sorting window hashes,
+    and overlapping windows count their words once.
+
+    Places lie in the low bits of the hashes as long as the bits that are left (fewer by `spare`) tell all windows of the text apart;
+    where they don't, as may be in very long texts, pairs of hash and place are sorted.
+    """
     n = F.size(windows)
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    packed = F.sort_array(F.transform(windows, lambda h, i: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits).bitwiseOR(i.cast("long"))))
-    head = lambda s, k: F.call_function("shiftright", F.get(s, k), bits)
+    bits = F.ceil(F.log2(n + 1)).cast("int") + spare
+    left, right = (lambda c, k: F.call_function("shiftleft", c, k)), (lambda c, k: F.call_function("shiftright", c, k))
+    high = lambda h: right(h, bits)
+    packed = F.sort_array(F.transform(windows, lambda h, i: left(high(h), bits).bitwiseOR(i.cast("long"))))
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  evaluates c once
 
-    def places(s: Column) -> Column:
-        twin = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (head(s, k) == head(s, k - 1)) | (head(s, k) == head(s, k + 1)))
-        return F.sort_array(F.transform(twin, lambda k: F.get(s, k).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
+    def places(s: Column, head: Callable[[Column], Column], place: Callable[[Column], Column]) -> Column:
+        at = lambda k: head(F.get(s, k))
+        twin = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (at(k) == at(k - 1)) | (at(k) == at(k + 1)))
+        return F.sort_array(F.transform(twin, lambda k: place(F.get(s, k))))
 
     def words(at: Column) -> Column:
         steps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(size).cast("long")), F.lit(size).cast("long")))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  evaluates c once
-    return once(once(packed, places), words)
+    told_apart = F.size(F.array_distinct(F.transform(windows, high))) == F.size(F.array_distinct(windows))
+    by_bits = once(packed, lambda s: places(s, high, lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), bits) - 1)))
+    by_pairs = once(pairs, lambda s: places(s, lambda x: x["h"], lambda x: x["i"]))
+    return once(F.when(told_apart, by_bits).otherwise(by_pairs), words)
 
 
 def text_statistics(docs: DataFrame, *keep: str, size: int = 5) -> DataFrame:
