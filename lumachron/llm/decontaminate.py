@@ -9,7 +9,8 @@ along that shift, so matches are exact; one comparison serves all windows of an
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A window is `size` consecutive words of
 an item, or the whole of a shorter item; null or wordless items and documents match nothing. Repeated windows and items
-are each reported. Repeated document rows each get a result. An item without an id covers words but is not listed.
+are each reported. Postings name a document by two hashes of its text, so each row is judged by its own text, whether
+its doc_id is unique, repeated or null. An item without an id covers words but is not listed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -26,6 +27,8 @@ from .words import SIGNS, Words, slices, split_words
 
 #: Bytes of test texts that are searched for at once, and so sent to all executors; more are searched in blocks.
 MOST_TEST_BYTES = 32 << 20
+#: Candidate places (8 bytes each, and four a document) up to which they are broadcast.
+MOST_PLACES = 2_000_000
 
 
 def split(texts: pa.Array) -> Words:
@@ -52,15 +55,21 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes
     return {w: 0 for w in vocabulary} | {vocabulary[r["place"]]: r["n"] for r in rows}
 
 
+def text_key() -> list[Column]:
+    """Two hashes, x and y, that a text is known by."""
+    return [F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y")]
+
+
 def positional_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
-    """Postings (word, doc_id, positions) of whole texts, for the words of the vocabulary or all words."""
+    """Postings (word, doc_id, x, y, positions) of whole texts, for the words of the vocabulary or all words; x and y are
+    hashes of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = None if shared.value is None else pa.array(shared.value, pa.binary())
         for batch in batches:
             for part in slices(batch, "text"):
-                words = split(part.column(1))
+                words = split(part.column(3))
                 place = words.codes if asked is None else words.places(asked)
                 found = np.flatnonzero(place >= 0)
                 text, place = words.texts()[found], place[found]
@@ -69,9 +78,10 @@ def positional_index(docs: DataFrame, vocabulary: list[bytes] | None = None) ->
                 first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1]))[: len(text)])
                 positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(found - words.at[text], pa.int32()))
                 spelled = (words.distinct if asked is None else asked).take(pa.array(place[first])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([spelled, part.column(0).take(pa.array(text[first])), positions], ["word", "doc_id", "positions"])
+                own = pa.array(text[first])
+                yield pa.RecordBatch.from_arrays([spelled, *(c.take(own) for c in part.columns[:3]), positions], ["word", "doc_id", "x", "y", "positions"])
 
-    return docs.select("doc_id", "text").mapInArrow(post, "word string, doc_id long, positions array<int>")
+    return docs.select("doc_id", *text_key(), "text").mapInArrow(post, "word string, doc_id long, x long, y long, positions array<int>")
 
 
 def anchors(items: list[list[bytes]], frequency: dict[bytes, int], size: int) -> list[tuple[bytes, int, int]]:
@@ -85,23 +95,25 @@ def anchors(items: list[list[bytes]], frequency: dict[bytes, int], size: int) ->
 
 
 def candidates(index: DataFrame, names: list[tuple[bytes, int, int]], items: list[list[bytes]]) -> DataFrame:
-    """doc_id and its places, (item, shift) where the lists of two anchors of the item meet (one for an item of one word)."""
+    """x, y and its places, (item, shift) where the lists of two anchors of the item meet (one for an item of one word)."""
     spark = index.sparkSession
     asked = spark.createDataFrame([(w.decode(), i, q, min(2, len(items[i]))) for w, i, q in names], "word string, item int, place int, need int")
     # bounded by MOST_TEST_BYTES
-    met = index.join(F.broadcast(asked), "word").select("doc_id", "item", "need", "place", F.explode("positions").alias("position"))
-    starts = met.groupBy("doc_id", "item", (F.col("position") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return starts.where("n >= need").groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("places"))
+    met = index.join(F.broadcast(asked), "word").select("x", "y", "item", "need", "place", F.explode("positions").alias("position"))
+    starts = met.groupBy("x", "y", "item", (F.col("position") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    return starts.where("n >= need").groupBy("x", "y").agg(F.collect_list(F.struct("item", "shift")).alias("places"))
 
 
-def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], size: int) -> DataFrame:
-    """doc_id, n_words, spans (item, start, length: longest runs of whole windows) for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], ids: list[str | None], size: int) -> DataFrame:
+    """doc_id, n_words, spans (item_id, start, length: longest runs of whole windows) for every row of docs, and its row
+    if it has one. A few candidates are sent to the documents; many meet them by hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast((items, ids))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sorted({w for item in shared.value for w in item})
+        items, ids = shared.value
+        vocabulary = sorted({w for item in items for w in item})
         code = {w: k for k, w in enumerate(vocabulary)}
-        asked, coded = pa.array(vocabulary, pa.binary()), [np.array([code[w] for w in item], np.int64) for item in shared.value]
+        asked, coded = pa.array(vocabulary, pa.binary()), [np.array([code[w] for w in item], np.int64) for item in items]
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split(part.column(1))
@@ -118,13 +130,16 @@ def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], size: i
                         edge = np.diff(same.astype(np.int8))
                         for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                             if y - x >= min(size, len(item)):
-                                spans[r].append({"item": c["item"], "start": a + shift + x, "length": y - x})
-                kind = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("length", pa.int32())]))
+                                spans[r].append({"item_id": ids[c["item"]], "start": a + shift + x, "length": y - x})
+                kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.at)), pa.array(spans, kind), *part.columns[3:]], ["doc_id", "n_words", "spans", *key])
 
     key = [c for c in docs.columns if c == "row"]
-    rows = docs.select("doc_id", "text", *key).join(found, "doc_id", "left").select("doc_id", "text", "places", *key)
-    return rows.mapInArrow(verify, "doc_id long, n_words long, spans array<struct<item: int, start: int, length: int>>" + ", row long" * len(key))
+    found = written(found, "places")
+    few = (found.agg(F.sum(F.size("places") + 4)).first()[0] or 0) <= MOST_PLACES
+    found = F.broadcast(found) if few else found
+    rows = docs.select("doc_id", "text", *key, *text_key()).join(found, ["x", "y"], "left").select("doc_id", "text", "places", *key)
+    return rows.mapInArrow(verify, "doc_id long, n_words long, spans array<struct<item_id: string, start: int, length: int>>" + ", row long" * len(key))
 
 
 def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> DataFrame:
@@ -144,10 +159,7 @@ def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> Data
         items = [spelled[a:b] for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist())]
         names = anchors(items, document_frequencies(docs, sorted(set(spelled))), size)
         index = written(positional_index(docs, sorted({w for w, _, _ in names})), "index")
-        hits = matched(docs, candidates(index, names, items), items, size)
-        ids = F.array(*[F.lit(x) for x in rows.column("item_id").to_pylist()]) if rows.num_rows else F.array().cast("array<string>")
-        named = F.transform("spans", lambda x: F.struct(F.get(ids, x["item"]).alias("item_id"), x["start"].alias("start"), x["length"].alias("length")))
-        hits = hits.select("doc_id", "n_words", named.alias("spans"), *(["row"] if blocks > 1 else []))
+        hits = matched(docs, candidates(index, names, items), items, rows.column("item_id").to_pylist(), size)
         result = hits if result is None else result.union(hits)
     if blocks > 1:
         merged = result.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
@@ -155,7 +167,7 @@ def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> Data
     return result
 
 
-def covered(spans: str = "spans") -> F.Column:
+def covered(spans: str = "spans") -> Column:
     """Words that spans (item_id, start, length) cover, each once."""
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["length"]).alias("end"))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
