@@ -115,6 +115,23 @@ def test_statistics(spark, docs):
         assert (got[i]["base_failed"], got[i]["kept"]) == (failed, not failed)
 
 
+def test_repeated_words_of_long_texts(spark):
+    """Words in repeated windows, where few bits of a hash are left and where a text has over a million words."""
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["a", "b", "c", "d"]) for _ in range(n)) for n in (300, 2000)] + [prose(r, 500)]
+    long = [f"w{k}" for k in range(1_100_000)]
+    long[700_000:700_012] = long[10:22]
+    texts.append(" ".join(long))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["kept_columns"]["doc_id"]: x["n_repeat_words"] for x in quality_rules.text_statistics(df, "doc_id").collect()}
+    assert got == {i: counts_by_hand(t)[4] for i, t in enumerate(texts)} and got[3] == 24
+    words_of = F.array_remove(F.split("text", " "), "")
+    windows = F.transform(F.sequence(F.lit(0), F.size("words") - 5), lambda i: F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(5)]))
+    few = df.where("doc_id < 3").select("doc_id", words_of.alias("words")).select("doc_id", windows.alias("windows"))
+    for spare in (0, 40, 52):
+        assert {x["doc_id"]: x["n"] for x in few.select("doc_id", quality_rules.repeated("windows", 5, spare).alias("n")).collect()} == {i: got[i] for i in range(3)}
+
+
 def test_learned_rules(spark):
     r = random.Random(4)
     rows = [(k, prose(r, 60) if k % 3 else " ".join(w + r.choice(["$$", "%%"]) for w in prose(r, 60).split(" ")), int(k % 3 > 0)) for k in range(600)]
@@ -154,47 +171,93 @@ def classes_by_hand(texts, size=5, percent=80):
 
 
 def test_jaccard_classes(spark, docs):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(clashing(docs)).collect()}
-    assert got == classes_by_hand(texts_of(docs))
-    assert jaccard_join.jaccard_classes(docs.limit(0)).count() == 0
+    assert classes_of(clashing(docs)) == classes_by_hand(texts_of(docs))
+    assert jaccard_join.jaccard_classes(docs.limit(0)).count() == jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def classes_of(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect()}
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    """A group larger than a block's limit, whose members link in chains or not at all."""
-    monkeypatch.setattr(jaccard_join, "LARGE", 8)
-    monkeypatch.setattr(jaccard_join, "LARGE_PIVOTS", 6)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    """Families of several blocks, whose members link in chains or not at all."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "LEAST_BLOCK", 16)
     r = random.Random(5)
     base = prose(r, 90).split(" ")
     rows = []
-    for k in range(70):
+    for k in range(140):
         w = list(base)
-        for _ in range(r.randrange(0, 4)):
+        for _ in range(r.randrange(0, 5)):
             w[r.randrange(len(w))] = f"w{k}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect()}
-    assert got == classes_by_hand(dict(rows))
+    got, want = classes_of(df), classes_by_hand(dict(rows))
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    """Thousands of pages that share most of their text but aren't similar: two rounds, and no pairs."""
+    rounds, pairs = [], []
+    similar, near = jaccard_join.similar, jaccard_join.near_enough
+    monkeypatch.setattr(jaccard_join, "similar", lambda *a: rounds.append(1) or similar(*a))
+    monkeypatch.setattr(jaccard_join, "near_enough", lambda p, *a: pairs.append(p.count()) or near(p, *a))
+    r = random.Random(8)
+    base = prose(r, 75).split(" ")
+    rows = [(k, " ".join([*base, *(f"p{k}w{j}" for j in range(25))])) for k in range(2000)]
+    rows += [(5000 + k, f"{rows[k][1]} more") for k in range(0, 2000, 500)]
+    got = classes_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {i: c for i, (_, c) in got.items()} == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert len(rounds) <= 2 and pairs[0] < 2 * len(rows)
+
+
+def test_classes_of_repeated_and_null_ids(spark):
+    one, two, other = "a b c d e f g h i j k l", "m n o p q r s t u v w x", "nothing like the others here at all in this text"
+    rows = [(1, one), (1, two), (1, two), (2, two), (None, one.upper()), (None, other), (None, other), (3, None), (3, ""), (4, one), (4, one)]
+    df = spark.createDataFrame([(*x, "z") for x in rows], "doc_id long, text string, k string")
+    got = jaccard_join.jaccard_classes(df).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter([(1, 8, 1), (1, 8, 1), (1, 8, 1), (2, 8, 1), (None, 8, 1), (None, 6, None), (None, 6, None), (3, 0, 3), (3, 0, 3), (4, 8, 1), (4, 8, 1)])
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, one, "z"), (1, two, "z"), (None, other, "z"), (3, None, "z"), (3, "", "z")])
+
+
+def test_equal_halves_of_fingerprints(spark):
+    """Two texts whose fingerprints share their first half stay two nodes."""
+    rows = [(1, 7, 1, 3), (2, 7, 1, 3), (3, 7, 2, 4), (4, 8, 1, 5)]
+    nodes = {r["doc_id"]: r["node"] for r in jaccard_join.with_nodes(spark.createDataFrame(rows, "doc_id long, one long, two long, n_shingles long")).collect()}
+    assert nodes[1] == nodes[2] and len(set(nodes.values())) == 3
 
 
 def test_pigeonhole():
-    """Similar sets always share a chosen cell."""
-    r = np.random.default_rng(6)
-    for _ in range(300):
+    """Similar sets always share a chosen cell, and a rare one if both are distinct."""
+    r, seen = np.random.default_rng(6), 0
+    for _ in range(600):
         n = int(r.integers(1, 300))
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        b = a
+        b, share = a, r.random()
         for _ in range(4):
             drop = r.random(len(b)) < r.random() * 0.15
             more = r.integers(0, 2**63, int(r.integers(0, len(a) // 8 + 1))).astype(np.uint64)
             b = np.unique(np.append(b[~drop], more))
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-                common = a[: len(a) // 2]
-                x, y = (set(np.concatenate(jaccard_join.chosen_cells(s, common, 80)).tolist()) for s in (a, b))
-                assert x & y
-                d = (np.unpackbits(np.frombuffer(jaccard_join.dense_sketch(a), np.uint8)) != np.unpackbits(np.frombuffer(jaccard_join.dense_sketch(b), np.uint8))).sum()
-                assert d <= len(a) + len(b) - 2 * both
+                common = a[r.random(len(a)) < share]
+                x, y = (jaccard_join.chosen_cells(s, common, 80) for s in (a, b))
+                apart = x[2] and y[2]
+                seen += apart
+                assert set(x[0].tolist()) & set(y[0].tolist()) or not apart and set(x[1].tolist()) & set(y[1].tolist())
+                far = jaccard_join.distances([jaccard_join.dense_sketch(a)], [jaccard_join.dense_sketch(b)])[0]
+                assert far <= len(a) + len(b) - 2 * both
+    assert seen > 20
+
+
+def test_folded_sketches():
+    found = [np.unique(np.random.default_rng(k).integers(0, 2**63, n).astype(np.uint64)) for k, n in ((1, 900), (2, 1300))]
+    narrow, wide = (jaccard_join.dense_sketch(x) for x in found)
+    assert len(wide) == 2 * len(narrow)
+    bits = np.bincount((words.mixed(found[1] + np.uint64(11)) % np.uint64(8 * len(narrow))).astype(int), minlength=8 * len(narrow)) & 1
+    assert jaccard_join.folded([wide], len(narrow)).tobytes() == np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def test_classes_of_links(spark):
@@ -258,13 +321,21 @@ def test_index_and_proximity(spark):
 # 5: line dedup
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_LINES", most)
     rows = [(k, f"header\n\nown {k}\nheader\nfooter {k % 40}", "a") for k in range(60)] + [(100, "header\nx", "b"), (101, None, "a"), (102, "", "a"), (103, "header", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit("clash"))
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.without_boilerplate(df, ratio=0.1, least=5).collect()}
     assert all(got[k] == (f"\nown {k}\nfooter {k % 40}", 2) for k in range(60))
     assert got[100] == ("header\nx", 0) and got[101] == (None, 0) and got[102] == ("", 0) and got[103] == ("header", 0)
     assert line_dedup.without_boilerplate(df.limit(0)).count() == 0
+    # null and repeated ids: each row is judged by its own site and text; clashing columns stay
+    rows = [(None, f"header\nown {k}", "a", 7) for k in range(20)] + [(5, "header\nb only", "b", 7), (5, "header\na too", "a", 7), (5, "header\na too", "a", 7)]
+    found = line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, x long").withColumn("dropped", F.lit("clash")))
+    assert found.columns == ["doc_id", "text", "source", "x", "dropped", "n_dropped"]
+    want = [(None, f"own {k}", 1) for k in range(20)] + [(5, "header\nb only", 0), (5, "a too", 1), (5, "a too", 1)]
+    assert Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in found.collect()) == Counter(want)
 
 
 # 6: WARC
