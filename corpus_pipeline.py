@@ -28,9 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of linked documents."""
-    found = jaccard_join.jaccard_classes(docs)
-    return docs.join(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each class of linked documents, that of the least id."""
+    return jaccard_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
