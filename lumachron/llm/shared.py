@@ -4,26 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if driver and
+    executors are one process, as in tests; else an error, as other machines wouldn't see a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders of the scratch blocks that are open, the innermost last.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within, but those to keep, are deleted at the end; what is used later must not read them. A table to keep
+    belongs to the block around, if there is one."""
+    folder = new_folder(spark, "scratch")
+    token = _scratch.set((*_scratch.get(), folder))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and gives the planner sizes."""
-    path = new_folder(df.sparkSession, name)
+    folders = (shared_root(df.sparkSession), *_scratch.get())
+    path = f"{folders[max(0, len(folders) - 1 - keep)]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
