@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import scratch, written
 from .words import BLANKS, mixed, sequence_hash, shingle_hashes, slices, split_words
 
 #: Least and most bits of the dense sketches that pairs are refused by; a set has about two bits a shingle.
@@ -38,8 +38,8 @@ MOST_COMMON = 250_000
 COMMON_IN_SLICE = 6
 #: Rows of a few numbers (some 30 MB in memory) up to which they are broadcast.
 FEW = 300_000
-#: A cell of more nodes than this is compared by pivots first.
-SMALL = 8
+#: Members up to which a family's pairs of different classes are rows of a join; those of larger ones meet in blocks.
+SMALL = 32
 #: Nodes of a block in which a family's sketches are compared; families of more than 64 * LEAST_BLOCK have larger blocks.
 LEAST_BLOCK, MOST_BLOCK = 256, 4096
 #: Added to the level of families of cells of common shingles.
@@ -227,7 +227,7 @@ def with_nodes(sketched: DataFrame) -> DataFrame:
 def candidates(some: DataFrame) -> DataFrame:
     """a, b, level, distinct: nodes that share a cell.
 
-    The single large shuffle: 16 bytes a cell. Of a cell of few nodes all pairs are rows of level 0. Another cell's nodes
+    The single large shuffle: 16 bytes a cell. A cell of two nodes gives that pair, as a row of level 0. The nodes of another cell
     become members b of a family, known by a pivot a (that member of the cell whose hash is least) and by a level (the
     magnitude of the cell). As near copies share many cells of similar nodes and so the pivot, their cells fall into few
     families, and rows grow with the documents. Cells of common shingles only, which may have very many nodes, skip the
@@ -236,12 +236,9 @@ def candidates(some: DataFrame) -> DataFrame:
     cell, first = Window.partitionBy("cell"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
     rare = some.select("node", F.explode("cells").alias("cell"))
     rare = rare.withColumns({"least": F.min("node").over(cell), "greatest": F.max("node").over(cell)}).where("least < greatest").select("node", "cell")
-    rare = rare.withColumns({"k": F.count("*").over(cell), "pivot": F.min(first).over(cell)["pivot"], "below": F.collect_list("node").over(cell.orderBy("node").rowsBetween(1 - SMALL, -1))})
+    rare = rare.withColumns({"k": F.count("*").over(cell), "pivot": F.min(first).over(cell)["pivot"]})
     level = F.ceil(F.log2("k")).cast("int")
-    row = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("level"), F.lit(False).alias("distinct"))
-    pairs = F.transform(F.filter("below", lambda x: x < F.col("node")), lambda x: row(x, F.col("node"), F.lit(0)))
-    rows = F.when(F.col("k") <= SMALL, pairs).otherwise(F.array(row(F.col("pivot"), F.col("node"), level)))
-    rare = rare.select(F.explode(rows).alias("r")).select("r.*")
+    rare = rare.where("k > 2 or node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.when(F.col("k") > 2, level).otherwise(0).alias("level"), F.lit(False).alias("distinct"))
     hot = some.select("node", "distinct", F.explode("hot_cells").alias("cell"))
     least = F.min(F.struct("distinct", F.xxhash64("node").alias("h"), F.col("node").alias("pivot")))
     crowds = written(hot.groupBy("cell").agg(least.alias("p"), F.min("node").alias("least"), F.max("node").alias("greatest"), F.count("*").alias("k")).where("least < greatest and not p.distinct").select("cell", F.col("p.pivot").alias("a"), (level + HOT).alias("level")), "crowds")
@@ -315,16 +312,16 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def second_pivots(families: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member of a family with one more member that isn't distinct."""
+    """Pairs (a, b) of each member of a family with one more member that isn't distinct, in families that aren't small."""
     least = F.min(F.struct("distinct", F.xxhash64(F.lit(3), "b").alias("h"), F.col("b").alias("p"))).alias("p")
-    of = families.groupBy("a", "level").agg(least).where("not p.distinct").select("a", "level", "p.p")
+    of = families.groupBy("a", "level").agg(least, F.count("*").alias("k")).where(f"not p.distinct and k > {SMALL}").select("a", "level", "p.p")
     return families.join(broadcast_if_few(written(of, "second")), ["a", "level"]).where("b <> p").select(F.least("b", "p").alias("a"), F.greatest("b", "p").alias("b"))
 
 
 def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one family but of different classes, of which sizes and dense sketches allow a link.
 
-    The members meet, in blocks, those outside of the family's largest class, or those that aren't distinct, whichever
+    A small family's pairs are rows. A larger one's members meet, in blocks, those outside of the family's largest class, or those that aren't distinct, whichever
     are fewer: two members of the largest class need no link, and two distinct ones have none by this family. A block's
     sketches are compared where they lie, so refused pairs are never rows.
     """
@@ -349,8 +346,13 @@ def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, perce
     sums = crowds.groupBy("a", "level").agg(F.count("*").alias("classes"), F.sum("n").alias("k"), F.sum("plain").alias("plain"), F.max(F.struct("n", "c")).alias("most")).where("classes > 1 and plain > 0")
     outside = F.col("k") - F.col("most.n")
     block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("k") / 64)))
-    sums = sums.select("a", "level", F.col("most.c").alias("largest"), (F.col("plain") < outside).alias("by_plain"), F.ceil(F.col("k") / block).alias("nl"), F.ceil(F.least("plain", outside) / block).alias("nr"))
-    rows = rows.join(broadcast_if_few(written(sums, "crowds")), ["a", "level"]).join(sets.select("node", "n", "dense"), "node")
+    sums = sums.select("a", "level", "k", F.col("most.c").alias("largest"), (F.col("plain") < outside).alias("by_plain"), F.ceil(F.col("k") / block).alias("nl"), F.ceil(F.least("plain", outside) / block).alias("nr"))
+    rows = written(rows.join(broadcast_if_few(written(sums, "crowds")), ["a", "level"]), "mixed")
+    some = rows.where(F.col("k") <= SMALL)
+    other = some.select("a", "level", F.col("node").alias("node2"), F.col("distinct").alias("distinct2"), F.col("c").alias("c2"))
+    pairs = some.join(other, ["a", "level"]).where("node < node2 and c <> c2 and not (distinct and distinct2)").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    near = near_enough(written(pairs.distinct(), "pairs"), sets, percent)
+    rows = rows.where(F.col("k") > SMALL).join(sets.select("node", "n", "dense"), "node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     columns = ["node", "n", "c", "distinct", "dense"]
@@ -358,7 +360,7 @@ def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, perce
     right = rows.where(F.when(F.col("by_plain"), ~F.col("distinct")).otherwise(F.col("c") != F.col("largest"))).select("a", "level", every("nl").alias("i"), own("nr").alias("j"), *columns)
     key = ["a", "level", "i", "j"]
     right = right.select(*[F.col(c).alias(c) for c in [*key, *columns]])  # columns of its own, for the cogroup
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long").union(near).distinct()
 
 
 def node_classes(docs: DataFrame, some: DataFrame, size: int, percent: int) -> DataFrame:
@@ -383,7 +385,7 @@ def node_classes(docs: DataFrame, some: DataFrame, size: int, percent: int) -> D
     if more.isEmpty():
         return known
     links = known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(more, texts, size, percent))
-    return written(classes(links), "classes")
+    return classes(links)
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -398,7 +400,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = written(sketches(docs, common_shingles(docs, size), size, percent), "sketches")
     some = with_nodes(sketched)
-    known = node_classes(docs, some, size, percent)
+    with scratch(docs.sparkSession):
+        known = written(node_classes(docs, some, size, percent), "classes", keep=True)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "y")
     nodes = written(some.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "nodes")
     linked = nodes.join(known, "node")
