@@ -29,6 +29,8 @@ from .words import SIGNS, Words, slices, split_words
 MOST_TEST_BYTES = 32 << 20
 #: Candidate places (8 bytes each, and four a document) up to which they are broadcast.
 MOST_PLACES = 2_000_000
+#: Contaminated texts (16 bytes each) up to which they are broadcast.
+MOST_CONTAMINATED = 300_000
 
 
 def split(texts: pa.Array) -> Words:
@@ -105,7 +107,7 @@ def candidates(index: DataFrame, names: list[tuple[bytes, int, int]], items: lis
 
 
 def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], ids: list[str | None], size: int) -> DataFrame:
-    """doc_id, n_words, spans (item_id, start, length: longest runs of whole windows) for every row of docs, and its row
+    """doc_id, x, y, n_words, spans (item_id, start, length: longest runs of whole windows) for every row of docs, and its row
     if it has one. A few candidates are sent to the documents; many meet them by hash of the text."""
     shared = docs.sparkSession.sparkContext.broadcast((items, ids))
 
@@ -132,18 +134,18 @@ def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], ids: li
                             if y - x >= min(size, len(item)):
                                 spans[r].append({"item_id": ids[c["item"]], "start": a + shift + x, "length": y - x})
                 kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.at)), pa.array(spans, kind), *part.columns[3:]], ["doc_id", "n_words", "spans", *key])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.at)), pa.array(spans, kind), *part.columns[3:]], ["doc_id", "n_words", "spans", *key, "x", "y"])
 
     key = [c for c in docs.columns if c == "row"]
     found = written(found, "places")
     few = (found.agg(F.sum(F.size("places") + 4)).first()[0] or 0) <= MOST_PLACES
     found = F.broadcast(found) if few else found
-    rows = docs.select("doc_id", "text", *key, *text_key()).join(found, ["x", "y"], "left").select("doc_id", "text", "places", *key)
-    return rows.mapInArrow(verify, "doc_id long, n_words long, spans array<struct<item_id: string, start: int, length: int>>" + ", row long" * len(key))
+    rows = docs.select("doc_id", "text", *key, *text_key()).join(found, ["x", "y"], "left").select("doc_id", "text", "places", *key, "x", "y")
+    return rows.mapInArrow(verify, "doc_id long, n_words long, spans array<struct<item_id: string, start: int, length: int>>" + ", row long" * len(key) + ", x long, y long")
 
 
 def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, n_words, spans (item_id, start, length) of every document: where windows of test items lie in it."""
+    """doc_id, x, y (hashes of the text), n_words, spans (item_id, start, length) of every document: where windows of test items lie in it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tests = tests.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -162,8 +164,8 @@ def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> Data
         hits = matched(docs, candidates(index, names, items), items, rows.column("item_id").to_pylist(), size)
         result = hits if result is None else result.union(hits)
     if blocks > 1:
-        merged = result.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-        result = merged.select("doc_id", "n_words", "spans")
+        merged = result.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("x").alias("x"), F.first("y").alias("y"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+        result = merged.select("doc_id", "x", "y", "n_words", "spans")
     return result
 
 
@@ -176,11 +178,22 @@ def covered(spans: str = "spans") -> Column:
 
 
 def contamination(docs: DataFrame, tests: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, contaminated of every document: hit words, items with windows in it, and
-    whether at least `percent` of its words are hit."""
+    """doc_id, x, y (hashes of the text), n_words, n_hit, n_items, item_ids, contaminated of every document: hit words, items with
+    windows in it, and whether at least `percent` of its words are hit."""
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda x: x["item_id"]), lambda x: x.isNotNull())))
-    hits = benchmark_matches(docs, tests, size).select("doc_id", "n_words", covered().alias("n_hit"), ids.alias("item_ids"))
-    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+    hits = benchmark_matches(docs, tests, size).select("doc_id", "x", "y", "n_words", covered().alias("n_hit"), ids.alias("item_ids"))
+    bad = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+    return hits.select("doc_id", "x", "y", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", bad.alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, tests: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:
+    """The rows of docs, with all columns, whose texts aren't contaminated. Rows are judged by their texts, so ids may be null or repeated."""
+    bad = written(contamination(docs, tests, size, percent).where("contaminated").select("x", "y").distinct(), "contaminated")
+    few = bad.count() <= MOST_CONTAMINATED
+    key = F.struct(F.xxhash64(F.col("text").cast("string")).alias("x"), F.xxhash64(F.lit(7), F.col("text").cast("string")).alias("y"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+    rows = rows.join(F.broadcast(bad) if few else bad, (F.col("k.x") == bad["x"]) & (F.col("k.y") == bad["y"]), "left_anti")
+    return rows.select("row.*")
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
