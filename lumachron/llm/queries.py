@@ -33,7 +33,7 @@ with parts as (
     case when position('://' in coalesce(url, '')) = 0 then '' else substr(url, position('://' in url) + 3) end as rest
   from pages),
 split as (
-  select page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts),
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts),
 ruled as (
   select *, case
     when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'

@@ -7,8 +7,8 @@ if the number of levels is odd), so membership is exact, and rows are tested by
 
 Keys are dealt to buckets by hash, each with a cascade of its own that one task builds, as distinct keys spread evenly and the number of buckets follows
 their number; a frequent key is one distinct key. The filters are some bits a listed key. They are sent to all executors
-if their measured size is within a bound; otherwise rows pass over one bounded slice of buckets after another, written
-between passes.
+if their measured size is within a bound; otherwise rows are dealt once, by bucket and a salt that divides frequent keys, to where
+copies of their bucket's filter go.
 
 A null key is never listed. Repeated rows are judged alike. A key outside the universe may be mistaken, so the universe must be that of
 the rows judged. With no listed keys all levels are empty.
@@ -23,11 +23,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import written
 
 #: Keys a bucket is meant to have, and bytes of filters that are broadcast at once.
 BUCKET_KEYS, MOST_FILTER_BYTES = 50_000, 48 << 20
+#: Parts that a bucket's rows are dealt to where filters aren't broadcast.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -111,34 +114,48 @@ def cascade(universe: DataFrame, listed: DataFrame, key: str = "key", bucket_key
 
 def with_membership(rows: DataFrame, filters: DataFrame, buckets: int, key: str, out: str = "listed", most_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
     """rows with a boolean column: whether the key is listed. Each key must be in the filters' universe."""
-    sized = filters.select("bucket", F.octet_length("levels").alias("bytes")).agg(F.sum("bytes")).first()[0] or 0
-    slices = -(-sized // most_bytes) or 1
-    rows = rows.withColumn(out, F.lit(False))
-    names = rows.columns
-    place = names.index(out)
-    for k in range(slices):
-        some = filters.where(F.pmod("bucket", F.lit(slices)) == k) if slices > 1 else filters
-        shared = rows.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["levels"]) for r in some.collect()})  # most_bytes, about, at most
-
-        def test(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    rows = rows.select(*[f"`{c}`" for c in rows.columns if c != out])
+    kind = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
+    known, x = F.col(key).isNotNull(), F.xxhash64(key)
+    bucket = F.when(known, F.pmod(x, F.lit(buckets))).otherwise(-1).cast("int")
+    hashed = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("row"), x.alias("x"), F.xxhash64(F.lit(7), F.col(key)).alias("y"), bucket.alias("bucket"))
+
+    def tested(part: pa.RecordBatch, levels: dict[int, bytes]) -> pa.RecordBatch:
+        x, y = (np.asarray(part.column(i)).view(np.uint64) for i in (1, 2))
+        of, found = np.asarray(part.column(3)), np.zeros(part.num_rows, bool)
+        for b in np.unique(of).tolist():
+            if b in levels:
+                own = np.flatnonzero(of == b)
+                found[own] = test_levels(levels[b], x[own], y[own])
+        return pa.RecordBatch.from_arrays([*part.column(0).flatten(), pa.array(found)], kind.names)
+
+    sized = filters.agg(F.sum(F.octet_length("levels"))).first()[0] or 0
+    if sized <= most_bytes:
+        shared = rows.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["levels"]) for r in filters.collect()})
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                known = batch.column(len(names))
-                x, y = (np.asarray(batch.column(len(names) + i).fill_null(0)).view(np.uint64) for i in (0, 1))
-                bucket = np.asarray(batch.column(len(names) + 2).fill_null(-1))
-                found = np.asarray(batch.column(place)).copy()
-                for b in np.unique(bucket).tolist():
-                    if b in shared.value:
-                        own = np.flatnonzero(bucket == b)
-                        found[own] = test_levels(shared.value[b], x[own], y[own])
-                columns = list(batch.columns[: len(names)])
-                columns[place] = pa.array(found & np.asarray(known.is_valid()))
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-        hashed = rows.select("*", F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias("_x"), F.xxhash64(F.lit(7), F.col(key)).alias("_y"))
-        rows = hashed.withColumn("_bucket", F.when(F.col(key).isNotNull(), F.pmod("_x", F.lit(buckets)).cast("int"))).mapInArrow(test, rows.schema)
-        if k + 1 < slices:
-            rows = written(rows, "judged")
-    return rows
+                yield tested(batch, shared.value)
+
+        return hashed.mapInArrow(test, kind)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's filter comes before its rows."""
+        levels: dict[int, bytes] = {}
+        for batch in batches:
+            starts = np.flatnonzero(np.asarray(batch.column(5).is_valid())).tolist()
+            for at, end in zip([-1, *starts], [*starts, batch.num_rows]):
+                if at >= 0:
+                    levels = {batch.column(3)[at].as_py(): batch.column(5)[at].as_py()}
+                if end > at + 1:
+                    yield tested(batch.slice(at + 1, end - at - 1), levels)
+
+    data = hashed.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("levels"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    none = F.lit(None).cast(data.schema["row"].dataType).alias("row")
+    sent = filters.select(none, F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "bucket", salts, "levels")
+    dealt = data.union(sent).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("levels").isNull())
+    return dealt.mapInArrow(meet, kind)
 
 
 def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, key: Column) -> DataFrame:
