@@ -4,10 +4,13 @@ A file is a skippable Zstandard frame that holds the dictionary, then one frame
 record. The dictionary is built from a bounded sample of the records to be archived. Files are written by Spark's text
 writer, each partition a file: its rows are the frames, and the writer's line separator is an empty skippable frame,
 which is nothing to a decompressor. So archives can lie wherever Spark can write, and a lost task's file is written anew.
+The writer takes a string's bytes as they are, also where they are no UTF-8 (tests hold that against the files). A file has about
+`file_bytes` of payload at most, as the measured total decides how many there are; a reader holds one file at a time, of less than 2 GB.
 
 Of records with equal payloads (by SHA-1) the one with the least page_id is stored, the others are revisit records that
 refer to it; payloads below `least` bytes are all stored. A null payload is empty; null urls have no target line. Rows that
-repeat the least page_id of a payload are all stored. Digests meet by partial aggregate and a join whose hot keys Spark splits.
+repeat the least page_id of a payload are all stored. Digests meet by partial aggregate; those of several pages are sent
+to the pages while they are few, and meet them by a join whose hot keys Spark splits beyond that.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Fixed values of the format: frame magics, record version, revisit profile.
 DICTIONARY_MAGIC, EMPTY_FRAME = 0x184D2A5D, "P*M\x18\0\0\0\0"
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,6 +34,10 @@ DATE = "2024-01-01T00:00:00Z"
 
 #: Records sampled for a dictionary, bytes used of each, and its size.
 SAMPLED, SAMPLE_BYTES, DICTIONARY_BYTES = 1_500, 8 << 10, 64 << 10
+#: Payload bytes of a file, at most and, where there are fewer files than cores, at least.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
+#: Digests of several pages (some 100 bytes each) up to which they are broadcast.
+MOST_DIGESTS = 200_000
 
 
 def base32(digest: bytes) -> str:
@@ -61,14 +70,19 @@ def dictionary(pages: DataFrame, sampled: int = SAMPLED) -> bytes:
         return b""
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE, level: int = 3) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE, level: int = 3, file_bytes: int = FILE_BYTES) -> None:
     """pages (page_id, url, html) as .warc.zst files under `path`."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     learned = dictionary(rows)
     payload = F.coalesce("html", F.lit(""))
+    total = rows.agg(F.sum(F.octet_length(payload))).first()[0] or 0
+    files = max(1, -(-total // file_bytes), min(rows.sparkSession.sparkContext.defaultParallelism, total // LEAST_BYTES))
     rows = rows.withColumn("digest", F.sha1(payload.cast("binary")))
-    first = rows.where(F.octet_length(payload) >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    decided = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    first = rows.where(F.octet_length(payload) >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "digests")
+    decided = rows.join(F.broadcast(first) if first.count() <= MOST_DIGESTS else first, "digest", "left")
+    decided = decided.select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    decided = decided.repartition(files, F.xxhash64("page_id", "url", "digest"))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(learned)) if learned else zstandard.ZstdCompressor(level=level)
