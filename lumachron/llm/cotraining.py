@@ -1,19 +1,22 @@
 """Quality classifier by co-training of two views.
 
 The text view sees hashed byte trigrams of the whole text and how they repeat; the metadata view sees the other columns
-(categories hashed, numbers as logarithms). Each view's logistic regression labels the unlabelled documents it is surest
-of, in the proportion of the classes, for the other view; after some rounds each view is calibrated on labelled rows kept
-apart, and a second regression over the calibrated views gives the score of every document.
-
-The fit uses at most `most_labelled` labelled and `most_pool` unlabelled documents, those whose hashed ids are least; scoring is
-one narrow pass over all whole texts. Null and empty texts have no trigrams, null metadata a category of its own. Without
-labels of both kinds every document scores the share of good labels (1 without labels) and is kept. Repeated rows each
-get a score. The threshold is one half, or less if over a hundredth of the good rows kept apart would fall below it.
+(categories hashed, numbers as logarithms). In each round both views judge all documents in one narrow pass. Where a view is sure (as
+labelled rows kept apart show), its pseudo-label teaches the other view: all such documents are summed up, by label
+and by cells of the taught view's features, and their cells' means, weighted by their numbers, join the labelled rows of its
+logistic regression. After the last round each view is calibrated on labelled rows kept apart, and a second regression
+over the calibrated views gives the score of every document.
+
+Only the labelled rows are bounded: at most `most_labelled` ids, those whose hashes are least, and one row (of the least
+text) of a repeated id. Sums are of integers, so they don't depend on the order of tasks. Null and empty texts have no trigrams, null metadata
+a category of its own. Without labels of both kinds every document scores the share of good labels (1 without labels) and
+is kept. Repeated rows each get a score. The threshold is one half, or less if over a hundredth of the good rows kept apart
+would fall below it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,12 @@ from pyspark.sql import functions as F
 from .words import flat_text, slices
 
 TRIGRAM_BINS, CATEGORY_BINS, ROUNDS = 1024, 64, 3
-MOST_LABELLED, MOST_POOL = 8_000, 8_000
+#: Cells of a view's features by which pseudo-labelled documents are summed up: 2 to this power.
+CELL_BITS = 4
+#: Labelled documents that are fitted to, at most.
+MOST_LABELLED = 8_000
+#: Units of a feature in sums.
+UNIT = 1 << 20
 #: Texts turned into rows of features at once.
 BLOCK = 512
 
@@ -67,14 +75,15 @@ def metadata_features(columns: list[pa.Array]) -> np.ndarray:
     return np.concatenate(parts, 1)
 
 
-def fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 250) -> np.ndarray:
-    """Weights and, last, bias of a logistic regression by accelerated gradient steps."""
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1e-4, steps: int = 250) -> np.ndarray:
+    """Weights and, last, bias of a logistic regression by accelerated gradient steps, over rows of some weight."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    rate = 4 / (np.einsum("ij,ij->i", x, x).mean() + penalty)
+    share = np.full(len(x), 1 / len(x), np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)
+    rate = 4 / (share @ np.einsum("ij,ij->i", x, x) + penalty)
     w = v = np.zeros(x.shape[1], np.float32)
     for t in range(steps):
         ahead = w + t / (t + 3) * (w - v)
-        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) / len(x) + penalty * ahead
+        slope = x.T @ (share * (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y)) + penalty * ahead
         v, w = w, (ahead - rate * slope).astype(np.float32)
     return w
 
@@ -99,26 +108,82 @@ class Views:
         return [1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*each, both)]
 
 
-def cotrained(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Views:
-    """Fits on rows of two views with labels y and a pool of rows without."""
+def sure_from(z: np.ndarray, y: np.ndarray, precision: float = 0.95, least: int = 10) -> tuple[float, float]:
+    """Logits up to which rows are surely bad, and from which they are surely good: beyond each, the labels of at least
+    `least` rows are right in that share. A label never goes against the sign of the logit."""
+    cuts = []
+    for side, own in ((z, y == 0), (-z, y > 0)):
+        order = np.argsort(side, kind="stable")
+        right = np.cumsum(own[order]) >= precision * np.arange(1, len(z) + 1)
+        right[: least - 1] = False
+        right &= np.append(side[order][1:] > side[order][:-1], True)[: len(z)]  # equal logits go together
+        last = np.flatnonzero(right)
+        cuts.append(min(0.0, float(side[order[last[-1]]])) if len(last) else -np.inf)
+    return cuts[0], -cuts[1]
+
+
+@dataclass
+class Judges:
+    """What a pass needs of both views: weights, the logits that are sure, and centre and directions of the cells."""
+
+    weights: list[np.ndarray]
+    sure: list[tuple[float, float]]
+    centre: list[np.ndarray]
+    directions: list[np.ndarray]
+
+    def labels(self, views: list[np.ndarray], k: int) -> np.ndarray:
+        """1, 0, or -1 where view k isn't sure."""
+        z, (low, high) = logits(views[k], self.weights[k]), self.sure[k]
+        return np.where(z <= low, 0, np.where(z >= high, 1, -1))
+
+    def cells(self, x: np.ndarray, k: int) -> np.ndarray:
+        return ((x - self.centre[k]) @ self.directions[k] > 0) @ (1 << np.arange(CELL_BITS))
+
+
+class Sums:
+    """Of documents of which one view is sure, the other view's features: numbers and sums by view, label and cell."""
+
+    def __init__(self, judges: Judges):
+        self.judges, n = judges, 1 << CELL_BITS
+        self.count = [np.zeros((2, n), np.int64) for _ in judges.weights]
+        self.total = [np.zeros((2, n, len(w) - 1), np.int64) for w in judges.weights]
+
+    def add(self, views: list[np.ndarray]) -> None:
+        for taught in (0, 1):
+            x, label = views[taught], self.judges.labels(views, 1 - taught)
+            kind = np.where(label < 0, -1, label * (1 << CELL_BITS) + self.judges.cells(x, taught))
+            units = np.rint(x * UNIT).astype(np.int64)
+            for c in np.unique(kind[kind >= 0]).tolist():
+                at = divmod(c, 1 << CELL_BITS)
+                self.count[taught][at] += (kind == c).sum()
+                self.total[taught][at] += units[kind == c].sum(0)
+
+    def means(self, taught: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means of the cells that have documents, their labels, and their shares of the label's documents."""
+        n = self.count[taught]
+        label, cell = np.nonzero(n)
+        return (self.total[taught][label, cell] / UNIT / n[label, cell][:, None]).astype(np.float32), label.astype(np.float32), n[label, cell] / n.sum(1)[label]
+
+
+def cotrained(views: list[np.ndarray], y: np.ndarray, taught_by: Callable[[Judges], Sums], rounds: int = ROUNDS) -> Views:
+    """Fits on rows of two views with labels y, and on what `taught_by` sums up of all documents for the judges of a round.
+    Pseudo-labelled documents weigh together as much as the labelled rows, good and bad ones in the labels' proportion."""
     apart = np.arange(len(y)) % 4 == 3
-    given = [(x[~apart], y[~apart]) for x in views]
-    free = np.ones(len(pool[0]), bool)
-    good = y[~apart].mean()
-    for r in range(rounds):
-        weights = [fitted(*g) for g in given]
-        more = []
-        for x, w in zip(pool, weights):
-            z = np.where(free, logits(x, w), np.nan)
-            n = int(free.sum() * 0.1)
-            order = np.argsort(z)[: int(free.sum())]
-            low, high = order[: int(n * (1 - good))], order[len(order) - int(n * good) :]
-            sure = np.concatenate([low[z[low] < -1], high[z[high] > 1]])
-            more.append((sure, (z[sure] > 0).astype(np.float32)))
-        for k, (rows, label) in enumerate(more):  # what one view is sure of teaches the other
-            free[rows] = False
-            given[1 - k] = (np.concatenate([given[1 - k][0], pool[1 - k][rows]]), np.concatenate([given[1 - k][1], label]))
-    weights = [fitted(*g) for g in given]
+    own = [x[~apart] for x in views]
+    good, n = float(y[~apart].mean()), int((~apart).sum())
+    random = np.random.default_rng(0)
+    directions = [random.standard_normal((x.shape[1], CELL_BITS)).astype(np.float32) for x in views]
+    weights = [fitted(x, y[~apart]) for x in own]
+    for _ in range(rounds):
+        sure = [sure_from(logits(x[apart], w), y[apart]) for x, w in zip(views, weights)]
+        sums = taught_by(Judges(weights, sure, [x.mean(0) for x in own], directions))
+        weights = []
+        for k, x in enumerate(own):
+            mean, label, share = sums.means(k)
+            if len(set(label.tolist())) < 2:
+                mean, label, share = mean[:0], label[:0], share[:0]
+            weight = np.concatenate([np.ones(n), n * share * np.where(label > 0, good, 1 - good)])
+            weights.append(fitted(np.concatenate([x, mean]), np.concatenate([y[~apart], label]), weight))
     held, own = y[apart], [logits(x[apart], w) for x, w in zip(views, weights)]
     calibration = [fitted(z[:, None].astype(np.float32), held) for z in own]
     each = np.stack([logits(z[:, None], c) for z, c in zip(own, calibration)], 1).astype(np.float32)
@@ -128,7 +193,7 @@ def cotrained(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], ro
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("lang", "source", "n_chars"), most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("lang", "source", "n_chars"), most_labelled: int = MOST_LABELLED) -> DataFrame:
     """doc_id, text_score, metadata_score, score (chances that it is good) and kept, of every document."""
     columns = [F.col(c).cast("double") if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal") else F.col(c).cast("string") for c, t in docs.select(*metadata).dtypes]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[c.alias(f"m{k}") for k, c in enumerate(columns)])
@@ -147,19 +212,41 @@ def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
             both = [[r.astype(np.float32).tobytes() for r in x] for x in features(part)]
             yield pa.RecordBatch.from_arrays([part.column(part.num_columns - 1), *(pa.array(x, pa.binary()) for x in both)], ["y", "a", "b"])
 
+    def taught_by(judges: Judges) -> Sums:
+        """A narrow pass over all documents; a task sends the sums of its cells, which meet in a partial aggregate."""
+        sent = docs.sparkSession.sparkContext.broadcast(judges)
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = Sums(sent.value)
+            for part in blocks(batches):
+                sums.add(features(part))
+            for k in (0, 1):
+                both = np.concatenate([sums.count[k][:, :, None], sums.total[k]], 2)
+                label, cell, place = np.nonzero(both)
+                columns = [np.full(len(label), k), label, cell, place, both[label, cell, place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["taught", "label", "cell", "place", "n"])
+
+        summed = rows.mapInArrow(add_up, "taught long, label long, cell long, place long, n long").groupBy("taught", "label", "cell", "place").agg(F.sum("n").alias("n")).toArrow()
+        taught, label, cell, place, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in summed.columns)
+        sums = Sums(judges)
+        for k in (0, 1):
+            many, own = (taught == k) & (place == 0), (taught == k) & (place > 0)
+            sums.count[k][label[many], cell[many]] = n[many]
+            sums.total[k][label[own], cell[own], place[own] - 1] = n[own]
+        return sums
+
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("y"))
-    least = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)  # noqa: E731  bounded by the parameter
-    unlabelled = rows.select("doc_id").join(known, "doc_id", "left_anti").distinct()
-    chosen = least(known, most_labelled).union(least(unlabelled.withColumn("y", F.lit(-1)), most_pool))
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(sampled, "y int, a binary, b binary").toArrow()
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # bounded by the parameter
+    one = F.min(F.struct("text", *[f"m{k}" for k in range(len(metadata))], "y")).alias("r")
+    labelled = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "r.*")
+    got = labelled.mapInArrow(sampled, "y int, a binary, b binary").toArrow()
     y = np.asarray(got.column("y")).astype(np.float32) if got.num_rows else np.zeros(0, np.float32)
     a, b = ([np.frombuffer(v.as_buffer(), np.float32) for v in got.column(c).combine_chunks()] if got.num_rows else [] for c in "ab")
     order = np.array(sorted(range(len(y)), key=lambda i: xxhash.xxh3_64_intdigest(a[i].tobytes() + b[i].tobytes())), np.int64)
     y = y[order] if len(y) else y
-    model, share = None, float((y[y >= 0] > 0).mean()) if (y >= 0).any() else 1.0
-    if len(set(y[y >= 0][np.arange((y >= 0).sum()) % 4 != 3].tolist())) == 2 and len(set(y[y >= 0][3::4].tolist())) == 2:
-        matrices = [np.stack([x[i] for i in order]) for x in (a, b)]
-        model = cotrained([m[y >= 0] for m in matrices], y[y >= 0], [m[y < 0] for m in matrices])
+    model, share = None, float((y > 0).mean()) if len(y) else 1.0
+    if len(set(y[np.arange(len(y)) % 4 != 3].tolist())) == 2 and len(set(y[3::4].tolist())) == 2:
+        model = cotrained([np.stack([x[i] for i in order]) for x in (a, b)], y, taught_by)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
