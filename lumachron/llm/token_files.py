@@ -11,6 +11,7 @@ each other. Columns other than the id and the text are not stored. A null id com
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from .words import BLANKS, LOWER, flat_text, gather_ranges, slices, split_words
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
+#: Text bytes of a file, at most and, where there are few files, at least.
+FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 FILE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
@@ -36,6 +39,22 @@ STOPS = np.isin(np.arange(256), [ord(c) for c in ".,;!?"])
 CUTS = (PLAIN[:, None] & STOPS[None, :]) | (STOPS[:, None] & PLAIN[None, :])
 
 
+#: The normalizer and the splitting of the tokenizer files for which words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer of a file encodes runs without ASCII blanks on their own, in either case, and cuts at stops."""
+    with open(path, encoding="utf-8") as file:
+        it = json.load(file)
+    model = it["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and model.get("continuing_subword_prefix") is None
+    splits = it["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
+    return plain and splits and it["normalizer"] == NORMALIZER and all(x["content"].startswith("<|") for x in it["added_tokens"])
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -44,16 +63,16 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Ids by the tokenizers library. The tokenizer drops white space and tokenises what lies between on its own, so each
+    """Ids by the tokenizers library. If the tokenizer drops white space and tokenises what lies between on its own, each
     distinct run without ASCII blanks is encoded once; lower-case Latin letters go straight to the library's model, as all
-    that comes before it leaves them as they are."""
+    that comes before it leaves them as they are. By any other tokenizer whole texts are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model, self.letters = self.library.model, byte_letters()
+        self.model, self.letters, self.by_words = self.library.model, byte_letters(), by_words(path)
         self.forget()
 
     def forget(self) -> None:
@@ -80,6 +99,9 @@ class WordTokens:
         self.sizes = np.append(self.sizes, sizes)
 
     def encode(self, texts: pa.Array, end: int | None) -> pa.ListArray:
+        if not self.by_words:
+            found = [x.ids + ([] if end is None else [end]) for x in self.library.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return pa.array(found, pa.list_(pa.int32()))
         special = b"<|" in flat_text(texts)[0].tobytes()  # a special token's case counts
         words = split_words(texts, BLANKS, None if special else LOWER, CUTS)
         distinct = words.distinct.to_pylist()
@@ -98,7 +120,8 @@ class WordTokens:
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes the whole texts and writes them to `path`, files and rows in ascending order of the id.
 
-    One shuffle: texts (smaller than their ids) are dealt by range of the id; a worker encodes a bounded slice at a time.
+    One shuffle: texts (smaller than their ids) are dealt by range of the id, and of a row number where many have one id; the
+    measured bytes of text decide how many files there are. A worker encodes a bounded slice at a time.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +132,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end: int
                 sizes = np.diff(np.asarray(ids.offsets)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-total // FILE_BYTES), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_BYTES))
     (
-        rows.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        rows.repartitionByRange(files, "doc_id", "row")
+        .sortWithinPartitions("doc_id", "row")
+        .drop("row")
         .mapInArrow(encode, FILE_SCHEMA)
         .write.option("parquet.writer.version", "v2")  # delta encoding where there is no dictionary
         .option("parquet.enable.dictionary", "false")
@@ -141,8 +167,8 @@ def with_starts(rows: DataFrame) -> DataFrame:
     Files are ranges of ids, so a running sum within each file and the totals of the files before it suffice; of all
     files together only one row each is sorted.
     """
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("least"), F.count("doc_id").alias("known"))
-    order = Window.orderBy(F.col("known") > 0, "least").rowsBetween(Window.unboundedPreceding, 0)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("doc_id").alias("known"))
+    order = Window.orderBy(F.col("known") > 0, "least", "greatest", "file").rowsBetween(Window.unboundedPreceding, 0)
     before = files.select("file", (F.sum("total").over(order) - F.col("total")).alias("before"))
     inner = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("upto", F.sum("n_tokens").over(inner)).join(before, "file").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("before", "upto")
