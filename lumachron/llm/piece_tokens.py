@@ -1,18 +1,17 @@
 """SentencePiece BPE encoding by vectorised merge rounds, and decoding by table lookup.
 
 Texts are cut between two characters that stand next to each other in no piece of the vocabulary (so before each word
-mark), since no merge can cross there. The distinct new words so made are held as one flat array of symbols, and each
-round takes, for every word at once, the pair with the best rank (leftmost if tied), merges it, and
-compacts; words without a pair leave. One merge per word and round keeps the order of a sequential merge: merging all
-equal pairs at once would not, as a new symbol may form a better pair with its neighbour.
+mark), since no merge can cross there. The distinct new words so made are held as one flat array of symbols. Each
+round takes, for every word at once, the least rank of its pairs, merges all pairs of that rank, leftmost first where they overlap,
+and compacts; words without a pair leave. A merge may make a pair that comes before the others of the round (as a piece may be older
+than a part of it): merges of a word end with the first that does, so the order is that of sequential merging, in words of any length.
 
 Ids are those of the model; characters outside it become byte pieces. Null and empty texts give no ids. Other columns
-are kept, so a clashing one must be renamed first. Decoding drops the mark that encoding puts in front.
+are kept; one that has the name of the new column is replaced. Decoding drops the mark that encoding puts in front.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,6 @@ from .words import binary_array, flat_text, gather_ranges, slices
 
 MARK = "▁"
 NONE = np.int64(2**31 - 1)
-#: Symbols of a word beyond which merging works with a heap, as rounds would be too many.
-LONG_WORD = 192
 #: Words whose ids a worker remembers.
 REMEMBERED = 150_000
 
@@ -88,77 +85,53 @@ class PieceModel:
         rank[np.cumsum(lengths) - 1] = NONE
         while len(words):
             ends = np.cumsum(lengths)
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), ends - lengths)
-            done = best >> 32 == NONE
+            least = np.minimum.reduceat(rank, ends - lengths)
+            done = least == NONE
             keep = np.repeat(~done, lengths)
             if done.any():
                 ended.append(symbols[~keep])
                 owners.append(np.repeat(words[done], lengths[done]))
-            left = best[~done] & 0xFFFFFFFF
-            symbols[left] = merged[left]
-            rank[left] = rank[left + 1]  # NONE if the merged pair ends its word
-            keep[left + 1] = False
-            now = np.cumsum(keep)[left] - 1  # where the merged symbols are after compaction
-            symbols, rank, merged, words, lengths = symbols[keep], rank[keep], merged[keep], words[~done], lengths[~done] - 1
-            starts = np.cumsum(lengths) - lengths
-            right = now[now < starts + lengths - 1]
+                if done.all():
+                    break
+            at, piece, many = self.merges(symbols, rank, merged, ends, lengths, least)
+            symbols[at] = piece
+            keep[at + 1] = False
+            now = np.cumsum(keep)[at] - 1  # where the merged symbols are after compaction
+            lengths = (lengths - many)[~done]
+            symbols, rank, merged, words = symbols[keep], rank[keep], merged[keep], words[~done]
+            last = np.zeros(len(symbols) + 1, bool)
+            last[np.cumsum(lengths) - 1] = True
             rank[now] = NONE
-            back = now[now > starts] - 1
-            for at in (right, back):
-                rank[at], merged[at] = self.pairs(symbols[at], symbols[at + 1])
+            right = now[~last[now]]
+            back = now[(now > 0) & ~last[now - 1]] - 1
+            for x in (right, back):
+                rank[x], merged[x] = self.pairs(symbols[x], symbols[x + 1])
         ids, owner = self.spelled(np.concatenate(ended), np.concatenate(owners))
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
 
-    def long_word(self, symbols: np.ndarray) -> np.ndarray:
-        """The same for one very long word, with a heap of pairs."""
-        n = len(symbols)
-        symbol, before, after = symbols.tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, merged = (x.tolist() for x in self.pairs(symbols[:-1], symbols[1:]))
-        heap = [(rank[i], i, symbol[i], symbol[i + 1], merged[i]) for i in range(n - 1) if rank[i] != NONE]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def push(i: int, j: int) -> None:
-            pair = symbol[i], symbol[j]
-            if pair not in known:
-                r, m = self.pairs(np.array(pair[:1]), np.array(pair[1:]))
-                known[pair] = int(r[0]), int(m[0])
-            r, m = known[pair]
-            if r != NONE:
-                heapq.heappush(heap, (r, i, *pair, m))
-
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if symbol[i] != a or j < 0 or symbol[j] != b:
-                continue
-            symbol[i], symbol[j], after[i] = m, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                push(i, after[j])
-            if before[i] >= 0:
-                push(before[i], i)
-        flat = np.array([s for s in symbol if s >= 0], np.int64)
-        return self.spelled(flat, flat)[0]
+    def merges(self, symbols: np.ndarray, rank: np.ndarray, merged: np.ndarray, ends: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs that a round merges, the pieces that they become, and how many each word has."""
+        at = np.flatnonzero(rank == np.repeat(np.where(least == NONE, -1, least), lengths))
+        fresh = np.append(True, at[1:] != at[:-1] + 1)
+        at = at[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]  # of overlapping pairs, every second
+        word, piece = np.searchsorted(ends, at, "right"), merged[at]
+        if (word[1:] == word[:-1]).any():
+            # the pairs that each merge makes, with the merges left of it done
+            left = np.where(at > (ends - lengths)[word], symbols[at - 1], -1)
+            touch = np.flatnonzero((at[1:] == at[:-1] + 2) & (word[1:] == word[:-1]))
+            left[touch + 1] = piece[touch]
+            right = np.where(at + 2 < ends[word], symbols[np.minimum(at + 2, len(symbols) - 1)], -1)
+            first = np.minimum(self.pairs(left, piece)[0], self.pairs(piece, right)[0]) <= least[word]
+            before = np.cumsum(first) - first
+            kept = before == before[np.searchsorted(word, word)]
+            at, word, piece = at[kept], word[kept], piece[kept]
+        return at, piece, np.bincount(word, minlength=len(lengths))
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each has."""
         text = [w.decode().replace(" ", MARK) for w in words]
         lengths = np.array([len(x) for x in text], np.int64)
-        symbols = self.char[np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)]
-        short = lengths <= LONG_WORD
-        if short.all():
-            return self.rounds(symbols, lengths)
-        ends = np.cumsum(lengths)
-        ids, sizes = self.rounds(symbols[np.repeat(short, lengths)], lengths[short])
-        many = np.zeros(len(words), np.int64)
-        many[short] = sizes
-        parts, before = [], 0
-        for w in np.flatnonzero(~short).tolist():
-            to = int(many[:w][short[:w]].sum())
-            parts += [ids[before:to], x := self.long_word(symbols[ends[w] - lengths[w] : ends[w]])]
-            many[w], before = len(x), to
-        return np.concatenate([*parts, ids[before:]]), many
+        return self.rounds(self.char[np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)], lengths)
 
 
 class PieceCoder:
@@ -220,6 +193,7 @@ class PieceCoder:
 
 def with_piece_ids(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text; narrow, no shuffle."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != out])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +207,7 @@ def with_piece_ids(docs: DataFrame, model_path: str, text: str = "text", out: st
 
 def with_decoded(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column of the text that each list of ids stands for."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != out])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
