@@ -1,7 +1,8 @@
 """A training corpus from documents: quality rules, line dedup, near-duplicate removal, decontamination, token ids.
 
 Each stage works on all that the stage before it kept, and its decisions take effect. All but the last return the columns
-of documents. doc_id is taken as unique.
+of documents. Rows are judged by their texts (and sites), so ids may be null or repeated: each row has its own fate, and of
+rows that are equal in id and text one stays.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumachron.llm import decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules
-from lumachron.llm.shared import table, written
+from lumachron.llm.shared import scratch, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = written(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage wrote on its way goes as its result is written
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return docs
