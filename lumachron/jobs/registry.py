@@ -35,9 +35,9 @@ EVENTS = "ev as (select event_type as series_id, epoch_us(ts) / 1e6 / 86400 as t
 ORDERS = "od as (select o_orderpriority as series_id, epoch_us(o_orderdate) / 1e6 / 86400 as t, o_totalprice as x, o_orderkey as row_id from orders where o_orderdate is not null and isfinite(o_totalprice))"
 
 
-def parts_sql(rows: str = "ev", keys: str = "series_id", omega: str = "2 * pi() * range * 0.001", name: str = "comp") -> str:
+def parts_sql(rows: str = "ev", keys: str = "series_id", omega: str = "2 * pi() * range * 0.001", name: str = "comp", grid: str = "range(1, 201)") -> str:
     """Components by observation: grid, statistics, shift, then sums; a, b standardised, ar, br demeaned, am, bm raw."""
-    return f"""g as (select range as freq_id, range * 0.001 as f, {omega} as omega from range(1, 201)),
+    return f"""g as (select range as freq_id, range * 0.001 as f, {omega} as omega from {grid}),
 st as (select {keys}, count(*) as n, avg(x) as mu, stddev_samp(x) as sd from {rows} group by all),
 sm as (select {keys}, freq_id, f, omega, sum(sin(2 * omega * t)) as s2, sum(cos(2 * omega * t)) as c2 from {rows}, g group by all),
 sh as (select {keys}, freq_id, f, omega, atan(s2 / c2) / (2 * pi()) as tau from sm),
@@ -220,12 +220,29 @@ def integral_omega(spark: SparkSession, d: str) -> DataFrame:
 
 @query("integral_adaptive", None)
 def integral_adaptive(spark: SparkSession, d: str) -> DataFrame:
-    """Power of order series over a narrow band by adaptive quadrature, trapezoid if that doesn't settle."""
+    """Power of order series over a narrow band by adaptive quadrature, with ever wider tolerances for series that don't settle and
+    a trapezoid of 20001 points in the end; `way` is the step that gave the result."""
     series = order_series(spark, d).withColumn("t", F.col("t") - 8000)
-    evaluate = lambda nodes: integrals.power_at(components(integrals.node_moments(series, nodes), mode="paper"))
-    grid = lambda: divergence.auto_integral(components(moments(series, 50, STEP), mode="paper"), 50, STEP).select(F.col("series_id").alias("key"), "integral", F.lit(0.0).alias("error"))
-    attempts = [lambda t=t: integrals.adaptive(spark, 0.001, 0.05, evaluate, t, 6, 16) for t in (1e-6, 1e-4)]
-    return integrals.with_ladder(attempts, 1e-2, grid).select(F.col("key").alias("series_id"), rounded(F.col("integral"), 4).alias("integral"))
+
+    def some(keys: DataFrame | None) -> DataFrame:
+        return series if keys is None else series.join(keys.select(F.col("key").alias("series_id")), "series_id", "left_semi")
+
+    def attempt(tolerance: float) -> Callable[[DataFrame | None], DataFrame]:
+        return lambda keys: integrals.adaptive(spark, 0.001, 0.05, lambda nodes: integrals.power_at(components(integrals.node_moments(some(keys), nodes), mode="paper")), tolerance, 7, 16)
+
+    def grid(keys: DataFrame) -> DataFrame:
+        step = (0.05 - 0.001) / 20000
+        parts = components(moments(some(keys), 20001, step, start=0.001), mode="paper")
+        return divergence.auto_integral(parts, 20001, step).select(F.col("series_id").alias("key"), "integral", F.lit(0.0).alias("error"))
+
+    found = integrals.with_ladder([attempt(t) for t in (1e-10, 1e-8, 1e-6)], 1e-6, grid)
+    return found.select(F.col("key").alias("series_id"), rounded(F.col("integral"), 4).alias("integral"), "way")
+
+
+@query("legacy_integral", f"{PAIRS} select series1, series2, {r(f'sum({W} * (u1 * u2 + v1 * v2))', 8)} as integral from pr group by 1, 2")
+def legacy_integral(spark: SparkSession, d: str) -> DataFrame:
+    rows = spectra.pairs(spectra.fourier_sums(moments(event_series(spark, d))), "u", "v")
+    return values(integrals.trapezoid(rows, ["series1", "series2"], spectra.legacy_cross()[0], COUNT, STEP), ("series1", "series2"), 8, integral=F.col("integral"))
 
 
 DIV = f"sum({W} * 0.5 * (a1 * a1 + b1 * b1)) as ix, sum({W} * 0.5 * (a2 * a2 + b2 * b2)) as iy, sum({W} * {CO}) as ixy"
@@ -245,6 +262,23 @@ def jensen_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.select(rounded(F.col("j"), 8).alias("j"))
 
 
+TOPS = "tp as (select series_id, cast(ceil(1 / (2 * (max(t) - min(t)) / count(*)) / 0.001) as bigint) as top from od group by 1)"
+
+
+@query("own_band_divergence", f"""with {ORDERS}, {TOPS},
+{parts_sql('od', grid='(select unnest(range(1, (select max(top) + 1 from tp))) as range)')},
+pr as (select l.series_id as series1, r.series_id as series2, l.freq_id, l.a as a1, l.b as b1, r.a as a2, r.b as b2, top
+  from comp l join comp r on l.freq_id = r.freq_id and l.series_id <> r.series_id join tp on tp.series_id = l.series_id where l.freq_id <= top),
+w as (select *, case when freq_id in (1, top) then 0.5 else 1.0 end * 0.001 as w from pr),
+dv as (select series1, series2, any_value(top) as top, sum(w * 0.5 * (a1 * a1 + b1 * b1)) as ix, sum(w * 0.5 * (a2 * a2 + b2 * b2)) as iy, sum(w * {CO}) as ixy from w group by 1, 2)
+select series1, series2, top, {r('ix')} as ix, {r('iy')} as iy, {r('ixy')} as ixy, {r('0.25 * (ix + iy - 2 * ixy) / (2 * pi())')} as j from dv""")
+def own_band_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """J of all ordered pairs of order series, on the grid from the step to the pseudo-Nyquist frequency of the first series."""
+    series = order_series(spark, d)
+    found = divergence.first_band_divergences(series, divergence.band_tops(sampling(series), STEP), STEP)
+    return values(found, ("series1", "series2", "top"), ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
+
+
 @query("band_divergence", f"""{COMP}, tp as (select series_id, least(200, 60 + 20 * (row_number() over (order by series_id))) as top from (select distinct series_id from ev)),
 pr as (select l.series_id as series1, r.series_id as series2, l.freq_id, l.a as a1, l.b as b1, r.a as a2, r.b as b2, t1.top as top1, t2.top as top2
   from comp l join comp r on l.freq_id = r.freq_id and l.series_id < r.series_id join tp t1 on t1.series_id = l.series_id join tp t2 on t2.series_id = r.series_id),

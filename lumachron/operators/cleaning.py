@@ -71,6 +71,38 @@ def choose_flux(df: DataFrame, preferred: tuple[str, ...] = ("pdcsap_flux", "sap
     return df.withColumn("x", F.col(name).cast("double")).withColumn("flux_label", F.lit(name.upper()))
 
 
+def mission_offset(mission: str) -> float:
+    """The offset of a mission's time scale; other missions are refused."""
+    if mission.strip() not in OFFSETS:
+        raise ValueError(f"mission must be one of {', '.join(OFFSETS)}")
+    return OFFSETS[mission.strip()]
+
+
+def guarded(series: DataFrame, expected: DataFrame) -> DataFrame:
+    """series, failing if one of the expected (series_id) has no observation."""
+    counts = expected.select("series_id").distinct().join(series.groupBy("series_id").agg(F.count("*").alias("n")), "series_id", "left")
+    checked = counts.select("series_id", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("empty series: "), F.col("series_id"))).cast("boolean")).otherwise(F.lit(True)).alias("checked"))
+    return series.join(checked, "series_id", "left").where(F.coalesce("checked", F.lit(True))).drop("checked")
+
+
+def light_curves(flux: DataFrame, mission: str = "Kepler", sigma: float = 8.0, iterations: int = 5, mode: str = "auto", errors: bool = True) -> DataFrame:
+    """series_id, time, mag, mag_err, flux_label of mission light curves (series_id, segment, t, columns of flux, x_err if known).
+
+    The flux column is chosen, its NaN go, segments are stitched by their medians (errors too), outliers go, times become absolute,
+    values that aren't positive become the least positive one, and magnitudes are those of the median. An error that isn't
+    positive and finite is NaN, if errors are known; without errors the column is null. Other columns are kept.
+    """
+    offset = mission_offset(mission)
+    series = choose_flux(flux).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    known = errors and "x_err" in flux.columns
+    middle = medians(series, ("series_id", "segment"), "x")
+    series = series.join(middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle"))
+    series = series.withColumn("x_err", F.col("x_err") / F.col("middle") if known else F.lit(None).cast("double")).drop("middle")
+    series = positive_clip(absolute_time(sigma_clip(series, sigma, iterations), offset, mode))
+    rows = magnitudes(series).withColumnRenamed("t", "time")
+    return rows.withColumn("mag_err", F.coalesce("mag_err", F.lit(float("nan")))) if known else rows
+
+
 def prefixes(series: DataFrame, lengths: list[int]) -> DataFrame:
     """The first n observations of each series for each n, keyed by series_id and length."""
     order = Window.partitionBy("series_id").orderBy("t", "row_id")

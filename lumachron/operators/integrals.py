@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumachron.functions.numeric import TAU
+from lumachron.functions.numeric import TAU, is_finite
+from lumachron.operators.blocks import written
 from lumachron.operators.moments import sums_of
 
 
@@ -37,34 +39,37 @@ def adaptive(spark: SparkSession, low: float, high: float, evaluate: Callable[[l
     """key, integral, error of evaluate(nodes) over [low, high]: intervals whose two rules differ too much are halved.
 
     evaluate takes a list of (interval, node, f) and returns (key, interval, node, y) for each key; all open intervals of a round
-    are one job, and the driver sees the interval sums alone. An interval is halved until its share of the tolerance is met
-    for every key, or the rounds are over; what is left counts as it is, its error in the error.
+    are one job, whose sums by key are written; the driver sees which intervals are open alone. An interval is halved until its share of
+    the tolerance is met for every key, or the rounds are over; what is left counts as it is, its error in the error.
     """
-    open_, done = [(low + (high - low) * k / start, low + (high - low) * (k + 1) / start) for k in range(start)], {}
+    open_, parts = [(low + (high - low) * k / start, low + (high - low) * (k + 1) / start) for k in range(start)], []
     rule = [(s * x, k, g) for x, k, g in zip(NODES, KRONROD, GAUSS) for s in ((1, -1) if x else (1,))]
     for attempt in range(rounds):
         rows = [(i, j, a + (b - a) * (1 + x) / 2, k * (b - a) / 2, g * (b - a) / 2) for i, (a, b) in enumerate(open_) for j, (x, k, g) in enumerate(rule)]
         nodes = spark.createDataFrame(rows, "interval int, node int, f double, kronrod double, gauss double")
         values = evaluate([r[:3] for r in rows]).join(F.broadcast(nodes.drop("f")), ["interval", "node"])
-        sums = values.groupBy("key", "interval").agg(F.sum(F.col("y") * F.col("kronrod")).alias("k"), F.sum(F.col("y") * F.col("gauss")).alias("g")).collect()
-        bad = {r["interval"] for r in sums if abs(r["k"] - r["g"]) > tolerance * (open_[r["interval"]][1] - open_[r["interval"]][0]) / (high - low)} if attempt + 1 < rounds else set()
-        for r in sums:
-            if r["interval"] not in bad:
-                total, error = done.get(r["key"], (0.0, 0.0))
-                done[r["key"]] = total + r["k"], error + abs(r["k"] - r["g"])
-        open_ = [half for i in sorted(bad) for a, b in [open_[i]] for half in ((a, (a + b) / 2), ((a + b) / 2, b))]
+        sums = written(values.groupBy("key", "interval").agg(F.sum(F.col("y") * F.col("kronrod")).alias("k"), F.sum(F.col("y") * F.col("gauss")).alias("g")), "sums")
+        share = tolerance / (start * 2**attempt)
+        bad = sorted(r["interval"] for r in sums.where(F.abs(F.col("k") - F.col("g")) > share).select("interval").distinct().collect()) if attempt + 1 < rounds else []
+        parts.append(sums.where(~F.col("interval").isin(bad)) if bad else sums)
+        open_ = [half for i in bad for a, b in [open_[i]] for half in ((a, (a + b) / 2), ((a + b) / 2, b))]
         if not open_:
             break
-    return spark.createDataFrame([(k, v, e) for k, (v, e) in sorted(done.items())], "key string, integral double, error double")
-
-
-def with_ladder(attempts: list[Callable[[], DataFrame]], limit: float, fallback: Callable[[], DataFrame]) -> DataFrame:
-    """The first attempt whose integrals are all finite with errors within the limit; else the fallback."""
-    for attempt in attempts:
-        found = attempt()
-        if found.where(F.isnan("integral") | F.col("integral").isNull() | (F.col("error") > limit)).isEmpty():
-            return found
-    return fallback()
+    return reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("k").alias("integral"), F.sum(F.abs(F.col("k") - F.col("g"))).alias("error"))
+
+
+def with_ladder(attempts: list[Callable[[DataFrame | None], DataFrame]], limit: float, fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, integral, error, way: of each key the first attempt whose integral is finite with an error within the limit, else the
+    fallback; way counts the attempts before. Each is called with the keys that are still open (None: all)."""
+    open_, done = None, []
+    for way, attempt in enumerate(attempts):
+        found = written(attempt(open_), "attempt").withColumn("way", F.lit(way))
+        good = F.coalesce(is_finite(F.col("integral")) & (F.col("error") <= limit), F.lit(False))
+        done.append(found.where(good))
+        open_ = written(found.where(~good).select("key"), "open")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+    return reduce(DataFrame.union, [*done, fallback(open_).withColumn("way", F.lit(len(attempts)))])
 
 
 def power_at(sums_at: DataFrame) -> DataFrame:

@@ -15,9 +15,14 @@ from lumachron.functions.numeric import TAU, ieee_div
 STEP, COUNT = 0.001, 200
 
 
-def with_grid(df: DataFrame, count: int = COUNT, step: float = STEP, variable: str = "f") -> DataFrame:
+def frequency(step: float, start: float | None = None) -> Column:
+    """The frequency of freq_id: its number of steps, or, counted from 1, that many steps less one from the start."""
+    return F.col("freq_id") * F.lit(step) if start is None else F.lit(start) + (F.col("freq_id") - 1) * F.lit(step)
+
+
+def with_grid(df: DataFrame, count: int = COUNT, step: float = STEP, variable: str = "f", start: float | None = None) -> DataFrame:
     """df with every frequency: freq_id, f, omega. variable "omega": the grid's values are taken as omega itself."""
-    f = F.col("freq_id") * F.lit(step)
+    f = frequency(step, start)
     rows = df.withColumn("freq_id", F.explode(F.sequence(F.lit(1), F.lit(count))))
     return rows.withColumn("f", f).withColumn("omega", f if variable == "omega" else F.lit(TAU) * f)
 
@@ -65,12 +70,12 @@ def spread(series: DataFrame) -> DataFrame:
     return series if series.isStreaming or len(series.inputFiles()) >= cores else series.repartition(cores)
 
 
-def moments(series: DataFrame, count: int = COUNT, step: float = STEP, variable: str = "f", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+def moments(series: DataFrame, count: int = COUNT, step: float = STEP, variable: str = "f", keys: tuple[str, ...] = ("series_id",), start: float | None = None) -> DataFrame:
     """Sums by series (or other keys) and frequency."""
-    rows = with_grid(spread(series.select(*keys, "t", "x")), count, step, variable)
+    rows = with_grid(spread(series.select(*keys, "t", "x")), count, step, variable, start)
     rows = rows.select(*keys, "freq_id", "x", F.cos(F.col("omega") * F.col("t")).alias("c"), F.sin(F.col("omega") * F.col("t")).alias("s"))
     sums = rows.groupBy(*keys, "freq_id").agg(*sums_of("c", "s"))
-    f = F.col("freq_id") * F.lit(step)
+    f = frequency(step, start)
     return sums.withColumn("f", f).withColumn("omega", f if variable == "omega" else F.lit(TAU) * f)
 
 

@@ -19,11 +19,12 @@ def phase() -> Column:
     return F.pmod(F.atan2(-F.col("p_sin"), F.col("p_cos")), F.lit(TAU))
 
 
-def pairs(parts: DataFrame, *columns: str, both_ways: bool = False) -> DataFrame:
-    """Components of all pairs of series at each frequency, as column1 and column2; joined on the frequency."""
+def pairs(parts: DataFrame, *columns: str, both_ways: bool = False, across: Column | None = None) -> DataFrame:
+    """Components of all pairs of series at each frequency, as column1 and column2; joined on the frequency. across: which pairs
+    are wanted, in place of those of different series."""
     side = lambda k: parts.select("freq_id", "f", "omega", F.col("series_id").alias(f"series{k}"), *[F.col(c).alias(f"{c}{k}") for c in columns or ("a", "b")])
     joined = side(1).join(side(2).drop("f", "omega"), "freq_id")
-    return joined.where("series1 <> series2" if both_ways else "series1 < series2")
+    return joined.where(across if across is not None else F.expr("series1 <> series2" if both_ways else "series1 < series2"))
 
 
 def cospectrum() -> Column:

@@ -36,8 +36,8 @@ def tokens_of(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", bare).where("value <> ''").withColumn("tokens", F.split("value", " "))
 
 
-def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "strict", skip_first_row: bool = False) -> DataFrame:
-    """series_id, time, mag, mag_err of light-curve text files, a series a file name.
+def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "strict", skip_first_row: bool = False, by_folder: bool = False) -> DataFrame:
+    """series_id, time, mag, mag_err of light-curve text files, a series a file name, or a folder series_id=... as they are written here.
 
     strict: a file has 2 or 3 columns throughout, or reading fails; rows with a value that isn't a number are dropped, also for
     the error column alone; infinities stay. loose: at least 2 columns, bad values are null, nothing is dropped. Copies of a file
@@ -45,17 +45,29 @@ def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "s
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     series = F.regexp_replace(F.regexp_replace("file", r"\.txt$", ""), r"\.dat$", "")
+    if by_folder:  # names of folders are escaped, and paths are once more
+        name = F.regexp_extract(F.col("_metadata.file_path"), "/series_id=([^/]*)/", 1)
+        series = F.url_decode(F.url_decode(F.replace(name, F.lit("+"), F.lit("%252B"))))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), series.alias("folder"))
+        series = F.col("folder")
     rows = lines.withColumn("series_id", series).withColumn("line", F.monotonically_increasing_id())
-    first = rows.groupBy("series_id").agg(F.min("file").alias("file"))
-    rows = tokens_of(rows.join(first, ["series_id", "file"], "left_semi"))
+    if not by_folder:
+        first = rows.groupBy("series_id").agg(F.min("file").alias("file"))
+        rows = rows.join(first, ["series_id", "file"], "left_semi")
+    rows = tokens_of(rows)
     if skip_first_row:
         order = Window.partitionBy("file").orderBy("block", "line")
         rows = rows.withColumn("n", F.row_number().over(order)).where("n > 1")
+    return parsed(rows, mode)
+
+
+def parsed(rows: DataFrame, mode: str = "strict", *keep: str) -> DataFrame:
+    """series_id, time, mag, mag_err (and columns to keep) of tokenised lines, as read_light_curves has them; errors name series_id."""
     if mode == "strict":
         width = F.size("tokens")
-        rows = rows.where(F.when((width < 2) | (width > 3), F.raise_error(F.concat(F.col("file"), F.lit(": expected 2 or 3 columns"))).cast("boolean")).otherwise(F.lit(True)))
+        rows = rows.where(F.when((width < 2) | (width > 3), F.raise_error(F.concat(F.col("series_id"), F.lit(": expected 2 or 3 columns"))).cast("boolean")).otherwise(F.lit(True)))
     number = lambda k: F.when(F.get("tokens", F.lit(k)).rlike(NUMBER), F.expr(f"try_cast(get(tokens, {k}) as double)"))
-    values = rows.select("series_id", number(0).alias("time"), number(1).alias("mag"), number(2).alias("mag_err"), F.size("tokens").alias("width"))
+    values = rows.select("series_id", *keep, number(0).alias("time"), number(1).alias("mag"), number(2).alias("mag_err"), F.size("tokens").alias("width"))
     if mode == "strict":
         good = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
         values = values.where(good("time") & good("mag") & ((F.col("width") == 2) | good("mag_err")))

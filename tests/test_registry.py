@@ -6,16 +6,16 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lumachron.jobs import registry
+from lumachron.jobs import curves, registry  # noqa: F401  both register queries
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["series_stats", "sampling_grid", "power_spectrum", "cross_spectrum", "divergence_matrix", "legacy_cross", "sigma_clip", "stitch", "phase_fold", "iar_fit", "label_consensus"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "orders"):
+    for t in ("events", "orders", "customer"):
         con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, FOLDER).toPandas(), con.sql(registry.ORACLES[name]).df()
     columns = sorted(got.columns)
