@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import scratch, written
-from .words import BLANKS, mixed, sequence_hash, shingle_hashes, slices, split_words
+from .words import BLANKS, gather_ranges, mixed, sequence_hash, shingle_hashes, slices, split_words
 
 #: Least and most bits of the dense sketches that pairs are refused by; a set has about two bits a shingle.
 DENSE_BITS = 512, 65536
@@ -38,8 +38,10 @@ MOST_COMMON = 250_000
 COMMON_IN_SLICE = 6
 #: Rows of a few numbers (some 30 MB in memory) up to which they are broadcast.
 FEW = 300_000
-#: Members up to which a family's pairs of different classes are rows of a join; those of larger ones meet in blocks.
-SMALL = 32
+#: Members up to which a family is compared as a whole; those of larger ones meet in blocks.
+SMALL = 64
+#: Pairs whose sketches are compared at once.
+PAIRS_AT_ONCE = 20_000
 #: Nodes of a block in which a family's sketches are compared; families of more than 64 * LEAST_BLOCK have larger blocks.
 LEAST_BLOCK, MOST_BLOCK = 256, 4096
 #: Added to the level of families of cells of common shingles.
@@ -321,11 +323,42 @@ def second_pivots(families: DataFrame) -> DataFrame:
 def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one family but of different classes, of which sizes and dense sketches allow a link.
 
-    A small family's pairs are rows. A larger one's members meet, in blocks, those outside of the family's largest class, or those that aren't distinct, whichever
-    are fewer: two members of the largest class need no link, and two distinct ones have none by this family. A block's
-    sketches are compared where they lie, so refused pairs are never rows.
+    A small family lies in one place. A larger one's members meet, in blocks, those outside of the family's largest class, or those that aren't distinct, whichever
+    are fewer: two members of the largest class need no link, and two distinct ones have none by this family. Sketches are
+    compared where they lie, so refused pairs are never rows.
     """
 
+    def whole(part: pa.RecordBatch) -> pa.RecordBatch:
+        """The pairs of whole families, which lie one after another."""
+        edge = np.append(True, np.diff(np.asarray(part.column(0))) != 0) | np.append(True, np.diff(np.asarray(part.column(1))) != 0)
+        ends = np.append(np.flatnonzero(edge)[1:], part.num_rows)[np.cumsum(edge) - 1]
+        rows = np.arange(part.num_rows)
+        i, j = np.repeat(rows, ends - rows - 1), gather_ranges(rows + 1, ends - rows - 1)
+        node, n, c, u = (np.asarray(part.column(k)) if k < 5 else part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
+        kept = (c[i] != c[j]) & (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent) & ~(u[i] & u[j])
+        i, j = i[kept], j[kept]
+        dense, near = part.column(6).to_pylist(), np.zeros(len(i), bool)
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            x, y = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+            far = distances([dense[k] for k in x.tolist()], [dense[k] for k in y.tolist()])
+            near[at : at + PAIRS_AT_ONCE] = (100 + percent) * far <= (100 - percent) * (n[x] + n[y])
+        a, b = node[i[near]], node[j[near]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def by_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            last = np.flatnonzero((np.asarray(rows.column(0)) != rows.column(0)[-1].as_py()) | (np.asarray(rows.column(1)) != rows.column(1)[-1].as_py()))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last family may go on
+            if cut:
+                yield whole(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield whole(held)
+
     def compare(docs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         docs, found = docs.sort_values("n"), [np.zeros((0, 2), np.int64)]
         for width, part in docs.groupby(docs["dense"].map(len)):
@@ -348,11 +381,10 @@ def across_classes(families: DataFrame, known: DataFrame, sets: DataFrame, perce
     block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("k") / 64)))
     sums = sums.select("a", "level", "k", F.col("most.c").alias("largest"), (F.col("plain") < outside).alias("by_plain"), F.ceil(F.col("k") / block).alias("nl"), F.ceil(F.least("plain", outside) / block).alias("nr"))
     rows = written(rows.join(broadcast_if_few(written(sums, "crowds")), ["a", "level"]), "mixed")
-    some = rows.where(F.col("k") <= SMALL)
-    other = some.select("a", "level", F.col("node").alias("node2"), F.col("distinct").alias("distinct2"), F.col("c").alias("c2"))
-    pairs = some.join(other, ["a", "level"]).where("node < node2 and c <> c2 and not (distinct and distinct2)").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    near = near_enough(written(pairs.distinct(), "pairs"), sets, percent)
-    rows = rows.where(F.col("k") > SMALL).join(sets.select("node", "n", "dense"), "node")
+    rows = rows.join(sets.select("node", "n", "dense"), "node")
+    some = rows.where(F.col("k") <= SMALL).select("a", "level", "node", "n", "c", "distinct", "dense")
+    near = some.repartition("a", "level").sortWithinPartitions("a", "level").mapInArrow(by_families, "a long, b long")
+    rows = rows.where(F.col("k") > SMALL)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     columns = ["node", "n", "c", "distinct", "dense"]
