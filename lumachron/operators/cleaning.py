@@ -6,10 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumachron.functions.numeric import is_finite
-from lumachron.operators.blocks import medians
+from lumachron.operators.blocks import medians, numbered
 
 #: Offsets in days of the missions' time scales.
 OFFSETS = {"Kepler": 2454833.0, "TESS": 2457000.0}
@@ -104,7 +103,6 @@ def light_curves(flux: DataFrame, mission: str = "Kepler", sigma: float = 8.0, i
 
 
 def prefixes(series: DataFrame, lengths: list[int]) -> DataFrame:
-    """The first n observations of each series for each n, keyed by series_id and length."""
-    order = Window.partitionBy("series_id").orderBy("t", "row_id")
-    ranked = series.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(lengths))
+    """The first n observations of each series for each n, keyed by series_id and length. Places are counted by blocks of a series."""
+    ranked = numbered(series).where(F.col("i") <= max(lengths)).withColumnRenamed("i", "rank").drop("n", "block")
     return ranked.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.col("rank") <= F.col("length")).drop("rank")

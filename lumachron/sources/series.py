@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumachron.functions.numeric import epoch_days, is_finite
 
@@ -56,8 +55,8 @@ def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "s
         rows = rows.join(first, ["series_id", "file"], "left_semi")
     rows = tokens_of(rows)
     if skip_first_row:
-        order = Window.partitionBy("file").orderBy("block", "line")
-        rows = rows.withColumn("n", F.row_number().over(order)).where("n > 1")
+        first = rows.groupBy("file").agg(F.min(F.struct("block", "line")).alias("first"))
+        rows = rows.join(first, "file").where(F.struct("block", "line") != F.col("first"))
     return parsed(rows, mode)
 
 
