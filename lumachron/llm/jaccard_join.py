@@ -248,16 +248,16 @@ def candidates(some: DataFrame) -> DataFrame:
     return rare.union(hot).distinct()
 
 
-def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs (a, b) with the columns of both nodes, as columnA and columnB. Pairs are written; few of them are sent to
-    where the nodes are, so that only the nodes named in pairs move."""
+def with_sides(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, textA, textB of pairs (a, b). Pairs are written; few of them are sent to where the texts are, so that only
+    texts named in pairs move; and texts move to pairs, so a hub's pairs lie apart."""
     few = pairs.count() <= FEW
 
     def side(x: str) -> DataFrame:
-        own = sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x.upper()}") for c in columns])
+        own = texts.select(F.col("node").alias(x), F.col("text").alias(f"text{x.upper()}"))
         return own.join(F.broadcast(pairs) if few else pairs, x)
 
-    return side("a").join(side("b").hint("merge"), ["a", "b"])
+    return side("a").join(side("b").hint("merge"), ["a", "b"]).select("a", "b", "textA", "textB")
 
 
 def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +268,9 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             far = distances(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield batch.select([0, 1]).filter(pa.array((100 + percent) * far <= (100 - percent) * np.asarray(batch.column(4))))
 
-    sized = with_sides(pairs, sets, "n", "dense").where((F.col("nA") * 100 >= F.col("nB") * percent) & (F.col("nB") * 100 >= F.col("nA") * percent))
+    side = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(c + x.upper()) for c in ("n", "dense")])
+    joined = side("b").join(broadcast_if_few(pairs), "b").join(side("a").hint("merge"), "a")  # one sketch a pair moves
+    sized = joined.where((F.col("nA") * 100 >= F.col("nB") * percent) & (F.col("nB") * 100 >= F.col("nA") * percent))
     return sized.select("a", "b", "denseA", "denseB", (F.col("nA") + F.col("nB")).alias("n")).mapInArrow(refuse, "a long, b long")
 
 
@@ -287,7 +289,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return with_sides(pairs, texts, "text").select("a", "b", "textA", "textB").mapInArrow(verify, "a long, b long")
+    return with_sides(pairs, texts).mapInArrow(verify, "a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -409,13 +411,21 @@ def node_classes(docs: DataFrame, some: DataFrame, size: int, percent: int) -> D
     sketch = F.min(F.struct(F.col("n_shingles").alias("n"), "dense", "x", "y")).alias("s")
     sets = written(some.where("dense is not null").join(needed, "node", "left_semi").groupBy("node").agg(sketch).select("node", "s.*"), "sets")
     near = written(near_enough(pairs, sets, percent), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(families.select("b")).distinct()
-    of_texts = broadcast_if_few(written(wanted.join(sets.select("node", "x", "y"), "node"), "of_texts"))
-    texts = written(docs.select("text", *text_key()).join(of_texts, ["x", "y"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """node, text; few of the nodes' keys are sent to the documents, so that only their texts move."""
+        keys = broadcast_if_few(written(nodes.distinct().join(sets.select("node", "x", "y"), "node"), "of_texts"))
+        return written(docs.select("text", *text_key()).join(keys, ["x", "y"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    # documents are read for each round while few texts are wanted; beyond that once, for all members of families
+    wanted = written(both(near).union(families.select(F.col("b").alias("node"))).distinct(), "wanted")
+    texts = texts_of(both(near) if wanted.count() <= FEW else wanted)
     known = written(classes(similar(near, texts, size, percent)), "classes")
     more = written(across_classes(families, known, sets, percent).join(near, ["a", "b"], "left_anti"), "near")
     if more.isEmpty():
         return known
+    texts = texts_of(both(more)) if wanted.count() <= FEW else texts
     links = known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(more, texts, size, percent))
     return classes(links)
 

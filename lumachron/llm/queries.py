@@ -114,6 +114,45 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP3 = f"""
+with recursive toks as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{A_Z}', '{a_z}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from toks),
+sizes as (select doc_id, len(s) as n from sets),
+rows as (select doc_id, unnest(s) as g from sets),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as n_both from rows x join rows y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= 80 * (x.n + y.n - n_both)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as r from sizes union select reach.doc_id, ways.b from reach join ways on reach.r = ways.a)
+select doc_id, any_value(n) as n_shingles, min(r) as component_id from reach join sizes using (doc_id) group by 1
+"""
+
+LETTERS = f"regexp_extract_all(translate(coalesce(text, ''), '{A_Z}', '{a_z}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4 = f"""
+with toks as (select doc_id, {LETTERS} as w from documents),
+items as (select cast(item_id as varchar) as item_id, {LETTERS} as w from benchmark),
+windows as (select item_id, least(13, len(w)) as k, unnest(list_transform(range(1, greatest(2, len(w) - 11)), lambda i: array_to_string(w[i:i + 12], ' '))) as g from items where len(w) > 0),
+places as (select doc_id, k, unnest(range(1, len(w) - k + 2)) as i, w from toks, (select distinct k from windows)),
+hits as (select distinct doc_id, i, k, item_id from (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from places) join windows using (k, g)),
+words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from hits) group by 1),
+named as (select doc_id, list_sort(list(distinct item_id)) as ids from hits where item_id is not null group by 1)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_hit, coalesce(len(ids), 0) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256,
+  coalesce(n, 0) > 0 and 20 * coalesce(n, 0) >= len(w) as contaminated
+from toks left join words using (doc_id) left join named using (doc_id)
+"""
+
+OP6 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as least from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1)), '') as payload_digest,
+  case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to
+from h
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -127,4 +166,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_tokens": op10_piece_tokens,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op5_line_dedup": OP5}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6}
