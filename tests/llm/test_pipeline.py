@@ -65,3 +65,32 @@ def test_stages(spark, folder):
     tokens = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in stages["piece_tokens"](spark, clean, folder).collect()}
     assert tokens == {i: (len(x := library.encode(t)), x) for i, t in texts_of(clean).items()}
     assert {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in pipeline.run(spark, folder).collect()} == tokens
+
+
+def test_learned_rules_and_awkward_tables(spark, tmp_path):
+    """Labels that teach a rule; null and repeated ids, repeated rows and clashing columns; empty tables."""
+    import random
+    from collections import Counter
+
+    r = random.Random(12)
+    bad = lambda k: k % 4 == 0
+    rows = [(k, " ".join(r.choice(["##", "%%", "$$$", "|*"]) + w for w in prose(r, 40).split()) if bad(k) else prose(r, 40), f"s{k % 7}") for k in range(480)]
+    labels = [(k, 0 if bad(k) else 1, 0) for k in range(360)]
+    twin = prose(r, 50)
+    rows += [(None, prose(r, 30), "s1"), (None, prose(r, 30), "s2"), (7, prose(r, 30), "s1"), (None, twin, "s1"), (900, twin, "s2"), (901, twin, "s2"), (901, twin, "s2")]
+    kind = "doc_id long, text string, source string"
+    clash = {c: F.lit("clash") for c in ("n_words", "kept", "rule", "node", "row", "k", "x", "dropped", "contaminated", "c0", "words")}
+    docs = spark.createDataFrame(rows, kind).withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), **clash})
+    tests = spark.createDataFrame([(1, "nothing of this is anywhere in the documents at all here now")], "item_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for folder, n in (("some", None), ("none", 0)):
+        for name, df in (("documents", docs), ("benchmark", tests), ("labels", marks)):
+            (df if n is None else df.limit(n)).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+    got = Counter(x["doc_id"] for x in pipeline.run(spark, f"{tmp_path}/some").collect())
+    want = Counter(k for k in range(480) if not bad(k)) + Counter([None, None, 7, 900])
+    assert got == want
+    kept = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/some").persist()
+        assert kept.columns == docs.columns and kept.where("kept <> 'clash' or node <> 'clash' or x <> 'clash'").count() == 0
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
