@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumachron.functions.numeric import is_finite
-from lumachron.operators.blocks import medians, numbered
+from lumachron.operators.blocks import medians, numbered, written
 
 #: Offsets in days of the missions' time scales.
 OFFSETS = {"Kepler": 2454833.0, "TESS": 2457000.0}
@@ -97,8 +97,8 @@ def light_curves(flux: DataFrame, mission: str = "Kepler", sigma: float = 8.0, i
     middle = medians(series, ("series_id", "segment"), "x")
     series = series.join(middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle"))
     series = series.withColumn("x_err", F.col("x_err") / F.col("middle") if known else F.lit(None).cast("double")).drop("middle")
-    series = positive_clip(absolute_time(sigma_clip(series, sigma, iterations), offset, mode))
-    rows = magnitudes(series).withColumnRenamed("t", "time")
+    clipped = written(sigma_clip(written(series, "stitched"), sigma, iterations), "clipped")  # each is read several times
+    rows = magnitudes(positive_clip(absolute_time(clipped, offset, mode))).withColumnRenamed("t", "time")
     return rows.withColumn("mag_err", F.coalesce("mag_err", F.lit(float("nan")))) if known else rows
 
 
