@@ -115,15 +115,19 @@ class PieceModel:
         fresh = np.append(True, at[1:] != at[:-1] + 1)
         at = at[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]  # of overlapping pairs, every second
         word, piece = np.searchsorted(ends, at, "right"), merged[at]
-        if (word[1:] == word[:-1]).any():
+        same = word[1:] == word[:-1]
+        if same.any():  # words of several merges
+            some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+            own, of, new = at[some], word[some], piece[some]
             # the pairs that each merge makes, with the merges left of it done
-            left = np.where(at > (ends - lengths)[word], symbols[at - 1], -1)
-            touch = np.flatnonzero((at[1:] == at[:-1] + 2) & (word[1:] == word[:-1]))
-            left[touch + 1] = piece[touch]
-            right = np.where(at + 2 < ends[word], symbols[np.minimum(at + 2, len(symbols) - 1)], -1)
-            first = np.minimum(self.pairs(left, piece)[0], self.pairs(piece, right)[0]) <= least[word]
+            left = np.where(own > (ends - lengths)[of], symbols[own - 1], -1)
+            touch = np.flatnonzero((own[1:] == own[:-1] + 2) & (of[1:] == of[:-1]))
+            left[touch + 1] = new[touch]
+            right = np.where(own + 2 < ends[of], symbols[np.minimum(own + 2, len(symbols) - 1)], -1)
+            first = np.minimum(self.pairs(left, new)[0], self.pairs(new, right)[0]) <= least[of]
             before = np.cumsum(first) - first
-            kept = before == before[np.searchsorted(word, word)]
+            kept = np.ones(len(at), bool)
+            kept[some] = before == before[np.searchsorted(of, of)]
             at, word, piece = at[kept], word[kept], piece[kept]
         return at, piece, np.bincount(word, minlength=len(lengths))
 
