@@ -13,6 +13,7 @@ are kept; one that has the name of the new column is replaced. Decoding drops th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -195,13 +196,19 @@ class PieceCoder:
             return pa.array([self.model.library.decode(x) for x in ids.to_pylist()], pa.string())
 
 
+@lru_cache(maxsize=1)
+def coder_for(path: str) -> PieceCoder:
+    """One for all tasks of a worker, which so remembers words from task to task."""
+    return PieceCoder(path)
+
+
 def with_piece_ids(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text; narrow, no shuffle."""
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c != out])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        coder = coder_for(model_path)
         for batch in batches:
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*part.columns, coder.encode(part.column(part.schema.get_field_index(text)))], [*part.schema.names, out])
@@ -215,7 +222,7 @@ def with_decoded(docs: DataFrame, model_path: str, ids: str = "ids", out: str =
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        coder = coder_for(model_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, coder.decode(batch.column(batch.schema.get_field_index(ids)))], [*batch.schema.names, out])
 
