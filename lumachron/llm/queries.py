@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files, url_filter, warc
-from .shared import new_folder, table
+from .shared import new_folder, table, written
 
 
 #: The url rules of the query.
@@ -99,7 +99,8 @@ def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
-    return token_files.with_starts(token_files.document_sums(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    sums = written(token_files.document_sums(spark, path), "sums")  # read twice
+    return token_files.with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:

@@ -15,9 +15,12 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +31,7 @@ from .words import BLANKS, LOWER, flat_text, gather_ranges, slices, split_words
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
-#: Text bytes of a file, at most and, where there are few files, at least.
+#: Input bytes of a file, at most and, where there are few files, at least.
 FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 FILE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -81,21 +84,24 @@ class WordTokens:
 
     def learn(self, words: list[bytes]) -> None:
         ids: list[list[int]] = [[]] * len(words)
-        others, tokenize = [], self.model.tokenize
+        others, tokenize, number = [], self.model.tokenize, attrgetter("id")
         for k, word in enumerate(words):
+            if word.isalpha() and word.islower():  # ASCII alone, as these are bytes
+                ids[k] = list(map(number, tokenize(word.decode())))
+                continue
             text = word.decode()
             if text.isalpha() and text.islower() and max(text) < "\u0180":
-                ids[k] = [t.id for t in tokenize(text if text.isascii() else word.decode("latin-1").translate(self.letters))]
+                ids[k] = list(map(number, tokenize(word.decode("latin-1").translate(self.letters))))
             else:
                 others.append((k, text))
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
             for (k, _), x in zip(some, self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
                 ids[k] = x.ids
-        sizes = np.array([len(x) for x in ids], np.int64)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.ids = np.append(self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum())))
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
         self.sizes = np.append(self.sizes, sizes)
 
     def encode(self, texts: pa.Array, end: int | None) -> pa.ListArray:
@@ -109,7 +115,7 @@ class WordTokens:
             self.forget()
         if new := [w for w in distinct if w not in self.known]:
             self.learn(new)
-        word = np.array([self.known[w] for w in distinct], np.int64)[words.codes] if distinct else words.codes
+        word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[words.codes] if distinct else words.codes
         tokens = self.ids[gather_ranges(self.starts[word], self.sizes[word])]
         at = np.append(0, np.cumsum(self.sizes[word]))[words.at]
         if end is not None:
@@ -117,11 +123,20 @@ class WordTokens:
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32()))
 
 
+def input_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of the files that docs are read from, which takes no column; of the texts, if docs aren't read from files."""
+    try:
+        files = docs.select("_metadata.file_path", "_metadata.file_size").distinct()
+        return files.agg(F.sum("file_size")).first()[0] or 0
+    except AnalysisException:
+        return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes the whole texts and writes them to `path`, files and rows in ascending order of the id.
 
     One shuffle: texts (smaller than their ids) are dealt by range of the id, and of a row number where many have one id; the
-    measured bytes of text decide how many files there are. A worker encodes a bounded slice at a time.
+    measured bytes of the input decide how many files there are. A worker encodes a bounded slice at a time.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end: int
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = input_bytes(docs, text)
     files = max(1, -(-total // FILE_BYTES), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_BYTES))
     (
         rows.repartitionByRange(files, "doc_id", "row")
