@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, sharding, token_files, url_filter, warc
+from . import cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, ranked_search, sharding, token_files, url_filter, warc
 from .shared import new_folder, table, written
 
 
@@ -115,6 +115,11 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3 = f"""
@@ -154,6 +159,21 @@ select page_id, payload_bytes,
 from h
 """
 
+OP11 = f"""
+with words as (select doc_id, unnest({LETTERS}) as term from documents),
+tf as (select doc_id, term, count(*) as tf from words group by 1, 2),
+n as (select doc_id, count(*) as n from words group by 1),
+t as (select count(*) as n_docs, cast(sum(n) as bigint) as length from n),
+asked as (select distinct item_id, unnest({LETTERS}) as term from benchmark),
+df as (select term, count(*) as df from tf where term in (select term from asked) group by 1),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w from df, t),
+m as (select doc_id, 100 - 90 + (90 * n * n_docs) // length as m from n, t),
+s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from asked join w using (term) join tf using (term) join m using (doc_id) group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -165,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotraining": op8_cotraining,
     "op9_token_files": op9_token_files,
     "op10_piece_tokens": op10_piece_tokens,
+    "op11_ranked_search": op11_ranked_search,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6, "op11_ranked_search": OP11}
