@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, ranked_search, sharding, token_files, url_filter, warc
+from . import conversations, cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, ranked_search, sharding, token_files, url_filter, warc
 from .shared import new_folder, table, written
 
 
@@ -120,6 +120,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(given, conversations.damaged(given))
+
+
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3 = f"""
@@ -186,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_piece_tokens": op10_piece_tokens,
     "op11_ranked_search": op11_ranked_search,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6, "op11_ranked_search": OP11}
