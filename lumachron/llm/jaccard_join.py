@@ -430,6 +430,24 @@ def node_classes(docs: DataFrame, some: DataFrame, size: int, percent: int) -> D
     return classes(links)
 
 
+def with_components(sketched: DataFrame, some: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, chosen, x, y of all sketched rows, as `jaccard_classes` gives, by the nodes of those with shingles and
+    the roots of linked nodes."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "y")
+    nodes = written(some.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "nodes")
+    linked = nodes.join(known, "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("first"))
+    of_class = linked.select("node", "root").join(least, "root").select("node", "first")
+    alone = nodes.where("copies > 1").join(known, "node", "left_anti").select("node", "first")
+    groups = broadcast_if_few(written(of_class.union(alone), "groups"))  # a row that is alone in its class isn't in it
+    rows = some.select("doc_id", "n_shingles", "node", "x", "y").join(groups, "node", "left")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("x") == F.col("first.x")) & (F.col("y") == F.col("first.y"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    judged = rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("first").isNull() | same).alias("chosen"), "x", "y")
+    empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"), "x", "y")
+    return judged.union(empty)
+
+
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, chosen, x, y of each row: the size of its set, and the least doc_id reachable by links.
 
@@ -444,19 +462,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     some = with_nodes(sketched)
     with scratch(docs.sparkSession):
         known = written(node_classes(docs, some, size, percent), "classes", keep=True)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "y")
-    nodes = written(some.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "nodes")
-    linked = nodes.join(known, "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("first"))
-    of_class = linked.select("node", "root").join(least, "root").select("node", "first")
-    alone = nodes.where("copies > 1").join(known, "node", "left_anti").select("node", "first")
-    groups = broadcast_if_few(written(of_class.union(alone), "groups"))  # a row that is alone in its class isn't in it
-    rows = some.select("doc_id", "n_shingles", "node", "x", "y").join(groups, "node", "left")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("x") == F.col("first.x")) & (F.col("y") == F.col("first.y"))
-    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    judged = rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("first").isNull() | same).alias("chosen"), "x", "y")
-    empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"), "x", "y")
-    return judged.union(empty)
+    return with_components(sketched, some, known)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

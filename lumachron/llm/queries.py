@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, cotraining, decontaminate, jaccard_join, line_dedup, piece_tokens, quality_rules, ranked_search, sharding, token_files, url_filter, warc
+from . import conversations, cotraining, decontaminate, jaccard_join, line_dedup, minhash, piece_tokens, quality_rules, ranked_search, sharding, token_files, url_filter, warc
 from .shared import new_folder, table, written
 
 
@@ -125,21 +125,32 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(given, conversations.damaged(given))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.minhash_classes(table(spark, sf_dir, "documents"), 3, 85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-OP3 = f"""
+
+def classes_sql(size: int, percent: int, more: str = "") -> str:
+    """Classes of documents by exact Jaccard similarity of their word shingles."""
+    return f"""
 with recursive toks as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{A_Z}', '{a_z}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
-sets as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+sets as (select doc_id, case when len(w) >= {size} then list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' ')))
   when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from toks),
 sizes as (select doc_id, len(s) as n from sets),
 rows as (select doc_id, unnest(s) as g from sets),
 common as (select x.doc_id as a, y.doc_id as b, count(*) as n_both from rows x join rows y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
-links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= 80 * (x.n + y.n - n_both)),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= {percent} * (x.n + y.n - n_both)),
 ways as (select a, b from links union all select b, a from links),
 reach as (select doc_id, doc_id as r from sizes union select reach.doc_id, ways.b from reach join ways on reach.r = ways.a)
-select doc_id, any_value(n) as n_shingles, min(r) as component_id from reach join sizes using (doc_id) group by 1
+select doc_id, any_value(n) as n_shingles, min(r) as component_id{more} from reach join sizes using (doc_id) group by 1
 """
 
+
+OP3, OP13 = classes_sql(5, 80), classes_sql(3, 85, ", doc_id = min(r) as kept")
+
 LETTERS = f"regexp_extract_all(translate(coalesce(text, ''), '{A_Z}', '{a_z}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP4 = f"""
@@ -192,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_tokens": op10_piece_tokens,
     "op11_ranked_search": op11_ranked_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6, "op11_ranked_search": OP11}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6, "op11_ranked_search": OP11, "op13_minhash_dedup": OP13}
