@@ -190,6 +190,48 @@ r as (select *, row_number() over (partition by item_id order by score desc, doc
 select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 10
 """
 
+
+
+def conversation_sql() -> str:
+    """Repair by recursion over rows: the least (cost, audit) of each role state, edits as a table of moves."""
+    after, kept, named = {"b": "u", "s": "u", "u": "a", "a": "u"}, {("b", "s"): "s", ("b", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}, {"u": "user", "a": "assistant"}
+    moves = []
+    for start in "bsua":
+        state, put = start, ""
+        for n in range(3):
+            seg = "I" * n
+            moves.append((start, "", f"{seg}D", 2 * n + 3, state, put, ""))
+            moves += [(start, c, f"{seg}K", 2 * n, to, put, "") for (q, c), to in kept.items() if q == state]
+            moves.append((start, "", f"{seg}R", 2 * n + 2, after[state], put, named[after[state]]))
+            state = after[state]
+            put += f"{named[state]}:|"
+    rows = ", ".join(str(m).replace("|", "' || chr(10) || '") for m in moves)
+    return f"""
+with recursive keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+coded as (select *, xor(4294967295, list_reduce(list_transform(range(1, len(k) + 1), lambda i: cast(ascii(substr(k, cast(i as int), 1)) as bigint)),
+  lambda c, b: list_reduce(range(8), lambda x, j: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, b)), cast(4294967295 as bigint))) % 20 as kind from keyed),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(range(case when kind = 3 then 2 else 1 end)) as copy from coded where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+  row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) as ending from damaged),
+faulty as (select *, left(role, 1) as initial, ending = '' as blank, ending <> '' and again > 1 as twice, ending <> '' and again = 1 and ending not in ('.', '!', '?') as cut,
+  lag(left(role, 1)) over (partition by conv_id order by i) as before from placed),
+moves as (select * from (values {rows}) as m(source, need, seg, price, target, put, named)),
+dp as (select distinct conv_id, cast(0 as bigint) as i, 'b' as state, {{'c': cast(0 as bigint), 'a': '', 'o': ''}} as best from faulty
+  union all
+  select f.conv_id, f.i, target, min({{'c': best.c + price + case when cut and right(seg, 1) <> 'D' then 1 else 0 end, 'a': best.a || seg,
+      'o': best.o || put || case right(seg, 1) when 'K' then role || ':' || text || chr(10) when 'R' then named || ':' || text || chr(10) else '' end}})
+  from dp join faulty f on f.conv_id is not distinct from dp.conv_id and f.i = dp.i + 1 join moves on source = state and need in ('', initial) and (right(seg, 1) = 'D' or not (blank or twice)) group by 1, 2, 3),
+ends as (select * from (values ('b', '', 0, ''), ('a', '', 0, ''), ('u', 'I', 2, 'assistant:' || chr(10)), ('s', 'II', 4, 'user:' || chr(10) || 'assistant:' || chr(10))) as e(state, tail, price, put)),
+summed as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (twice) as duplicate, count(*) filter (cut) as truncated,
+  count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from faulty group by 1),
+done as (select dp.conv_id, min({{'c': best.c + price, 'a': best.a || tail, 'o': best.o || put}}) as best from dp join summed s on s.conv_id is not distinct from dp.conv_id and s.n = dp.i join ends using (state) group by 1)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(left(best.o, len(best.o) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join summed s on s.conv_id is not distinct from c.conv_id left join done d on d.conv_id is not distinct from c.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -206,4 +248,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_minhash_dedup": op13_minhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6, "op11_ranked_search": OP11, "op13_minhash_dedup": OP13}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_jaccard_join": OP3, "op4_decontaminate": OP4, "op5_line_dedup": OP5, "op6_warc": OP6, "op11_ranked_search": OP11, "op12_conversation_repair": conversation_sql(), "op13_minhash_dedup": OP13}

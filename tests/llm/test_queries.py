@@ -42,7 +42,7 @@ def tables():
     return {"documents": docs, "benchmark": items, "pages": pages}
 
 
-KINDS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}
+KINDS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int", "conversations": "conv_id long, turn long, role string, text string"}
 
 
 @pytest.fixture(scope="module")
