@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumachron.functions.numeric import is_finite, rounded
-from lumachron.operators import autoregression, cleaning, divergence, integrals, spectra, tapers
+from lumachron.functions.numeric import epoch_days, is_finite, rounded
+from lumachron.operators import autoregression, cleaning, divergence, integrals, spectra, tapers, tiles, transforms
+from lumachron.operators.blocks import numbered, written
 from lumachron.operators.moments import COUNT, STEP, components, moments, sampling, with_grid, with_own_grid
 from lumachron.sources.series import event_series, finite_pairs, light_curve_lines, order_series, read
 
@@ -250,7 +251,7 @@ DIV = f"sum({W} * 0.5 * (a1 * a1 + b1 * b1)) as ix, sum({W} * 0.5 * (a2 * a2 + b
 
 @query("divergence_matrix", f"{PAIRS}, dv as (select series1, series2, {DIV} from pr group by 1, 2) select series1, series2, {r('ix', 8)} as ix, {r('iy', 8)} as iy, {r('ixy', 8)} as ixy, {r('0.25 * (ix + iy - 2 * ixy) / (2 * pi())', 8)} as j from dv")
 def divergence_matrix(spark: SparkSession, d: str) -> DataFrame:
-    found = divergence.divergences(event_pairs(spark, d), ["series1", "series2"], COUNT, STEP)
+    found = tiles.pair_divergences(event_parts(spark, d), COUNT, STEP)
     return values(found, ("series1", "series2"), 8, ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
 
 
@@ -275,10 +276,35 @@ select series1, series2, top, {r('ix')} as ix, {r('iy')} as iy, {r('ixy')} as ix
 def own_band_divergence(spark: SparkSession, d: str) -> DataFrame:
     """J of all ordered pairs of order series, on the grid from the step to the pseudo-Nyquist frequency of the first series."""
     series = order_series(spark, d)
-    found = divergence.first_band_divergences(series, divergence.band_tops(sampling(series), STEP), STEP)
+    found = divergence.first_band_divergences(series, divergence.band_tops(sampling(series), STEP, False), STEP)
     return values(found, ("series1", "series2", "top"), ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
 
 
+@query("own_grid_components", f"""with {ORDERS}, {TOPS},
+{parts_sql('od', grid='(select unnest(range(1, (select max(top) + 1 from tp))) as range)')}
+select series_id, freq_id, {r('a')} as a, {r('b')} as b from comp join tp using (series_id) where freq_id <= top""")
+def own_grid_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of order series, each on its own whole grid, by the fast transform; whole days make the sines vanish at half a cycle a day."""
+    series = order_series(spark, d)
+    parts = transforms.band_components(series, divergence.band_tops(sampling(series), STEP, False), STEP)
+    return values(parts, SERIES, a=F.col("a"), b=F.col("b"))
+
+
+@query("two_band_divergence", f"""with {ORDERS}, {TOPS},
+{parts_sql('od', grid='(select unnest(range(1, (select max(top) + 1 from tp))) as range)')},
+pw as (select series_id, sum(case when freq_id in (1, top) then 0.5 else 1.0 end * 0.001 * 0.5 * (a * a + b * b)) as own from comp join tp using (series_id) where freq_id <= top group by 1),
+pr as (select l.series_id as series1, r.series_id as series2, case when l.freq_id in (1, top) then 0.5 else 1.0 end * 0.001 * 0.5 * (l.a * r.a + l.b * r.b) as c
+  from comp l join comp r on l.freq_id = r.freq_id and l.series_id <> r.series_id join tp on tp.series_id = l.series_id where l.freq_id <= top),
+dv as (select series1, series2, sum(c) as ixy from pr group by 1, 2)
+select series1, series2, {r('x.own')} as ix, {r('y.own')} as iy, {r('ixy')} as ixy, {r('0.25 * (x.own + y.own - 2 * ixy) / (2 * pi())')} as j
+from dv join pw x on x.series_id = series1 join pw y on y.series_id = series2""")
+def two_band_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """J of order series with a band of its own for each: Ix and Ixy up to the first's pseudo-Nyquist frequency, Iy up to the second's."""
+    series = order_series(spark, d)
+    found = divergence.two_band_divergences(series, divergence.band_tops(sampling(series), STEP, False), STEP)
+    return values(found, ("series1", "series2"), ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
+
+
 @query("band_divergence", f"""{COMP}, tp as (select series_id, least(200, 60 + 20 * (row_number() over (order by series_id))) as top from (select distinct series_id from ev)),
 pr as (select l.series_id as series1, r.series_id as series2, l.freq_id, l.a as a1, l.b as b1, r.a as a2, r.b as b2, t1.top as top1, t2.top as top2
   from comp l join comp r on l.freq_id = r.freq_id and l.series_id < r.series_id join tp t1 on t1.series_id = l.series_id join tp t2 on t2.series_id = r.series_id),
@@ -287,18 +313,48 @@ dv as (select series1, series2, sum(w1 * 0.5 * (a1 * a1 + b1 * b1)) as ix, sum(w
 select series1, series2, {r('0.25 * (ix + iy - 2 * ixy) / (2 * pi())', 8)} as j from dv""")
 def band_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Each series with a band of its own."""
-    from pyspark.sql.window import Window
-
     series = event_series(spark, d)
-    bands = series.select("series_id").distinct().withColumn("top", F.least(F.lit(COUNT), 60 + 20 * F.row_number().over(Window.orderBy("series_id"))))
+    bands = numbered(series.select("series_id").distinct(), (), ("series_id",)).select("series_id", F.least(F.lit(COUNT), 60 + 20 * F.col("i")).alias("top"))
     found = divergence.band_divergences(spectra.pairs(components(moments(series))), bands, STEP)
     return found.select("series1", "series2", rounded(F.col("j"), 8).alias("j"))
 
 
 @query("nearest_series", f"{PAIRS}, dv as (select series1, series2, {DIV} from pr group by 1, 2), m as (select series1, series2, 0.25 * (ix + iy - 2 * ixy) / (2 * pi()) as j from dv), b as (select * from m union all select series2, series1, j from m), k as (select *, row_number() over (partition by series1 order by j, series2) as rank from b) select series1, series2, rank from k where rank <= 2")
 def nearest_series(spark: SparkSession, d: str) -> DataFrame:
-    found = divergence.divergences(event_pairs(spark, d), ["series1", "series2"], COUNT, STEP)
-    return divergence.nearest(found, 2).select("series1", "series2", "rank")
+    found, _ = tiles.nearest_by_pivots(event_parts(spark, d), COUNT, STEP, 2)
+    return found.select("series1", "series2", "rank")
+
+
+PANELS = f"""with pn as (select 'p' || lpad(cast(user_id % 60 as varchar), 2, '0') as series_id, epoch_us(ts) / 1e6 / 86400 as t, value as x from events where ts is not null and isfinite(value)),
+{parts_sql('pn')},
+dv as (select l.series_id as series1, r.series_id as series2, sum({W.replace('freq_id', 'l.freq_id')} * 0.5 * ((l.a - r.a) ** 2 + (l.b - r.b) ** 2)) * 0.25 / (2 * pi()) as j
+  from comp l join comp r on l.freq_id = r.freq_id and l.series_id <> r.series_id group by 1, 2),
+k as (select *, row_number() over (partition by series1 order by j, series2) as rank from dv)"""
+
+
+def panel_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Components of 60 series: events by the panel of their user."""
+    panel = F.concat(F.lit("p"), F.lpad((F.col("user_id") % 60).cast("string"), 2, "0"))
+    users = read(spark, d, "events").select(panel.alias("series_id"), epoch_days(F.col("ts")).alias("t"), F.col("value").alias("x"))
+    return written(components(moments(finite_pairs(users))).select("series_id", "freq_id", "a", "b"), "panels")
+
+
+@query("nearest_panels", f"{PANELS} select series1, series2, rank, {r('j', 9)} as j from k where rank <= 3")
+def nearest_panels(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest of each of 60 series, exactly, by distances to pivots and what their bounds leave."""
+    found, _ = tiles.nearest_by_pivots(panel_parts(spark, d), COUNT, STEP, 3, tile=16)
+    return found.select("series1", "series2", F.col("rank").cast("long").alias("rank"), rounded(F.col("j"), 9).alias("j"))
+
+
+@query("panel_clusters", PANELS.replace("with pn", "with recursive pn", 1) + """, h as (select avg(j) as h from k where rank = 1), e as (select series1, series2 from dv, h where j <= h),
+reach as (select distinct series1 as series_id, series1 as other from dv union select reach.series_id, e.series2 from reach join e on reach.other = e.series1)
+select series_id, min(other) as cluster from reach group by 1""")
+def panel_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Single-linkage clusters of 60 series, cut at the mean J of nearest neighbours."""
+    parts = panel_parts(spark, d)
+    nearest, _ = tiles.nearest_by_pivots(parts, COUNT, STEP, 1, tile=16)
+    height = nearest.agg(F.avg("j")).first()[0] or 0.0
+    return tiles.cut(tiles.single_linkage(parts, COUNT, STEP, 16), parts.select("series_id").distinct(), height=height)
 
 
 @query("prefix_divergence", f"""with {EVENTS}, rk as (select *, row_number() over (partition by series_id order by t, row_id) as rank from ev),

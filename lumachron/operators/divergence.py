@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from lumachron.operators.blocks import written
 from lumachron.operators.integrals import trapezoid
-from lumachron.operators.moments import components, moments
+from lumachron.operators.tiles import pair_divergences
+from lumachron.operators.transforms import band_components
 
 ALPHA = 0.5
 BETA = ALPHA * (1 - ALPHA)
@@ -40,27 +41,35 @@ def band_divergences(joined: DataFrame, bands: DataFrame, step: float) -> DataFr
     return sums.withColumn("j", F.lit(BETA / (2 * math.pi)) * (F.col("ix") + F.col("iy") - 2 * F.col("ixy")))
 
 
-def band_tops(stats: DataFrame, step: float) -> DataFrame:
-    """series_id, top: the last grid index of each series, the first that reaches its f_max. A series without one fails."""
-    limit = F.when(F.isnan("f_max") | F.col("f_max").isNull() | (F.abs("f_max") == float("inf")), F.raise_error(F.concat(F.lit("no band: "), F.col("series_id"))).cast("double")).otherwise(F.col("f_max"))
-    return stats.select("series_id", F.ceil(limit / F.lit(step)).cast("long").alias("top"))
+def band_tops(stats: DataFrame, step: float, strict: bool = True) -> DataFrame:
+    """series_id, top, status: the last grid index of each series, the first that reaches its f_max. A series without one (a single observation, or
+    all at one time) fails if strict, else has top 0 and the status "no band"."""
+    none = F.isnan("f_max") | F.col("f_max").isNull() | (F.abs("f_max") == float("inf"))
+    named = F.concat(F.lit("no band: "), F.coalesce(F.col("series_id").cast("string"), F.lit("null")))
+    missing = F.raise_error(named).cast("double") if strict else F.lit(0.0)
+    limit = F.when(none, missing).otherwise(F.col("f_max"))
+    return stats.select("series_id", F.ceil(limit / F.lit(step)).cast("long").alias("top"), F.when(none, "no band").otherwise("").alias("status"))
 
 
 def first_band_divergences(series: DataFrame, tops: DataFrame, step: float) -> DataFrame:
     """series1, series2, top, ix, iy, ixy, j of all ordered pairs, each on the band of its first series.
 
-    The grid goes to the highest band, as every series meets that one; the pairs of a frequency are those whose first series reaches it.
+    Every series meets the highest band, so all have the fast transform up to it; pairs are products of tiles.
     """
-    tops = written(tops, "bands")
+    tops = written(tops.where("top > 0").select("series_id", "top"), "bands")
     highest = tops.agg(F.max("top")).first()[0] or 1
-    parts = components(moments(series, highest, step)).select("series_id", "freq_id", "a", "b")
-    side = lambda k: parts.select("freq_id", F.col("series_id").alias(f"series{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
-    one = side(1).join(tops.select(F.col("series_id").alias("series1"), "top"), "series1").where("freq_id <= top")
-    joined = one.join(side(2), "freq_id").where("series1 <> series2")
-    half = lambda p, q: 0.5 * (F.col(f"a{p}") * F.col(f"a{q}") + F.col(f"b{p}") * F.col(f"b{q}"))
-    weight = F.when((F.col("freq_id") == 1) | (F.col("freq_id") == F.col("top")), F.lit(0.5)).otherwise(F.lit(1.0)) * F.lit(step)
-    sums = joined.groupBy("series1", "series2", "top").agg(F.sum(weight * half(1, 1)).alias("ix"), F.sum(weight * half(2, 2)).alias("iy"), F.sum(weight * half(1, 2)).alias("ixy"))
-    return sums.withColumn("j", F.lit(BETA / (2 * math.pi)) * (F.col("ix") + F.col("iy") - 2 * F.col("ixy")))
+    parts = written(band_components(series, series.select("series_id").distinct().withColumn("top", F.lit(highest)), step), "components")
+    every = series.select("series_id").distinct().join(tops, "series_id", "left").select("series_id", F.coalesce("top", F.lit(0)).alias("top"))
+    found = pair_divergences(parts, every, step, both_ways=True)
+    return found.join(tops.select(F.col("series_id").cast("string").alias("series1"), "top"), "series1").select("series1", "series2", "top", "ix", "iy", "ixy", "j")
+
+
+def two_band_divergences(series: DataFrame, tops: DataFrame, step: float) -> DataFrame:
+    """series1, series2, ix, iy, ixy, j of all ordered pairs with Ix and Ixy on the band of the first series and Iy on that of the second."""
+    one = written(first_band_divergences(series, tops, step), "first-bands")
+    own = one.groupBy(F.col("series1").alias("series2")).agg(F.first("ix").alias("own"))
+    rows = one.join(own, "series2").withColumn("iy", F.col("own")).drop("own")
+    return rows.select("series1", "series2", "ix", "iy", "ixy", (F.lit(BETA / (2 * math.pi)) * (F.col("ix") + F.col("iy") - 2 * F.col("ixy"))).alias("j"))
 
 
 def nearest(matrix: DataFrame, k: int) -> DataFrame:

@@ -11,17 +11,17 @@ from lumachron.jobs import curves, registry  # noqa: F401  both register queries
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "series_stats", "sampling_grid", "power_spectrum", "cross_spectrum", "divergence_matrix", "legacy_cross", "sigma_clip", "stitch", "phase_fold", "iar_fit", "label_consensus",
-    "own_band_divergence", "legacy_integral", "prefix_divergence", "strict_reader", "loose_reader", "mission_to_text", "cross_catalogue", "spectrum_range", "target_dimension",
+    "own_band_divergence", "own_grid_components", "two_band_divergence", "nearest_panels", "panel_clusters", "legacy_integral", "prefix_divergence", "strict_reader", "loose_reader", "mission_to_text", "cross_catalogue", "spectrum_range", "target_dimension",
 ]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", CHECKED)
-def test_against_sql(spark, name):
+def test_against_sql(spark, name, folder=FOLDER):
     con = duckdb.connect()
     for t in ("events", "orders", "customer"):
-        con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
-    got, want = registry.QUERIES[name](spark, FOLDER).toPandas(), con.sql(registry.ORACLES[name]).df()
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, folder).toPandas(), con.sql(registry.ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got) == len(want)
     keys = [c for c in columns if not pd.api.types.is_float_dtype(want[c]) or c == "time"] or columns
@@ -29,5 +29,12 @@ def test_against_sql(spark, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["own_band_divergence", "own_grid_components"])
+def test_bands_past_half_a_cycle_a_day(spark, name):
+    """The orders of the larger folder reach half a cycle a day, where whole days make sines vanish."""
+    test_against_sql(spark, name, "/root/testdata/sf0.01")
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
