@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumachron.functions.numeric import epoch_days, is_finite, rounded
-from lumachron.operators import autoregression, cleaning, divergence, integrals, spectra, tapers, tiles, transforms
+from lumachron.operators import autoregression, cleaning, divergence, frontier, integrals, prefixes, spectra, tapers, tiles, transforms
 from lumachron.operators.blocks import numbered, written
 from lumachron.operators.moments import COUNT, STEP, components, moments, sampling, with_grid, with_own_grid
 from lumachron.sources.series import event_series, finite_pairs, light_curve_lines, order_series, read
@@ -246,6 +246,45 @@ def legacy_integral(spark: SparkSession, d: str) -> DataFrame:
     return values(integrals.trapezoid(rows, ["series1", "series2"], spectra.legacy_cross()[0], COUNT, STEP), ("series1", "series2"), 8, integral=F.col("integral"))
 
 
+#: Cells and nodes of the dense rule that the SQL takes: 5-point Gauss on 60 cells.
+GAUSS5 = "(values (-0.906179845938664, 0.236926885056189), (-0.538469310105683, 0.478628670499366), (0.0, 0.568888888888889), (0.538469310105683, 0.478628670499366), (0.906179845938664, 0.236926885056189)) as z(place, weight)"
+DENSE = f"""with bare as (select event_type as series_id, epoch_us(ts) / 1e6 / 86400 as t, value as x from events where ts is not null and isfinite(value)),
+ev as (select series_id, t - mid as t, x from bare, (select (min(t) + max(t)) / 2 as mid from bare)),
+nodes as (select row_number() over (order by c.range, place) as freq_id, 0.001 + 0.015 / 60 * (c.range + (1 + place) / 2) as f, 0.015 / 120 * weight as weight from range(0, 60) c, {GAUSS5}),
+{parts_sql(omega='2 * pi() * f', grid='nodes').replace('range as freq_id, range * 0.001 as f', 'freq_id, f')}"""
+
+
+@query("pair_integrals", f"""{DENSE},
+pr as (select l.series_id as series1, r.series_id as series2, weight, l.a as a1, l.b as b1, r.a as a2, r.b as b2, l.u as u1, l.v as v1, r.u as u2, r.v as v2 from comp l join comp r on l.freq_id = r.freq_id and l.series_id <= r.series_id join nodes on nodes.freq_id = l.freq_id)
+select series1, series2, {r(f'sum(weight * {CO})', 8)} as co, {r('sum(weight * (u1 * u2 + v1 * v2))', 8)} as legacy from pr group by 1, 2""")
+def pair_integrals(spark: SparkSession, d: str) -> DataFrame:
+    """Integrals of the cross spectra and pair periodograms of all event series by adaptive quadrature, on a band below where a shift jumps."""
+    found = frontier.pair_integrals(*middle_events(spark, d, ("co", "legacy")), 0.001, 0.016)
+    wide = found.groupBy("series1", "series2").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("co", "legacy")])
+    return values(wide, ("series1", "series2"), 8, co=F.col("co"), legacy=F.col("legacy"))
+
+
+def middle_events(spark: SparkSession, d: str, kinds: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Event series with times from the middle of all, and their pairs, each series with itself too."""
+    series = event_series(spark, d)
+    mid = series.agg((F.min("t") + F.max("t")) / 2).first()[0] or 0.0
+    names = series.select("series_id").distinct()
+    pairs = names.select(F.col("series_id").alias("series1")).join(names.select(F.col("series_id").alias("series2")), F.col("series1") <= F.col("series2"))
+    return series.withColumn("t", F.col("t") - F.lit(mid)), pairs.withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+
+
+@query("adaptive_divergence", f"""{DENSE},
+ow as (select series_id, sum(weight * 0.5 * (a * a + b * b)) as own from comp join nodes using (freq_id) group by 1),
+pr as (select l.series_id as series1, r.series_id as series2, sum(weight * 0.5 * (l.a * r.a + l.b * r.b)) as ixy from comp l join comp r on l.freq_id = r.freq_id and l.series_id < r.series_id join nodes on nodes.freq_id = l.freq_id group by 1, 2)
+select series1, series2, {r('x.own', 8)} as ix, {r('y.own', 8)} as iy, {r('ixy', 8)} as ixy, {r('0.25 * (x.own + y.own - 2 * ixy) / (2 * pi())', 8)} as j, 'ok' as status, 'OK' as message
+from pr join ow x on x.series_id = series1 join ow y on y.series_id = series2""")
+def adaptive_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """J of event pairs by adaptive quadrature, with the status and message of the cross term."""
+    found = frontier.pair_integrals(*middle_events(spark, d, ("co",)), 0.001, 0.016)
+    rows = frontier.divergence_integrals(found).join(found.select("series1", "series2", "status", "message"), ["series1", "series2"])
+    return values(rows, ("series1", "series2", "status", "message"), 8, ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
+
+
 DIV = f"sum({W} * 0.5 * (a1 * a1 + b1 * b1)) as ix, sum({W} * 0.5 * (a2 * a2 + b2 * b2)) as iy, sum({W} * {CO}) as ixy"
 
 
@@ -371,6 +410,28 @@ def prefix_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.select("series1", "series2", "length", rounded(F.col("j"), 8).alias("j"))
 
 
+def prefix_sql(rows: str, name: str) -> str:
+    """J of every pair and length, each prefix from its own observations."""
+    return f"""with {rows}, rk as (select *, row_number() over (partition by series_id order by t, row_id) as rank, count(*) over (partition by series_id) as n from {name}),
+pf as (select series_id, length, t, x from rk, (select unnest(range(100, (select max(n) + 1 from rk), 50)) as length) where rank <= length and length <= n),
+{parts_sql('pf', 'series_id, length')},
+pr as (select l.series_id as series1, r.series_id as series2, l.length, l.freq_id, l.a as a1, l.b as b1, r.a as a2, r.b as b2 from comp l join comp r on l.freq_id = r.freq_id and l.length = r.length and l.series_id < r.series_id),
+dv as (select series1, series2, length, {DIV} from pr group by 1, 2, 3)
+select series1, series2, length, {r('0.25 * (ix + iy - 2 * ixy) / (2 * pi())', 8)} as j from dv"""
+
+
+@query("growing_events", prefix_sql(EVENTS, "ev"))
+def growing_events(spark: SparkSession, d: str) -> DataFrame:
+    """J of event pairs for their first 100 observations, 150, and so on up to the whole length."""
+    return prefixes.prefix_divergences(event_series(spark, d)).select("series1", "series2", "length", rounded(F.col("j"), 8).alias("j"))
+
+
+@query("growing_orders", prefix_sql(ORDERS, "od"))
+def growing_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The same of order pairs."""
+    return prefixes.prefix_divergences(order_series(spark, d)).select("series1", "series2", "length", rounded(F.col("j"), 8).alias("j"))
+
+
 @query("multitaper", None)
 def multitaper(spark: SparkSession, d: str) -> DataFrame:
     parts = tapers.multitaper_components(order_series(spark, d), 4)
@@ -443,6 +504,23 @@ def iar_mle_grid(spark: SparkSession, d: str) -> DataFrame:
     return found.select("series_id", rounded(F.col("phi")).alias("phi"), rounded(F.col("nll") / 1000, 2).alias("nll"))
 
 
+@query("iar_mle", f"""with recursive {ORDERS}, wv as (select series_id, row_id, t, x + 200000 * sin(t / 20) as x from od),
+st as (select series_id, avg(x) as mu, stddev_samp(x) as sd from wv group by 1), z as (select series_id, row_id, t, (x - mu) / sd as x from wv join st using (series_id)),
+lg as (select *, t - lag(t) over w as gap, lag(x) over w as before from z window w as (partition by series_id order by t, row_id)), use as (select * from lg where gap > 0),
+c as (select range / 50.0 as phi from range(1, 50)), l as (select series_id, phi, sum(ln(1 - phi ** (2 * gap)) + (x - phi ** gap * before) ** 2 / (1 - phi ** (2 * gap))) as nll from use, c group by 1, 2),
+b as (select series_id, cast(0 as bigint) as k, {{'low': arg_min(phi, nll) - 0.02, 'high': arg_min(phi, nll) + 0.02}} as w from l group by 1
+  union all
+  select b.series_id, b.k + 1, case when sum((-gap * phi ** (2 * gap - 1)) / (1 - phi ** (2 * gap)) - (x - phi ** gap * before) * gap * phi ** (gap - 1) * before / (1 - phi ** (2 * gap)) + (x - phi ** gap * before) ** 2 * gap * phi ** (2 * gap - 1) / (1 - phi ** (2 * gap)) ** 2) < 0
+      then {{'low': any_value(phi), 'high': any_value(b.w.high)}} else {{'low': any_value(b.w.low), 'high': any_value(phi)}} end
+  from (select *, (w.low + w.high) / 2 as phi from b where k < 34) b join use using (series_id) group by 1, 2)
+select series_id, {r('(w.low + w.high) / 2')} as phi, 'ok' as status from b where k = 34""")
+def iar_mle(spark: SparkSession, d: str) -> DataFrame:
+    """The most likely phi of order series with a slow wave added, so that neighbours resemble each other; SQL halves the score's sign change."""
+    wave = order_series(spark, d).withColumn("x", F.col("x") + 200000 * F.sin(F.col("t") / 20))
+    found = autoregression.maximum_likelihood(wave)
+    return found.select("series_id", rounded(F.col("phi")).alias("phi"), "status")
+
+
 @query("iar_sweep", None)
 def iar_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Divergence of simulated series on the events' own times from their fits, by phi, on one grid (nw 0) and by multitaper."""

@@ -52,7 +52,7 @@ def likelihood(rows: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataF
 
 def standardised(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     stats = series.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
-    return series.join(stats, list(keys)).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
+    return same(series, stats, list(keys)).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 
 def estimated(series: DataFrame, count: int = 49, rounds: int = 1, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
@@ -68,6 +68,61 @@ def estimated(series: DataFrame, count: int = 49, rounds: int = 1, keys: tuple[s
     return best
 
 
+#: Widths of the bracket, and steps, below which an estimate counts as found; and rounds at most.
+FOUND, MOST_ROUNDS = 1e-9, 40
+
+
+def slopes(phi: Column) -> tuple[Column, Column]:
+    """First and second derivative by phi of a lagged row's share of the likelihood; null for the first row and for rows at the time of the row before."""
+    d, y = F.col("gap"), F.col("before")
+    p = F.pow(phi, d)
+    p1, p2 = d * p / phi, d * (d - 1) * p / (phi * phi)
+    v, v1, v2 = 1 - p * p, -2 * p * p1, -2 * (p1 * p1 + p * p2)
+    e, e1, e2 = F.col("x") - p * y, -p1 * y, -p2 * y
+    first = (v1 / v + 2 * e * e1 / v - e * e * v1 / (v * v)) / 2
+    second = (v2 / v - v1 * v1 / (v * v) + 2 * (e1 * e1 + e * e2) / v - 4 * e * e1 * v1 / (v * v) - e * e * v2 / (v * v) + 2 * e * e * v1 * v1 / (v * v * v)) / 2
+    return F.when(d > 0, first), F.when(d > 0, second)
+
+
+def maximum_likelihood(series: DataFrame, count: int = 49, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """keys, phi, nll, status, rounds: the phi in (0, 1) of least nll, of standardised series.
+
+    The best of an even grid gives a bracket, its neighbours. Safeguarded Newton goes on from there: score and curvature are sums over rows, one
+    aggregate a round for all series; the score's sign narrows the bracket, and a step that would leave it, or curves the wrong way, halves it instead.
+    status: "ok"; "boundary" where the score has one sign to the end of (0, 1), phi being the bracket's last; "open" after MOST_ROUNDS; "none" for a
+    series without two times.
+    """
+    rows = written(lagged(standardised(series, keys), keys), "lagged")
+    grid = F.explode(F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: k / F.lit(float(count + 1))))
+    best = least(likelihood(rows.withColumn("phi", grid), keys), keys)
+    width = 1.0 / (count + 1)
+    state = best.select(*keys, "phi", F.greatest(F.col("phi") - width, F.lit(1e-12)).alias("low"), F.least(F.col("phi") + width, F.lit(1 - 1e-12)).alias("high"), F.lit(0).alias("rounds"), F.lit(False).alias("done"))
+    state = written(state, "state")
+    for _ in range(MOST_ROUNDS):
+        going = state.where(~F.col("done"))
+        if going.isEmpty():
+            break
+        first, second = slopes(F.col("phi"))
+        sums = same(rows, going.select(*keys, "phi"), list(keys)).groupBy(*keys).agg(F.sum(first).alias("score"), F.sum(second).alias("curve"))
+        moved = same(going, sums, list(keys), "left")
+        low = F.when(F.col("score") < 0, F.col("phi")).otherwise(F.col("low"))
+        high = F.when(F.col("score") > 0, F.col("phi")).otherwise(F.col("high"))
+        moved = moved.withColumns({"low": low, "high": high})
+        step = F.col("phi") - F.try_divide(F.col("score"), F.col("curve"))
+        newton = (F.col("curve") > 0) & (step > F.col("low")) & (step < F.col("high"))
+        to = F.when(F.col("score") == 0, F.col("phi")).when(newton, step).otherwise((F.col("low") + F.col("high")) / 2)
+        moved = moved.withColumn("to", to)
+        done = F.col("score").isNull() | (F.col("score") == 0) | (F.abs(F.col("to") - F.col("phi")) < FOUND) | (F.col("high") - F.col("low") < FOUND)
+        moved = moved.select(*keys, F.coalesce("to", "phi").alias("phi"), "low", "high", (F.col("rounds") + 1).alias("rounds"), done.alias("done"))
+        state = written(moved.union(state.where("done")), "state")
+    scored = likelihood(same(rows, state.select(*keys, "phi"), list(keys)), keys).drop("phi")
+    edge = (F.col("phi") < 1e-8) | (F.col("phi") > 1 - 1e-8)
+    usable = rows.where("gap > 0").select(*keys).distinct().withColumn("usable", F.lit(True))
+    found = same(same(state, scored, list(keys), "left"), usable, list(keys), "left")
+    status = F.when(F.col("usable").isNull(), "none").when(~F.col("done"), "open").when(edge, "boundary").otherwise("ok")
+    return found.select(*keys, F.when(status != "none", F.col("phi")).alias("phi"), "nll", status.alias("status"), "rounds")
+
+
 def least(scored: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     return scored.groupBy(*keys).agg(F.min_by("phi", F.struct("nll", "phi")).alias("phi"), F.min("nll").alias("nll"))
 
@@ -147,4 +202,4 @@ def sweep(times: DataFrame, phis: Iterable[float], widths: Iterable[int] = (2, 3
 def folded(series: DataFrame, frequency: float) -> DataFrame:
     """series with phase in [0, 1): cycles since the series' first time, whole cycles dropped."""
     first = series.groupBy("series_id").agg(F.min("t").alias("first"))
-    return series.join(first, "series_id").withColumn("phase", F.pmod((F.col("t") - F.col("first")) * frequency, F.lit(1.0))).drop("first")
+    return same(series, first, ["series_id"]).withColumn("phase", F.pmod((F.col("t") - F.col("first")) * frequency, F.lit(1.0))).drop("first")

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumachron.functions.numeric import is_finite
-from lumachron.operators.blocks import medians, numbered, written
+from lumachron.operators.blocks import medians, same, written
 
 #: Offsets in days of the missions' time scales.
 OFFSETS = {"Kepler": 2454833.0, "TESS": 2457000.0}
@@ -18,15 +19,20 @@ def positive_clip(series: DataFrame) -> DataFrame:
     """Values that aren't positive and finite become the least positive one of their series; fails if a series has none."""
     good = is_finite(F.col("x")) & (F.col("x") > 0)
     least = series.groupBy("series_id").agg(F.min(F.when(good, F.col("x"))).alias("least"))
-    checked = F.when(F.col("least").isNull(), F.raise_error(F.concat(F.lit("no positive value: "), F.col("series_id"))).cast("double")).otherwise(F.col("least"))
-    return series.join(least, "series_id").withColumn("x", F.when(good, F.col("x")).otherwise(checked)).drop("least")
+    checked = F.when(F.col("least").isNull(), F.raise_error(F.concat(F.lit("no positive value: "), F.coalesce(F.col("series_id").cast("string"), F.lit("null")))).cast("double")).otherwise(F.col("least"))
+    return same(series, least, ["series_id"]).withColumn("x", F.when(good, F.col("x")).otherwise(checked)).drop("least")
 
 
 def sigma_clip(series: DataFrame, sigma: float = 8.0, iterations: int = 5) -> DataFrame:
     """Values farther than sigma deviations from their series' median go, again and again up to `iterations` times."""
     for _ in range(iterations):
         spread = series.groupBy("series_id").agg(F.stddev_pop("x").alias("spread"))
-        series = series.join(medians(series, ("series_id",), "x"), "series_id").join(spread, "series_id").where(F.abs(F.col("x") - F.col("middle")) <= sigma * F.col("spread")).drop("middle", "spread")
+        limits = written(same(medians(series, ("series_id",), "x"), spread, ["series_id"]), "limits")
+        if iterations > 2:  # stop where nothing is left to drop
+            far = F.abs(F.col("x") - F.col("middle")) <= sigma * F.col("spread")
+            if same(series, limits, ["series_id"]).where(~F.coalesce(far, F.lit(False))).isEmpty():
+                break
+        series = same(series, limits, ["series_id"]).where(F.abs(F.col("x") - F.col("middle")) <= sigma * F.col("spread")).drop("middle", "spread")
     return series
 
 
@@ -34,7 +40,7 @@ def magnitudes(series: DataFrame) -> DataFrame:
     """mag = -2.5 log10(x / median), and mag_err = 2.5 / ln 10 * x_err / x; errors that aren't positive and finite are null."""
     middle = medians(series, ("series_id",), "x")
     mag = -2.5 * F.log10(F.col("x") / F.col("middle"))
-    rows = series.join(middle, "series_id").withColumn("mag", mag).drop("middle")
+    rows = same(series, middle, ["series_id"]).withColumn("mag", mag).drop("middle")
     if "x_err" not in series.columns:
         return rows.withColumn("mag_err", F.lit(None).cast("double"))
     error = F.when(is_finite(F.col("x_err")) & (F.col("x_err") > 0), F.col("x_err"))
@@ -48,18 +54,18 @@ def absolute_time(series: DataFrame, offset: float, mode: str = "auto") -> DataF
     if mode != "auto":
         return series.withColumn("t", F.col("t") + F.lit(offset if mode == "force" else 0.0))
     middle = medians(series, ("series_id",), "t")
-    return series.join(middle, "series_id").withColumn("t", F.when(F.col("middle") < 1e5, F.col("t") + offset).otherwise(F.col("t"))).drop("middle")
+    return same(series, middle, ["series_id"]).withColumn("t", F.when(F.col("middle") < 1e5, F.col("t") + offset).otherwise(F.col("t"))).drop("middle")
 
 
 def stitched(segments: DataFrame) -> DataFrame:
     """Segments (series_id, segment, t, x), each divided by its median, as one series."""
     middle = medians(segments, ("series_id", "segment"), "x")
-    return segments.join(middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle")).drop("middle")
+    return same(segments, middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle")).drop("middle")
 
 
 def label_consensus(label: str) -> Column:
-    """The label that all rows of a group have, or MIXED_FLUX; an aggregate."""
-    return F.when(F.count_distinct(F.col(label)) == 1, F.first(label)).otherwise(F.lit("MIXED_FLUX"))
+    """The label that all rows of a group have, or MIXED_FLUX; an aggregate. Rows without a label don't count; without any label it is MIXED_FLUX."""
+    return F.when(F.count_distinct(F.col(label)) == 1, F.min(label)).otherwise(F.lit("MIXED_FLUX"))
 
 
 def choose_flux(df: DataFrame, preferred: tuple[str, ...] = ("pdcsap_flux", "sap_flux", "flux")) -> DataFrame:
@@ -95,7 +101,7 @@ def light_curves(flux: DataFrame, mission: str = "Kepler", sigma: float = 8.0, i
     series = choose_flux(flux).where(F.col("x").isNotNull() & ~F.isnan("x"))
     known = errors and "x_err" in flux.columns
     middle = medians(series, ("series_id", "segment"), "x")
-    series = series.join(middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle"))
+    series = same(series, middle, ["series_id", "segment"]).withColumn("x", F.col("x") / F.col("middle"))
     series = series.withColumn("x_err", F.col("x_err") / F.col("middle") if known else F.lit(None).cast("double")).drop("middle")
     clipped = written(sigma_clip(written(series, "stitched"), sigma, iterations), "clipped")  # each is read several times
     rows = magnitudes(positive_clip(absolute_time(clipped, offset, mode))).withColumnRenamed("t", "time")
@@ -103,6 +109,8 @@ def light_curves(flux: DataFrame, mission: str = "Kepler", sigma: float = 8.0, i
 
 
 def prefixes(series: DataFrame, lengths: list[int]) -> DataFrame:
-    """The first n observations of each series for each n, keyed by series_id and length. Places are counted by blocks of a series."""
-    ranked = numbered(series).where(F.col("i") <= max(lengths)).withColumnRenamed("i", "rank").drop("n", "block")
+    """The first n observations of each series for each n of a few short lengths, keyed by series_id and length; `operators.prefixes` has all lengths
+    at once. Each task keeps its own first rows before any move."""
+    order = Window.partitionBy("series_id").orderBy("t", "row_id")
+    ranked = series.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(lengths))
     return ranked.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.col("rank") <= F.col("length")).drop("rank")
