@@ -2,14 +2,14 @@
 
 The text view sees hashed byte trigrams of the whole text and how they repeat; the metadata view sees the other columns
 (categories hashed, numbers as logarithms). In each round both views judge all documents in one narrow pass. Where a view is sure (as
-labelled rows kept apart show), its pseudo-label teaches the other view: all such documents are summed up, by label
-and by cells of the taught view's features, and their cells' means, weighted by their numbers, join the labelled rows of its
-logistic regression. After the last round each view is calibrated on labelled rows kept apart, and a second regression
+labelled rows kept apart show), its pseudo-label teaches the other view: the slopes of all such documents are added up, each
+with its own features, and the other view takes a Newton step down the sum of the labelled rows' loss and theirs, with the labelled
+rows' curvature; a few steps a round. After the last round each view is calibrated on labelled rows kept apart, and a second regression
 over the calibrated views gives the score of every document.
 
 Only the labelled rows are bounded: at most `most_labelled` ids, those whose hashes are least, and one row (of the least
 text) of a repeated id. Sums are of integers, so they don't depend on the order of tasks. Null and empty texts have no trigrams, null metadata
-a category of its own. Without labels of both kinds every document scores the share of good labels (1 without labels) and
+a category of its own; very long texts are taken whole, a text at a time. Without labels of both kinds every document scores the share of good labels (1 without labels) and
 is kept. Repeated rows each get a score. The threshold is one half, or less if over a hundredth of the good rows kept apart
 would fall below it.
 """
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .words import flat_text, slices
 
 TRIGRAM_BINS, CATEGORY_BINS, ROUNDS = 1024, 64, 3
-#: Cells of a view's features by which pseudo-labelled documents are summed up: 2 to this power.
-CELL_BITS = 4
+#: Passes over all documents in a round, each a step of both learners.
+STEPS = 2
 #: Labelled documents that are fitted to, at most.
 MOST_LABELLED = 8_000
 #: Units of a feature in sums.
@@ -123,67 +123,71 @@ def sure_from(z: np.ndarray, y: np.ndarray, precision: float = 0.95, least: int
 
 
 @dataclass
-class Judges:
-    """What a pass needs of both views: weights, the logits that are sure, and centre and directions of the cells."""
+class Lesson:
+    """What a pass over all documents needs: the weights by which views judge, the logits that are sure, and the weights of the learners."""
 
-    weights: list[np.ndarray]
+    judges: list[np.ndarray]
     sure: list[tuple[float, float]]
-    centre: list[np.ndarray]
-    directions: list[np.ndarray]
+    learners: list[np.ndarray]
 
     def labels(self, views: list[np.ndarray], k: int) -> np.ndarray:
         """1, 0, or -1 where view k isn't sure."""
-        z, (low, high) = logits(views[k], self.weights[k]), self.sure[k]
+        z, (low, high) = logits(views[k], self.judges[k]), self.sure[k]
         return np.where(z <= low, 0, np.where(z >= high, 1, -1))
 
-    def cells(self, x: np.ndarray, k: int) -> np.ndarray:
-        return ((x - self.centre[k]) @ self.directions[k] > 0) @ (1 << np.arange(CELL_BITS))
 
+class Slopes:
+    """Of all documents of which one view is sure, numbers and sums of the other view's slopes (residual times features, and the residual), by
+    learner and label."""
 
-class Sums:
-    """Of documents of which one view is sure, the other view's features: numbers and sums by view, label and cell."""
-
-    def __init__(self, judges: Judges):
-        self.judges, n = judges, 1 << CELL_BITS
-        self.count = [np.zeros((2, n), np.int64) for _ in judges.weights]
-        self.total = [np.zeros((2, n, len(w) - 1), np.int64) for w in judges.weights]
+    def __init__(self, lesson: Lesson):
+        self.lesson = lesson
+        self.count = [np.zeros(2, np.int64) for _ in lesson.learners]
+        self.total = [np.zeros((2, len(w)), np.int64) for w in lesson.learners]
 
     def add(self, views: list[np.ndarray]) -> None:
-        for taught in (0, 1):
-            x, label = views[taught], self.judges.labels(views, 1 - taught)
-            kind = np.where(label < 0, -1, label * (1 << CELL_BITS) + self.judges.cells(x, taught))
-            units = np.rint(x * UNIT).astype(np.int64)
-            for c in np.unique(kind[kind >= 0]).tolist():
-                at = divmod(c, 1 << CELL_BITS)
-                self.count[taught][at] += (kind == c).sum()
-                self.total[taught][at] += units[kind == c].sum(0)
-
-    def means(self, taught: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Means of the cells that have documents, their labels, and their shares of the label's documents."""
-        n = self.count[taught]
-        label, cell = np.nonzero(n)
-        return (self.total[taught][label, cell] / UNIT / n[label, cell][:, None]).astype(np.float32), label.astype(np.float32), n[label, cell] / n.sum(1)[label]
-
-
-def cotrained(views: list[np.ndarray], y: np.ndarray, taught_by: Callable[[Judges], Sums], rounds: int = ROUNDS) -> Views:
-    """Fits on rows of two views with labels y, and on what `taught_by` sums up of all documents for the judges of a round.
-    Pseudo-labelled documents weigh together as much as the labelled rows, good and bad ones in the labels' proportion."""
+        for k in (0, 1):
+            x, label = views[k], self.lesson.labels(views, 1 - k)
+            wrong = 1 / (1 + np.exp(-np.clip(logits(x, self.lesson.learners[k]), -30, 30))) - label
+            for y in (0, 1):
+                own = label == y
+                self.count[k][y] += own.sum()
+                self.total[k][y, :-1] += np.rint(x[own] * (wrong[own] * UNIT)[:, None]).astype(np.int64).sum(0)
+                self.total[k][y, -1] += np.rint(wrong[own] * UNIT).astype(np.int64).sum()
+
+    def slope(self, k: int, good: float) -> np.ndarray | None:
+        """Mean slope of learner k with good and bad documents in a proportion; None if one kind is missing."""
+        if not self.count[k].all():
+            return None
+        return sum(share * self.total[k][y] / UNIT / self.count[k][y] for y, share in ((0, 1 - good), (1, good)))
+
+
+def newton_step(x: np.ndarray, y: np.ndarray, w: np.ndarray, taught: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
+    """Weights after a step down the sum of two losses, that of labelled rows and that of all pseudo-labelled ones (its slope is given), with the
+    labelled rows' curvature for both."""
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1).astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    slope = x.T @ (p - y) / len(x) + taught + 2 * penalty * w
+    curve = 2 * (x.T * (p * (1 - p))) @ x / len(x)
+    curve[np.diag_indices_from(curve)] += 2 * penalty + 1e-3 * np.trace(curve) / len(curve)
+    return (w - np.linalg.solve(curve, slope)).astype(np.float32)
+
+
+def cotrained(views: list[np.ndarray], y: np.ndarray, summed_by: Callable[[Lesson], Slopes], rounds: int = ROUNDS, steps: int = STEPS) -> Views:
+    """Fits on rows of two views with labels y and on all documents: in each round the views' judgements stand, and each learns from what the other is sure
+    of, by steps whose slopes `summed_by` adds up over all documents. Pseudo-labelled documents weigh together as much as the labelled rows, good and bad ones
+    in the labels' proportion."""
     apart = np.arange(len(y)) % 4 == 3
     own = [x[~apart] for x in views]
-    good, n = float(y[~apart].mean()), int((~apart).sum())
-    random = np.random.default_rng(0)
-    directions = [random.standard_normal((x.shape[1], CELL_BITS)).astype(np.float32) for x in views]
+    good = float(y[~apart].mean())
     weights = [fitted(x, y[~apart]) for x in own]
     for _ in range(rounds):
-        sure = [sure_from(logits(x[apart], w), y[apart]) for x, w in zip(views, weights)]
-        sums = taught_by(Judges(weights, sure, [x.mean(0) for x in own], directions))
-        weights = []
-        for k, x in enumerate(own):
-            mean, label, share = sums.means(k)
-            if len(set(label.tolist())) < 2:
-                mean, label, share = mean[:0], label[:0], share[:0]
-            weight = np.concatenate([np.ones(n), n * share * np.where(label > 0, good, 1 - good)])
-            weights.append(fitted(np.concatenate([x, mean]), np.concatenate([y[~apart], label]), weight))
+        judges = weights
+        sure = [sure_from(logits(x[apart], w), y[apart]) for x, w in zip(views, judges)]
+        for _ in range(steps):
+            slopes = summed_by(Lesson(judges, sure, weights))
+            taught = [slopes.slope(k, good) for k in (0, 1)]
+            weights = [w if t is None else newton_step(x, y[~apart], w, t) for x, w, t in zip(own, weights, taught)]
     held, own = y[apart], [logits(x[apart], w) for x, w in zip(views, weights)]
     calibration = [fitted(z[:, None].astype(np.float32), held) for z in own]
     each = np.stack([logits(z[:, None], c) for z, c in zip(own, calibration)], 1).astype(np.float32)
@@ -212,28 +216,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
             both = [[r.astype(np.float32).tobytes() for r in x] for x in features(part)]
             yield pa.RecordBatch.from_arrays([part.column(part.num_columns - 1), *(pa.array(x, pa.binary()) for x in both)], ["y", "a", "b"])
 
-    def taught_by(judges: Judges) -> Sums:
-        """A narrow pass over all documents; a task sends the sums of its cells, which meet in a partial aggregate."""
-        sent = docs.sparkSession.sparkContext.broadcast(judges)
+    def summed_by(lesson: Lesson) -> Slopes:
+        """A narrow pass over all documents; a task sends its sums, which meet in a partial aggregate."""
+        sent = docs.sparkSession.sparkContext.broadcast(lesson)
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = Sums(sent.value)
+            slopes = Slopes(sent.value)
             for part in blocks(batches):
-                sums.add(features(part))
+                slopes.add(features(part))
             for k in (0, 1):
-                both = np.concatenate([sums.count[k][:, :, None], sums.total[k]], 2)
-                label, cell, place = np.nonzero(both)
-                columns = [np.full(len(label), k), label, cell, place, both[label, cell, place]]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["taught", "label", "cell", "place", "n"])
-
-        summed = rows.mapInArrow(add_up, "taught long, label long, cell long, place long, n long").groupBy("taught", "label", "cell", "place").agg(F.sum("n").alias("n")).toArrow()
-        taught, label, cell, place, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in summed.columns)
-        sums = Sums(judges)
+                both = np.concatenate([slopes.count[k][:, None], slopes.total[k]], 1)
+                label, place = np.nonzero(both)
+                columns = [np.full(len(label), k), label, place, both[label, place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["learner", "label", "place", "n"])
+
+        rows_of = rows.mapInArrow(add_up, "learner long, label long, place long, n long").groupBy("learner", "label", "place").agg(F.sum("n").alias("n")).toArrow()
+        learner, label, place, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in rows_of.columns)
+        slopes = Slopes(lesson)
         for k in (0, 1):
-            many, own = (taught == k) & (place == 0), (taught == k) & (place > 0)
-            sums.count[k][label[many], cell[many]] = n[many]
-            sums.total[k][label[own], cell[own], place[own] - 1] = n[own]
-        return sums
+            many, own = (learner == k) & (place == 0), (learner == k) & (place > 0)
+            slopes.count[k][label[many]] = n[many]
+            slopes.total[k][label[own], place[own] - 1] = n[own]
+        return slopes
 
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # bounded by the parameter
@@ -246,7 +250,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
     y = y[order] if len(y) else y
     model, share = None, float((y > 0).mean()) if len(y) else 1.0
     if len(set(y[np.arange(len(y)) % 4 != 3].tolist())) == 2 and len(set(y[3::4].tolist())) == 2:
-        model = cotrained([np.stack([x[i] for i in order]) for x in (a, b)], y, taught_by)
+        model = cotrained([np.stack([x[i] for i in order]) for x in (a, b)], y, summed_by)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,9 @@
 
 Sequential covering: a rule for low quality is grown condition by condition (a statistic at least or below a threshold,
 the pair with the largest information gain), cut back to the prefix that does best on rows kept apart, and accepted if it
-is precise there; the rows it covers leave, and the next rule is grown. The list becomes one ordered conditional
-expression. Each step is one small aggregate, counts by statistic and threshold bin, so the driver sees only those counts.
+is precise there; the rows it covers leave, and the next rule is grown. A rule that isn't precise sets its first condition aside, and another is grown
+in its place. The list becomes one ordered conditional expression. Rules learn from labelled rows that the base rules let pass; these, bounded by a
+parameter, are counted by bins of all statistics in one aggregate, and the covering works on those counts.
 
 Words are runs without ASCII blanks. A null or empty text has no words and all counts 0. Repeated rows each get a row.
 Without labels, or with labels of one kind only, no rule is learned and the base rules alone decide. A document labelled
@@ -114,9 +115,8 @@ class Condition:
     threshold: float
     at_least: bool
 
-    def on_bins(self) -> Column:
-        c = F.col(f"b_{self.statistic}")
-        return c >= self.bin if self.at_least else c < self.bin
+    def meets(self, bin_: int) -> bool:
+        return bin_ >= self.bin if self.at_least else bin_ < self.bin
 
     def on_rates(self) -> Column:
         c = rates()[self.statistic]
@@ -137,62 +137,87 @@ def bin_of(name: str, thresholds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col(name)))
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, least_precision: float = 0.95, least_rows: int = 8, most_labelled: int = MOST_LABELLED) -> list[list[Condition]]:
-    """Ordered rules for bad documents from labels (doc_id, quality; 0 is bad) and at most `most_labelled` labelled
-    documents, those whose hashed ids are least."""
+@dataclass(frozen=True)
+class Cell:
+    """Labelled rows with one bin of each statistic: how many, whether they are bad, and whether they are kept apart."""
+
+    bins: tuple[int, ...]
+    bad: bool
+    apart: bool
+    n: int
+
+
+def grown(cells: list[Cell], grid: dict[str, list[float]], least_rows: int, aside: set[tuple[str, bool]]) -> list[Condition]:
+    """A rule for bad rows: conditions of the largest information gain, one after another; the first is none of those set aside."""
+    names, rule = list(grid), []
+    while len(rule) < MOST_CONDITIONS:
+        p0, n0 = sum(c.n for c in cells if c.bad), sum(c.n for c in cells if not c.bad)
+        if not p0 or not n0:
+            break
+        best, choice = 0.0, None
+        for place, x in enumerate(names):
+            at = [[0, 0] for _ in range(len(grid[x]) + 1)]
+            for c in cells:
+                at[c.bins[place]][c.bad] += c.n
+            up = [0, 0]
+            for k in range(len(grid[x]), 0, -1):
+                up = [up[0] + at[k][0], up[1] + at[k][1]]
+                for at_least, m, p in ((True, *up), (False, n0 - up[0], p0 - up[1])):
+                    if p >= least_rows and (rule or (x, at_least) not in aside):
+                        gain = p * (math.log2(p / (p + m)) - math.log2(p0 / (p0 + n0)))
+                        if gain > best + 1e-9:
+                            best, choice = gain, Condition(x, k, float(grid[x][k - 1]), at_least)
+        if choice is None:
+            break
+        rule.append(choice)
+        cells = [c for c in cells if choice.meets(c.bins[names.index(choice.statistic)])]
+    return rule
+
+
+def covered_rules(cells: list[Cell], grid: dict[str, list[float]], least_precision: float, least_rows: int) -> list[list[Condition]]:
+    """Sequential covering over counted rows: rules are grown on two parts of three, cut back to the prefix that does best on the rest, and accepted
+    if it is precise there. What isn't sets its first condition aside, and the next is grown."""
+    names, rules, aside = list(grid), [], set()
+    meets = lambda c, rule: all(x.meets(c.bins[names.index(x.statistic)]) for x in rule)
+    while len(rules) < MOST_RULES:
+        rule = grown([c for c in cells if not c.apart], grid, least_rows, aside)
+        if not rule:
+            break
+        worth = []
+        for k in range(1, len(rule) + 1):
+            held = [c for c in cells if c.apart and meets(c, rule[:k])]
+            p, n = sum(c.n for c in held if c.bad), sum(c.n for c in held)
+            worth.append((round(p / max(1, n), 2), p, -k, p / max(1, n)))
+        _, p, k, precision = max(worth)
+        if precision < least_precision or p < least_rows // 2:
+            aside.add((rule[0].statistic, rule[0].at_least))
+            continue
+        rules.append(rule[:-k])
+        cells = [c for c in cells if not meets(c, rules[-1])]
+    return rules
+
+
+def learn_rules(docs: DataFrame, labels: DataFrame, least_precision: float = 0.95, least_rows: int = 8, most_labelled: int = MOST_LABELLED, least_words: int = 10, most_repeats: int = 20) -> list[list[Condition]]:
+    """Ordered rules for bad documents that the base rules let pass, from labels (doc_id, quality; 0 is bad) and at most `most_labelled` labelled
+    documents, those whose hashed ids are least. The driver sees these rows as counts by bins, no more."""
     bad = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") < 1).alias("bad"))
     chosen = bad.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # bounded by the parameter
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = text_statistics(labelled, "doc_id", "bad").select("kept_columns.*", *[c.alias(n) for n, c in rates().items()])
-    rows = written(rows, "labelled")
+    counted = text_statistics(labelled, "doc_id", "bad").withColumn("failed", base_failed(least_words, most_repeats))
+    rows = written(counted.select("kept_columns.*", "failed", *[c.alias(n) for n, c in rates().items()]), "labelled").where("not failed")
     names = list(rates())
-    cuts = rows.agg(*[F.percentile_approx(x, [k / BINS for k in range(1, BINS)], 10_000).alias(x) for x in names]).first()
     # thresholds are quantiles of all rows and of the bad, with their least and greatest
+    cuts = rows.agg(*[F.percentile_approx(x, [k / BINS for k in range(1, BINS)], 10_000).alias(x) for x in names]).first()
     tails = rows.where("bad").agg(*[F.percentile_approx(x, [k / BINS for k in range(BINS + 1)], 10_000).alias(x) for x in names]).first()
     grid = {x: sorted(set(cuts[x] or []) | set(tails[x] or [])) for x in names}
-    bins = [bin_of(x, grid[x]).alias(f"b_{x}") for x in names]
-    binned = written(rows.select((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("apart"), "bad", *bins), "binned")
-
-    def counts(df: DataFrame) -> tuple[dict[str, list[tuple[int, int, int]]], int, int]:
-        pairs = df.select("bad", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"b_{x}").alias("bin")) for x in names])).alias("p"))
-        got = pairs.groupBy("p.name", "p.bin").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
-        by = {x: sorted((r["bin"], r["p"], r["n"]) for r in got if r["name"] == x) for x in names}
-        first = by[names[0]]
-        return by, sum(r[1] for r in first), sum(r[2] for r in first)
-
-    rules: list[list[Condition]] = []
-    left = binned
-    while len(rules) < MOST_RULES:
-        rule: list[Condition] = []
-        inside = left.where("not apart")
-        while len(rule) < MOST_CONDITIONS:
-            by, p0, n0 = counts(inside)
-            if not p0 or not n0:
-                break
-            best, choice = 0.0, None
-            for x, row in by.items():
-                for k in range(1, len(grid[x]) + 1):
-                    up = sum(r[1] for r in row if r[0] >= k), sum(r[2] for r in row if r[0] >= k)
-                    for at_least, (p, m) in ((True, up), (False, (p0 - up[0], n0 - up[1]))):
-                        if p >= least_rows:
-                            gain = p * (math.log2(p / (p + m)) - math.log2(p0 / (p0 + n0)))
-                            if gain > best + 1e-9:
-                                best, choice = gain, Condition(x, k, float(grid[x][k - 1]), at_least)
-            if choice is None:
-                break
-            rule.append(choice)
-            inside = inside.where(choice.on_bins())
-        if not rule:
-            break
-        prefixes = [every([c.on_bins() for c in rule[:k]]) for k in range(1, len(rule) + 1)]
-        held = left.where("apart").agg(*[F.count_if(c & (F.col("bad") == b)).alias(f"{k}{b}") for k, c in enumerate(prefixes) for b in (True, False)]).first()
-        worth = [(held[f"{k}True"] / max(1, held[f"{k}True"] + held[f"{k}False"]), held[f"{k}True"], -k) for k in range(len(rule))]
-        precision, p, k = max(worth, key=lambda w: (round(w[0], 2), w[1], w[2]))
-        if precision < least_precision or p < least_rows // 2:
-            break
-        rules.append(rule[: 1 - k])
-        left = written(left.where(~every([c.on_bins() for c in rules[-1]])), "binned")
-    return rules
+    apart = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("apart")
+    binned = rows.select(apart, "bad", *[bin_of(x, grid[x]).alias(f"b_{x}") for x in names])
+    cells = binned.groupBy("apart", "bad", *[f"b_{x}" for x in names]).agg(F.count("*").alias("n")).collect()  # no more than the labelled rows
+    return covered_rules([Cell(tuple(r[f"b_{x}"] for x in names), r["bad"], r["apart"], r["n"]) for r in cells], grid, least_precision, least_rows)
+
+
+def base_failed(least_words: int, most_repeats: int) -> Column:
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
@@ -211,9 +236,8 @@ def judged(docs: DataFrame, labels: DataFrame, *keep: str, least_words: int = 10
     are learned, a narrow pass over all documents. Columns to keep that are named like a count are not given twice: the
     count stands."""
     own = [c for c in keep or ("doc_id",) if c not in (*COUNTS, "base_failed", "rule", "kept")]
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    rules = learn_rules(docs, labels)
-    found = text_statistics(docs, *own).withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    rules = learn_rules(docs, labels, least_words=least_words, most_repeats=most_repeats)
+    found = text_statistics(docs, *own).withColumn("base_failed", base_failed(least_words, most_repeats)).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     return found.select("kept_columns.*", *COUNTS, "base_failed", "kept", "rule")
 
 

@@ -458,21 +458,21 @@ def test_cotraining(spark):
     assert again.count() == 952 and again.distinct().count() == 902
 
 
-def test_pseudo_labels_are_those_of_all_documents():
+def test_slopes_are_those_of_all_documents():
     """Sums by blocks are the sums by hand, and cuts are right in the share asked for."""
     r = np.random.default_rng(3)
     views = [r.random((500, 6), np.float32), r.random((500, 3), np.float32)]
-    weights = [r.standard_normal(x.shape[1] + 1).astype(np.float32) for x in views]
-    judges = cotraining.Judges(weights, [(-0.2, 0.3), (-0.1, 0.4)], [x.mean(0) for x in views], [r.standard_normal((x.shape[1], cotraining.CELL_BITS)).astype(np.float32) for x in views])
-    sums = cotraining.Sums(judges)
+    judges, learners = ([r.standard_normal(x.shape[1] + 1).astype(np.float32) for x in views] for _ in range(2))
+    lesson = cotraining.Lesson(judges, [(-0.2, 0.3), (-0.1, 0.4)], learners)
+    slopes = cotraining.Slopes(lesson)
     for at in range(0, 500, 77):
-        sums.add([x[at : at + 77] for x in views])
-    for taught in (0, 1):
-        z = views[1 - taught] @ weights[1 - taught][:-1] + weights[1 - taught][-1]
-        low, high = judges.sure[1 - taught]
+        slopes.add([x[at : at + 77] for x in views])
+    for k in (0, 1):
+        z, (low, high) = views[1 - k] @ judges[1 - k][:-1] + judges[1 - k][-1], lesson.sure[1 - k]
         for label, rows in ((0, z <= low), (1, z >= high)):
-            assert sums.count[taught][label].sum() == rows.sum()
-            assert np.allclose(sums.total[taught][label].sum(0) / cotraining.UNIT, views[taught][rows].sum(0), atol=1e-3)
+            wrong = 1 / (1 + np.exp(-(views[k][rows] @ learners[k][:-1] + learners[k][-1]))) - label
+            assert slopes.count[k][label] == rows.sum()
+            assert np.allclose(slopes.total[k][label] / cotraining.UNIT, np.append(wrong @ views[k][rows], wrong.sum()), atol=1e-3)
     z, y = r.standard_normal(400), r.random(400)
     y = (y < 1 / (1 + np.exp(-4 * z))).astype(np.float32)
     low, high = cotraining.sure_from(z, y)
@@ -480,6 +480,20 @@ def test_pseudo_labels_are_those_of_all_documents():
     assert cotraining.sure_from(z, 1 - y)[0] == -np.inf
 
 
+def test_steps_go_down():
+    """Newton steps with another set's slope come to the weights that are best for both sets."""
+    r = np.random.default_rng(4)
+    x, more = r.standard_normal((400, 5)).astype(np.float32), r.standard_normal((900, 5)).astype(np.float32)
+    w0 = np.array([2, -1, 0.5, 0, 1])
+    y, label = ((v @ w0 + r.standard_normal(len(v)) > 0).astype(np.float32) for v in (x, more))
+    wide = np.concatenate([more, np.ones((900, 1))], 1)
+    w = cotraining.fitted(x, y)
+    for _ in range(25):
+        w = cotraining.newton_step(x, y, w, wide.T @ (1 / (1 + np.exp(-wide @ w)) - label) / 900)
+    want = cotraining.fitted(np.concatenate([x, more]), np.concatenate([y, label]), np.concatenate([np.full(400, 1 / 400), np.full(900, 1 / 900)]), steps=4000)
+    assert w == pytest.approx(want, abs=0.05)
+
+
 def test_views_teach_each_other(spark):
     """Bad texts of a kind that no label shows are found, as their source is known as bad."""
     r = random.Random(9)
