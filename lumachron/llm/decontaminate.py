@@ -200,12 +200,13 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, within: int) -> Data
     """phrase_id, doc_id, position: where all words of a phrase (phrase_id, words) occur, in any order, no farther than
     `within` words from one occurrence of the word that is rarest in the index.
 
-    Postings meet by (phrase, document), so a group is no larger than a document.
+    Postings meet by (phrase, document), so a group is no larger than a document. A document is known by its id and the hashes of its text, so rows that
+    share an id, or have none, are matched each by its own text; rows equal in both give their matches once.
     """
     asked = phrases.select("phrase_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("need"))
-    rows = index.join(asked, "word")
+    rows = index.join(asked, "word").dropDuplicates(["phrase_id", "word", "doc_id", "x", "y"])
     often = rows.groupBy("phrase_id", "word").agg(F.count("*").alias("often"))
-    lists = rows.join(often, ["phrase_id", "word"]).groupBy("phrase_id", "doc_id").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("often", "word", "positions"))).alias("lists"))
+    lists = rows.join(often, ["phrase_id", "word"]).groupBy("phrase_id", "doc_id", "x", "y").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("often", "word", "positions"))).alias("lists"))
     near = lambda p: F.forall("lists", lambda x: F.exists(x["positions"], lambda q: F.abs(q - p) <= within))
     whole = lists.where(F.size("lists") == F.col("need"))
     return whole.select("phrase_id", "doc_id", F.explode(F.filter(F.get(F.col("lists"), F.lit(0))["positions"], near)).alias("position"))

@@ -320,6 +320,15 @@ def test_index_and_proximity(spark):
     assert got(2) == {("p", 2)} and got(4) == {("p", 1), ("p", 2)}
 
 
+def test_proximity_of_null_and_repeated_ids(spark):
+    """Rows that share an id or have none aren't merged, and a repeated row doesn't lose its match."""
+    rows = [(1, "red x blue"), (1, "red only"), (1, "blue only"), (None, "red here"), (None, "blue here"), (2, "blue red"), (2, "blue red")]
+    index = decontaminate.positional_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    phrases = spark.createDataFrame([(7, ["red", "blue"])], "phrase_id int, words array<string>")
+    got = decontaminate.proximity_matches(index, phrases, 2).select("doc_id", "position").collect()
+    assert sorted(map(tuple, got)) in ([(1, 0), (2, 0)], [(1, 0), (2, 1)], [(1, 2), (2, 0)], [(1, 2), (2, 1)])
+
+
 # 5: line dedup
 
 
