@@ -462,6 +462,12 @@ def time_offset(spark: SparkSession, d: str) -> DataFrame:
     return values(cleaning.absolute_time(event_series(spark, d), cleaning.OFFSETS["Kepler"]), ("series_id", "row_id"), 4, t=F.col("t"))
 
 
+@query("sampled_series", f"with {EVENTS}, k as (select *, row_number() over (partition by series_id order by md5('7:' || row_id), row_id) as place from ev) select series_id, row_id, {r('x')} as x from k where place <= 300")
+def sampled_series(spark: SparkSession, d: str) -> DataFrame:
+    """300 random observations of each event series."""
+    return values(cleaning.sampled(event_series(spark, d), 300, 7), ("series_id", "row_id"), x=F.col("x"))
+
+
 @query("stitch", f"with {EVENTS}, s as (select *, floor(t / 10) as segment from ev), m as (select series_id, segment, median(x) as m from s group by 1, 2) select s.series_id, s.row_id, {r('s.x / m.m')} as x from s join m using (series_id, segment)")
 def stitch(spark: SparkSession, d: str) -> DataFrame:
     return values(cleaning.stitched(event_series(spark, d).withColumn("segment", F.floor(F.col("t") / 10))), ("series_id", "row_id"), x=F.col("x"))

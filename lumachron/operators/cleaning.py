@@ -114,3 +114,12 @@ def prefixes(series: DataFrame, lengths: list[int]) -> DataFrame:
     order = Window.partitionBy("series_id").orderBy("t", "row_id")
     ranked = series.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(lengths))
     return ranked.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.col("rank") <= F.col("length")).drop("rank")
+
+
+def sampled(series: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k random rows of each series, or all if it has fewer: those of the least hashes of seed and row_id. The k least of parts are among the k least
+    of each part, so tasks keep k rows before any move, and the sample doesn't depend on how rows lie; the sample of a union is
+    drawn from the samples. Ties by row_id."""
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")))
+    order = Window.partitionBy("series_id").orderBy(hashed, "row_id")
+    return series.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")

@@ -38,8 +38,8 @@ def tokens_of(lines: DataFrame) -> DataFrame:
 def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "strict", skip_first_row: bool = False, by_folder: bool = False) -> DataFrame:
     """series_id, time, mag, mag_err of light-curve text files, a series a file name, or a folder series_id=... as they are written here.
 
-    strict: a file has 2 or 3 columns throughout, or reading fails; rows with a value that isn't a number are dropped, also for
-    the error column alone; infinities stay. loose: at least 2 columns, bad values are null, nothing is dropped. Copies of a file
+    strict: a file has 2 or 3 columns, as many as its widest line, or reading fails; rows with a value that isn't a number or is missing are dropped, also
+    for the error column alone; infinities stay. loose: at least 2 columns, bad values are null, nothing is dropped. Copies of a file
     that differ in a .txt ending alone are read once. skip_first_row: as readers do that take it for a header.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -54,6 +54,9 @@ def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "s
         first = rows.groupBy("series_id").agg(F.min("file").alias("file"))
         rows = rows.join(first, ["series_id", "file"], "left_semi")
     rows = tokens_of(rows)
+    if mode == "strict":  # a file has as many columns as its widest line
+        widths = rows.groupBy("file").agg(F.max(F.size("tokens")).alias("columns"))
+        rows = rows.join(widths, "file")
     if skip_first_row:
         first = rows.groupBy("file").agg(F.min(F.struct("block", "line")).alias("first"))
         rows = rows.join(first, "file").where(F.struct("block", "line") != F.col("first"))
@@ -61,12 +64,14 @@ def read_light_curves(spark: SparkSession, path: str | list[str], mode: str = "s
 
 
 def parsed(rows: DataFrame, mode: str = "strict", *keep: str) -> DataFrame:
-    """series_id, time, mag, mag_err (and columns to keep) of tokenised lines, as read_light_curves has them; errors name series_id."""
-    if mode == "strict":
-        width = F.size("tokens")
-        rows = rows.where(F.when((width < 2) | (width > 3), F.raise_error(F.concat(F.col("series_id"), F.lit(": expected 2 or 3 columns"))).cast("boolean")).otherwise(F.lit(True)))
+    """series_id, time, mag, mag_err (and columns to keep) of tokenised lines, as read_light_curves has them; errors name series_id. Lines
+    without `columns`, the number of their file's columns, are judged each by its own."""
+    columns = F.col("columns") if "columns" in rows.columns else F.size("tokens")
     number = lambda k: F.when(F.get("tokens", F.lit(k)).rlike(NUMBER), F.expr(f"try_cast(get(tokens, {k}) as double)"))
-    values = rows.select("series_id", *keep, number(0).alias("time"), number(1).alias("mag"), number(2).alias("mag_err"), F.size("tokens").alias("width"))
+    if mode == "strict":  # part of the values, so that no filter on them comes before it
+        wrong = F.raise_error(F.concat(F.col("series_id"), F.lit(": expected 2 or 3 columns"))).cast("double")
+        plain, number = number, lambda k: F.when((columns < 2) | (columns > 3), wrong).otherwise(plain(k))
+    values = rows.select("series_id", *keep, number(0).alias("time"), number(1).alias("mag"), number(2).alias("mag_err"), columns.alias("width"))
     if mode == "strict":
         good = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
         values = values.where(good("time") & good("mag") & ((F.col("width") == 2) | good("mag_err")))

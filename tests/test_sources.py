@@ -25,6 +25,15 @@ def test_column_count(spark, tmp_path):
         S.read_light_curves(spark, str(tmp_path)).collect()
 
 
+def test_columns_are_those_of_the_file(spark, tmp_path):
+    """In a file of three columns a line of two lacks its error and goes; a file of two columns has none."""
+    (tmp_path / "three.dat").write_text("1 2 0.1\n2 3\n3 4 0.2\n")
+    (tmp_path / "two.dat").write_text("1 2\n2 3\n")
+    rows = S.read_light_curves(spark, str(tmp_path)).collect()
+    assert sorted((r["series_id"], r["time"], r["mag_err"]) for r in rows) == [("three", 1.0, 0.1), ("three", 3.0, 0.2), ("two", 1.0, None), ("two", 2.0, None)]
+    assert S.read_light_curves(spark, str(tmp_path), "loose").count() == 5
+
+
 def test_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", 2.0, 1.25, 0.5), ("a", 1.0, -3.5, 0.25), ("b", 7.0, 0.0, 0.125)], "series_id string, time double, mag double, mag_err double")
     S.write_light_curves(rows, str(tmp_path / "out"))
