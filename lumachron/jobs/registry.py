@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumachron.functions.numeric import epoch_days, is_finite, rounded
+from lumachron.functions.sql import register
 from lumachron.operators import autoregression, cleaning, divergence, frontier, integrals, prefixes, spectra, tapers, tiles, transforms
 from lumachron.operators.blocks import numbered, written
 from lumachron.operators.moments import COUNT, STEP, components, moments, sampling, with_grid, with_own_grid
@@ -127,6 +128,15 @@ def power_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return values(event_parts(spark, d), SERIES, power=spectra.power())
 
 
+@query("sql_periodogram", f"{COMP} select series_id, freq_id, {r('f')} as f, {r('0.5 * (a * a + b * b)')} as power from comp")
+def sql_periodogram(spark: SparkSession, d: str) -> DataFrame:
+    """The power spectrum by SQL alone: a table function over the series of a query, joined with a table of frequencies."""
+    register(spark)
+    days = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 86400000000D"
+    series = f"SELECT event_type AS series_id, {days} AS t, value AS x FROM parquet.`{d}/events.parquet` WHERE ts IS NOT NULL AND abs(value) < double('Infinity')"
+    return spark.sql(f"SELECT p.series_id, p.freq_id, round(g.f, 6) + 0D AS f, round(p.power, 6) + 0D AS power FROM periodogram(TABLE({series}) PARTITION BY (series_id), 200, 0.001D) p JOIN freq_grid(200, 0.001D) g ON g.freq_id = p.freq_id")
+
+
 @query("amplitude_spectrum", f"with {ORDERS},\n{parts_sql('od')} select series_id, freq_id, {r('0.5 * (a * a + b * b)')} as amplitude from comp")
 def amplitude_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return values(components(moments(order_series(spark, d))), SERIES, amplitude=spectra.power())

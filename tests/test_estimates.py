@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumachron.functions.sql import register
 from lumachron.operators import autoregression, cleaning, frontier, prefixes
 
 MIN, MAX = 0.01, 0.2
@@ -105,6 +106,23 @@ def test_samples_are_stable(series):
     assert cleaning.sampled(series, 1000).count() == 125 and one != sorted(map(tuple, cleaning.sampled(series, 7, 4).collect()))
 
 
+def test_sql_functions(spark, data):
+    """Table functions and scalars in SQL; what is asked for wrongly is named."""
+    register(spark)
+    got = [tuple(r) for r in spark.sql("SELECT ieee_div(1D, 0D), ieee_div(-1D, 0D), ieee_div(0D, 0D), ieee_div(3D, 2D), ieee_div(NULL, 0D)").collect()][0]
+    assert got[:2] == (math.inf, -math.inf) and math.isnan(got[2]) and got[3:] == (1.5, None)
+    assert [tuple(r)[:2] for r in spark.sql("SELECT * FROM freq_grid(3, 0.5D)").collect()] == [(1, 0.5), (2, 1.0), (3, 1.5)]
+    rows = [(n, float(t), float(x)) for n, (ts, xs) in data.items() for t, x in zip(ts, xs)] + [("one", 1.0, 2.0), ("none", None, 1.0), (None, 1.0, 1.0), (None, 2.0, 3.0)]
+    spark.createDataFrame(rows, "series_id string, t double, x double").repartition(3).createOrReplaceTempView("own_series")
+    found = {(r["series_id"], r["freq_id"]): r for r in spark.sql("SELECT * FROM periodogram(TABLE(own_series) PARTITION BY (series_id), 5, 0.03D)").collect()}
+    assert {k[0] for k in found} == {"a", "b", "c", "one", None} and len(found) == 25 and math.isnan(found[("one", 1)]["power"])
+    for name in data:
+        a, b, _, _ = parts_by_hand(*data[name], np.arange(1, 6) * 0.03)
+        assert [found[(name, k)]["a"] for k in range(1, 6)] == pytest.approx(a.tolist()) and [found[(name, k)]["b"] for k in range(1, 6)] == pytest.approx(b.tolist())
+    with pytest.raises(Exception, match="no column x"):
+        spark.sql("SELECT * FROM periodogram(TABLE(SELECT series_id, t FROM own_series) PARTITION BY (series_id), 5, 0.03D)").collect()
+
+
 def test_null_series_are_series(spark):
     rows = spark.createDataFrame([(s, float(k), float(k % 5 + 1), k) for s in ("a", None) for k in range(5)], "series_id string, t double, x double, row_id long")
     assert cleaning.sigma_clip(rows, 5.0, 3).count() == 10 and cleaning.positive_clip(rows).count() == 10 and cleaning.magnitudes(rows).where("mag is not null").count() == 10
