@@ -3,8 +3,9 @@
 The text view sees hashed byte trigrams of the whole text and how they repeat; the metadata view sees the other columns
 (categories hashed, numbers as logarithms). In each round both views judge all documents in one narrow pass. Where a view is sure (as
 labelled rows kept apart show), its pseudo-label teaches the other view: the slopes of all such documents are added up, each
-with its own features, and the other view takes a Newton step down the sum of the labelled rows' loss and theirs, with the labelled
-rows' curvature; a few steps a round. After the last round each view is calibrated on labelled rows kept apart, and a second regression
+with its own features, and the other view takes a Newton step down the sum of the labelled rows' loss and theirs; a few steps a round. Only how far a step
+goes rests on a bounded sample: the curvature is that of the labelled rows and of CURVED pseudo-labelled ones of each label, those of the least
+hashes. After the last round each view is calibrated on labelled rows kept apart, and a second regression
 over the calibrated views gives the score of every document.
 
 Only the labelled rows are bounded: at most `most_labelled` ids, those whose hashes are least, and one row (of the least
@@ -24,12 +25,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .shared import written
 from .words import flat_text, slices
 
 TRIGRAM_BINS, CATEGORY_BINS, ROUNDS = 1024, 64, 3
 #: Passes over all documents in a round, each a step of both learners.
 STEPS = 2
+#: Pseudo-labelled documents of a label, those of the least hashes, whose curvature stands for that of all of them.
+CURVED = 500
+#: The most that a step changes a logit of the rows whose curvature is known.
+FARTHEST = 4.0
 #: Labelled documents that are fitted to, at most.
 MOST_LABELLED = 8_000
 #: Units of a feature in sums.
@@ -129,6 +136,7 @@ class Lesson:
     judges: list[np.ndarray]
     sure: list[tuple[float, float]]
     learners: list[np.ndarray]
+    first: bool = True
 
     def labels(self, views: list[np.ndarray], k: int) -> np.ndarray:
         """1, 0, or -1 where view k isn't sure."""
@@ -136,14 +144,19 @@ class Lesson:
         return np.where(z <= low, 0, np.where(z >= high, 1, -1))
 
 
+def row_hashes(x: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) >> 1 for r in np.ascontiguousarray(x, np.float32)], np.int64)
+
+
 class Slopes:
     """Of all documents of which one view is sure, numbers and sums of the other view's slopes (residual times features, and the residual), by
-    learner and label."""
+    learner and label; and, in a round's first pass, the features of the CURVED least hashes."""
 
     def __init__(self, lesson: Lesson):
         self.lesson = lesson
         self.count = [np.zeros(2, np.int64) for _ in lesson.learners]
         self.total = [np.zeros((2, len(w)), np.int64) for w in lesson.learners]
+        self.least: list[list[dict[int, np.ndarray]]] = [[{}, {}] for _ in lesson.learners]
 
     def add(self, views: list[np.ndarray]) -> None:
         for k in (0, 1):
@@ -154,6 +167,23 @@ class Slopes:
                 self.count[k][y] += own.sum()
                 self.total[k][y, :-1] += np.rint(x[own] * (wrong[own] * UNIT)[:, None]).astype(np.int64).sum(0)
                 self.total[k][y, -1] += np.rint(wrong[own] * UNIT).astype(np.int64).sum()
+                if self.lesson.first:
+                    self.keep(k, y, row_hashes(x[own]), x[own])
+
+    def keep(self, k: int, y: int, hashes: np.ndarray, rows: np.ndarray) -> None:
+        held = self.least[k][y]
+        last = max(held) if len(held) >= CURVED else None
+        for i in np.flatnonzero(hashes < last).tolist() if last is not None else range(len(hashes)):
+            held[int(hashes[i])] = np.array(rows[i], np.float32)
+        if len(held) > CURVED:
+            self.least[k][y] = {h: held[h] for h in sorted(held)[:CURVED]}
+
+    def curved(self, k: int, good: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """Rows that stand for all of learner k, and their weights, which add up to 1."""
+        bad, fine = (np.array([r for _, r in sorted(self.least[k][y].items())]) for y in (0, 1))
+        if not len(bad) or not len(fine):
+            return None
+        return np.concatenate([bad, fine]), np.concatenate([np.full(len(bad), (1 - good) / len(bad)), np.full(len(fine), good / len(fine))])
 
     def slope(self, k: int, good: float) -> np.ndarray | None:
         """Mean slope of learner k with good and bad documents in a proportion; None if one kind is missing."""
@@ -162,15 +192,19 @@ class Slopes:
         return sum(share * self.total[k][y] / UNIT / self.count[k][y] for y, share in ((0, 1 - good), (1, good)))
 
 
-def newton_step(x: np.ndarray, y: np.ndarray, w: np.ndarray, taught: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
-    """Weights after a step down the sum of two losses, that of labelled rows and that of all pseudo-labelled ones (its slope is given), with the
-    labelled rows' curvature for both."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1).astype(np.float64)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+def newton_step(x: np.ndarray, y: np.ndarray, w: np.ndarray, taught: np.ndarray, curved: tuple[np.ndarray, np.ndarray], penalty: float = 1e-4) -> np.ndarray:
+    """Weights after a step down the sum of two losses, that of labelled rows and that of all pseudo-labelled ones: their slope is given, and their
+    curvature is that of some rows and weights."""
+    wide = lambda v: np.concatenate([v, np.ones((len(v), 1), np.float32)], 1).astype(np.float64)
+    chance = lambda v: 1 / (1 + np.exp(-np.clip(v @ w, -30, 30)))
+    x, (other, weight) = wide(x), (wide(curved[0]), curved[1])
+    p, q = chance(x), chance(other)
     slope = x.T @ (p - y) / len(x) + taught + 2 * penalty * w
-    curve = 2 * (x.T * (p * (1 - p))) @ x / len(x)
+    curve = (x.T * (p * (1 - p))) @ x / len(x) + (other.T * (q * (1 - q) * weight)) @ other
     curve[np.diag_indices_from(curve)] += 2 * penalty + 1e-3 * np.trace(curve) / len(curve)
-    return (w - np.linalg.solve(curve, slope)).astype(np.float32)
+    step = np.linalg.solve(curve, slope)
+    far = max(1.0, float(np.abs(np.concatenate([x, other]) @ step).max()) / FARTHEST)  # curvature is trusted so far
+    return (w - step / far).astype(np.float32)
 
 
 def cotrained(views: list[np.ndarray], y: np.ndarray, summed_by: Callable[[Lesson], Slopes], rounds: int = ROUNDS, steps: int = STEPS) -> Views:
@@ -184,10 +218,12 @@ def cotrained(views: list[np.ndarray], y: np.ndarray, summed_by: Callable[[Lesso
     for _ in range(rounds):
         judges = weights
         sure = [sure_from(logits(x[apart], w), y[apart]) for x, w in zip(views, judges)]
-        for _ in range(steps):
-            slopes = summed_by(Lesson(judges, sure, weights))
+        for step in range(steps):
+            slopes = summed_by(Lesson(judges, sure, weights, step == 0))
+            if step == 0:
+                curved = [slopes.curved(k, good) for k in (0, 1)]
             taught = [slopes.slope(k, good) for k in (0, 1)]
-            weights = [w if t is None else newton_step(x, y[~apart], w, t) for x, w, t in zip(own, weights, taught)]
+            weights = [w if t is None or c is None else newton_step(x, y[~apart], w, t, c) for x, w, t, c in zip(own, weights, taught, curved)]
     held, own = y[apart], [logits(x[apart], w) for x, w in zip(views, weights)]
     calibration = [fitted(z[:, None].astype(np.float32), held) for z in own]
     each = np.stack([logits(z[:, None], c) for z, c in zip(own, calibration)], 1).astype(np.float32)
@@ -224,19 +260,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
             slopes = Slopes(sent.value)
             for part in blocks(batches):
                 slopes.add(features(part))
+            names = ["learner", "label", "place", "n", "data"]
             for k in (0, 1):
                 both = np.concatenate([slopes.count[k][:, None], slopes.total[k]], 1)
                 label, place = np.nonzero(both)
                 columns = [np.full(len(label), k), label, place, both[label, place]]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["learner", "label", "place", "n"])
-
-        rows_of = rows.mapInArrow(add_up, "learner long, label long, place long, n long").groupBy("learner", "label", "place").agg(F.sum("n").alias("n")).toArrow()
-        learner, label, place, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in rows_of.columns)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.nulls(len(label), pa.binary())], names)
+                for y in (0, 1):
+                    held = slopes.least[k][y]
+                    columns = [np.full(len(held), c) for c in (k, y, -1)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(list(held), pa.int64()), pa.array([r.tobytes() for r in held.values()], pa.binary())], names)
+
+        told = written(rows.mapInArrow(add_up, "learner long, label long, place long, n long, data binary"), "slopes")
+        sums = told.where("place >= 0").groupBy("learner", "label", "place").agg(F.sum("n").alias("n")).toArrow()
+        learner, label, place, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in sums.columns)
         slopes = Slopes(lesson)
         for k in (0, 1):
             many, own = (learner == k) & (place == 0), (learner == k) & (place > 0)
             slopes.count[k][label[many]] = n[many]
             slopes.total[k][label[own], place[own] - 1] = n[own]
+        if lesson.first:
+            order = Window.partitionBy("learner", "label").orderBy("n")
+            least = told.where("place < 0").dropDuplicates(["learner", "label", "n"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= CURVED)
+            for r in least.select("learner", "label", "n", "data").toArrow().to_pylist():  # bounded by CURVED
+                slopes.least[r["learner"]][r["label"]][r["n"]] = np.frombuffer(r["data"], np.float32)
         return slopes
 
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("y"))

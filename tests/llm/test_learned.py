@@ -165,6 +165,20 @@ def scores_by_hand(docs, labels):
         def __init__(self, lesson):
             self.lesson = lesson
 
+        def labelled(self, k):
+            z = views[1 - k] @ self.lesson.judges[1 - k][:-1] + self.lesson.judges[1 - k][-1]
+            return np.where(z <= self.lesson.sure[1 - k][0], 0, np.where(z >= self.lesson.sure[1 - k][1], 1, -1))
+
+        def curved(self, k, good):
+            rows, weights = [], []
+            for y, share in ((0, 1 - good), (1, good)):
+                own = sorted({xxhash.xxh3_64_intdigest(r.astype(np.float32).tobytes()) >> 1: r for r in views[k][self.labelled(k) == y]}.items(), key=lambda r: r[0])[:500]
+                if not own:
+                    return None
+                rows += [r for _, r in own]
+                weights += [share / len(own)] * len(own)
+            return np.array(rows), np.array(weights)
+
         def slope(self, k, good):
             total, many = np.zeros((2, views[k].shape[1] + 1)), [0, 0]
             for row, judged in zip(views[k], views[1 - k]):

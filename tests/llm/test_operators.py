@@ -498,7 +498,7 @@ def test_steps_go_down():
     wide = np.concatenate([more, np.ones((900, 1))], 1)
     w = cotraining.fitted(x, y)
     for _ in range(25):
-        w = cotraining.newton_step(x, y, w, wide.T @ (1 / (1 + np.exp(-wide @ w)) - label) / 900)
+        w = cotraining.newton_step(x, y, w, wide.T @ (1 / (1 + np.exp(-wide @ w)) - label) / 900, (more, np.full(900, 1 / 900)))
     want = cotraining.fitted(np.concatenate([x, more]), np.concatenate([y, label]), np.concatenate([np.full(400, 1 / 400), np.full(900, 1 / 900)]), steps=4000)
     assert w == pytest.approx(want, abs=0.05)
 
