@@ -2,41 +2,42 @@
 
 Records get a key: a hash of the text, then the id, then a row number, so that copies lie together and a large group of
 copies can still be divided, even if they have one id. A sample, drawn with a chance in proportion to a record's size, gives splitters: quantiles of bytes, not of rows. Records
-are counted by range; ranges that came out overfull are divided by quantiles of a sample of their own, until none is.
+are counted by range; ranges that came out overfull, in bytes or in rows, are divided by quantiles of a sample of their own, until none is.
 Within a range, running sums of bytes and rows (the ranges before it come from the counts) place each record in the
 sequence of all bytes, and equal parts of that sequence are the shards, so their sizes differ by less than a record. A slot is the
 record's place in its shard.
 
-Only keys and sizes are shuffled, a range a window; the driver sees the sample, bounded by the number of ranges, and one row
-a range. Null and empty texts have the overhead as size. Repeated rows (even of one id) are placed each by itself.
+Only keys and sizes are shuffled, a range a window. There are as many ranges as it takes for each to have some ROWS_A_RANGE records, so a task's
+work doesn't grow with the table; the driver sees the sample, a few rows a range, and one row a range. Null and empty texts have the overhead as size. Repeated rows (even of one id) are placed each by itself.
 An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import written
 
-#: Sampled records a range, and the top bits of the key by which splitters are looked up.
-SAMPLED, TOP_BITS = 12, 10
+#: Sampled records a range, the least number of top bits of the key by which splitters are looked up, and records that a range is to have at most, more or less.
+SAMPLED, TOP_BITS, ROWS_A_RANGE = 12, 10, 2_000_000
 
 
 Key = tuple[int, int, int]
 KEY = ["k", "i", "u"]
 
 
-def splitter_table(spark: SparkSession, splitters: list[Key]) -> DataFrame:
-    """top, base, inside: for each value of the key's top bits, the splitters below it and those with it. 2^TOP_BITS rows."""
+def splitter_table(spark: SparkSession, splitters: list[Key], bits: int) -> DataFrame:
+    """top, base, inside: for each value of the key's top bits, the splitters below it and those with it. 2^bits rows."""
     inside: dict[int, list[dict]] = {}
     for key in sorted(splitters):
-        inside.setdefault((key[0] >> (64 - TOP_BITS)) + (1 << (TOP_BITS - 1)), []).append(dict(zip(KEY, key)))
+        inside.setdefault((key[0] >> (64 - bits)) + (1 << (bits - 1)), []).append(dict(zip(KEY, key)))
     rows, base = [], 0
-    for top in range(1 << TOP_BITS):
+    for top in range(1 << bits):
         rows.append({"top": top, "base": base, "inside": inside.get(top, [])})
         base += len(rows[-1]["inside"])
     schema = "array<struct<top: int, base: int, inside: array<struct<k: bigint, i: bigint, u: bigint>>>>"
@@ -45,9 +46,10 @@ def splitter_table(spark: SparkSession, splitters: list[Key]) -> DataFrame:
 
 def with_range(rows: DataFrame, splitters: list[Key]) -> DataFrame:
     """rows (k, i, u) with `range`: how many splitters are at or before them."""
-    top = (F.shiftright("k", 64 - TOP_BITS) + (1 << (TOP_BITS - 1))).cast("int")
+    bits = max(TOP_BITS, len(splitters).bit_length())  # so a value of the top bits has about one splitter, however many there are
+    top = (F.shiftright("k", 64 - bits) + (1 << (bits - 1))).cast("int")
     before = F.filter("inside", lambda s: s <= F.struct(*KEY))
-    table = splitter_table(rows.sparkSession, splitters)
+    table = splitter_table(rows.sparkSession, splitters, bits)
     return rows.withColumn("top", top).join(F.broadcast(table), "top").withColumn("range", F.col("base") + F.size(before)).drop("top", "base", "inside")
 
 
@@ -68,29 +70,39 @@ def quantiles(points: list[tuple[Key, int]], parts: int) -> list[Key]:
     return sorted(set(found))
 
 
-def assigned(docs: DataFrame, shards: int, overhead: int = 8, ranges_a_shard: int = 8, row: Column | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, u, shard, slot: shards of equal bytes, to within a record. u numbers the rows; it is `row` if that is given."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("i"), (F.monotonically_increasing_id() if row is None else row).alias("u"))
-    rows = written(rows, "keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    n = shards * ranges_a_shard
+def ranged(rows: DataFrame, total: int, n: int, most_rows: int) -> tuple[DataFrame, dict[int, Row]]:
+    """rows with range, and bytes and rows by range: n ranges of near equal bytes, those with more than twice their share of bytes or more than twice
+    most_rows rows divided again. Only records that are equal in key can be more."""
     splitters = quantiles(sample(rows, n * SAMPLED / max(1, total), 0), n)
     for attempt in range(1, 12):
         held = with_range(rows, splitters)
         counted = {r["range"]: r for r in held.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(F.struct(*KEY)).alias("a"), F.max(F.struct(*KEY)).alias("z")).collect()}
-        over = [r for r, x in counted.items() if x["bytes"] > 2 * total / n and x["a"] != x["z"]]
+        over = {r: max(int(x["bytes"] * n / total), int(x["rows"] / most_rows)) + 2 for r, x in counted.items() if (x["bytes"] > 2 * total / n or x["rows"] > 2 * most_rows) and x["a"] != x["z"]}
         if not over:
             break
-        most = sum(counted[r]["bytes"] for r in over)
-        points = sample(with_range(rows, splitters).where(F.col("range").isin(over)), max(2, len(over)) * SAMPLED * 4 / most, attempt)
-        known = set(splitters)
-        for r in over:
-            low, high = tuple(counted[r]["a"]), tuple(counted[r]["z"])
-            known |= set(quantiles([p for p in points if low < p[0] <= high], int(counted[r]["bytes"] * n / total) + 2))
+        points = []
+        for scale in {parts.bit_length() for parts in over.values()}:  # ranges that need about as many parts are sampled at one rate
+            alike = [r for r, parts in over.items() if parts.bit_length() == scale]
+            points += sample(held.where(F.col("range").isin(alike)), 4 * SAMPLED * sum(over[r] for r in alike) / sum(counted[r]["bytes"] for r in alike), attempt)
+        points.sort()
+        known, keys = set(splitters), [p[0] for p in points]
+        for r, parts in over.items():
+            known |= set(quantiles(points[bisect_right(keys, tuple(counted[r]["a"])) : bisect_right(keys, tuple(counted[r]["z"]))], parts))
         if len(known) == len(splitters):
             break
         splitters = sorted(known)
+    return held, counted
+
+
+def assigned(docs: DataFrame, shards: int, overhead: int = 8, ranges_a_shard: int = 8, row: Column | None = None, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """doc_id, size, text_crc32, u, shard, slot: shards of equal bytes, to within a record. u numbers the rows; it is `row` if that is given.
+    The number of ranges changes no result."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("i"), (F.monotonically_increasing_id() if row is None else row).alias("u"))
+    rows = written(rows, "keys")
+    whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    total = whole["bytes"] or 0
+    held, counted = ranged(rows, total, max(shards * ranges_a_shard, -(-whole["rows"] // rows_a_range)), rows_a_range)
     before_bytes = before_rows = 0
     starts = []
     for r in sorted(counted):
