@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -537,6 +538,45 @@ def iar_mle(spark: SparkSession, d: str) -> DataFrame:
     return found.select("series_id", rounded(F.col("phi")).alias("phi"), "status")
 
 
+#: Rows a run, tapers by nw, frequencies and their step, and values of phi of the fits by runs.
+RUN, RUN_BANDS, RUN_COUNT, RUN_STEP, RUN_PHIS = 64, (2, 3), 40, 0.005, (0.3, 0.7)
+
+
+def taper_rows() -> str:
+    """The tapers of a run as rows of SQL (nw, taper, i, w), from their definition: leading eigenvectors of the kernel sin(2 pi W d) / (pi d)."""
+    d = np.subtract.outer(np.arange(RUN), np.arange(RUN))
+    rows = []
+    for nw in RUN_BANDS:
+        v = np.linalg.eigh(2 * nw / RUN * np.sinc(2 * nw / RUN * d))[1][:, ::-1]
+        rows += [f"({nw}, {k + 1}, {i + 1}, {v[i, k]!r})".replace("np.float64(", "").replace("))", ")") for k in range(2 * nw) for i in range(RUN)]
+    return ", ".join(rows)
+
+
+RUN_W = f"case when freq_id in (1, {RUN_COUNT}) then 0.5 else 1.0 end * {RUN_STEP}"
+RUN_PARTS = parts_sql("tp", "series_id, run, phi, nw, taper, val", f"2 * pi() * range * {RUN_STEP}", "comp", f"range(1, {RUN_COUNT + 1})").replace("range * 0.001", f"range * {RUN_STEP}").replace("\nst as", "\nss as").replace("join st ", "join ss ")
+
+
+@query("multitaper_runs", f"""{LAG}, nb as (select *, row_number() over (partition by series_id order by t, row_id) as i, count(*) over (partition by series_id) as n from lg),
+rn as (select *, unnest(range(0, (n + {RUN - 1}) // {RUN})) as run from nb where n >= {RUN}),
+rr as (select series_id, run, t, x, gap, before, i - least(run * {RUN}, n - {RUN}) as k from rn where i > least(run * {RUN}, n - {RUN}) and i <= least(run * {RUN}, n - {RUN}) + {RUN}),
+ph as (select unnest({list(RUN_PHIS)})::double as phi),
+xy as (select series_id, run, phi, 'x' as val, k, t, x as v from rr, ph union all select series_id, run, phi, 'y', k, t, coalesce(phi ** gap * before, 0) from rr, ph),
+dm as (select * replace (v - avg(v) over (partition by series_id, run, phi, val) as v) from xy),
+w(nw, taper, k, w) as (values {taper_rows()}),
+tp as (select series_id, run, phi, nw, taper, val, t, v * w as x from dm join w using (k)),
+{RUN_PARTS},
+pr as (select series_id, run, phi, nw, taper, freq_id, l.a as a1, l.b as b1, r.a as a2, r.b as b2 from comp l join comp r using (series_id, run, phi, nw, taper, freq_id) where l.val = 'x' and r.val = 'y'),
+dv as (select series_id, run, phi, nw, taper, sum({RUN_W} * 0.5 * (a1 * a1 + b1 * b1)) as ix, sum({RUN_W} * 0.5 * (a2 * a2 + b2 * b2)) as iy, sum({RUN_W} * {CO}) as ixy from pr group by all),
+ta as (select series_id, run, phi, nw, avg(ix) as ix, avg(iy) as iy, avg(ixy) as ixy from dv group by all)
+select series_id, phi, nw, count(*) as runs, {r('avg(ix)')} as ix, {r('avg(iy)')} as iy, {r('avg(ixy)')} as ixy, {r('avg(0.25 * (ix + iy - 2 * ixy) / (2 * pi()))')} as j from ta group by 1, 2, 3""")
+def multitaper_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Divergence of each series from its autoregressive fit for two values of phi, by multitaper with two bandwidths, by runs of 64 observations."""
+    rows = autoregression.lagged(autoregression.standardised(event_series(spark, d)))
+    rows = numbered(rows).withColumn("phi", F.explode(F.array(*[F.lit(p) for p in RUN_PHIS]))).withColumn("y", autoregression.fitted(F.col("phi")))
+    found = tapers.run_divergences(rows, RUN, RUN_BANDS, ("series_id", "phi"), RUN_COUNT, RUN_STEP)
+    return values(found, ("series_id", "phi", "nw", "runs"), ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
+
+
 @query("iar_sweep", None)
 def iar_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Divergence of simulated series on the events' own times from their fits, by phi, on one grid (nw 0) and by multitaper."""

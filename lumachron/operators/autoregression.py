@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumachron.operators.blocks import ORDER, blocked, numbered, same, written
-from lumachron.operators.divergence import divergences
-from lumachron.operators.moments import COUNT, STEP, components
-from lumachron.operators.tapers import tapered_moments
+from lumachron.operators.moments import COUNT, STEP
+from lumachron.operators.tapers import tapered_divergences
 
 
 def previous(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -192,11 +191,8 @@ def sweep(times: DataFrame, phis: Iterable[float], widths: Iterable[int] = (2, 3
     rows = lagged(data, keys).join(estimates, list(keys)).withColumn("y", fitted(F.col("phi"))).drop("gap", "before", "phi")
     means = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     rows = numbered(rows, keys).join(means, list(keys)).withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
-    parts = written(components(tapered_moments(rows, {0: 1, **{nw: 2 * nw for nw in widths}}, ("x", "y"), keys, count, step)).select(*keys, "value", "nw", "taper", "freq_id", "a", "b"), "parts")
-    side = lambda v, k: parts.where(F.col("value") == v).select(*keys, "nw", "taper", "freq_id", F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
-    each = divergences(side("x", 1).join(side("y", 2), [*keys, "nw", "taper", "freq_id"]), [*keys, "nw", "taper"], count, step)
-    found = each.groupBy(*keys, "nw").agg(*[F.avg(c).alias(c) for c in ("ix", "iy", "ixy", "j")])
-    return found.withColumn("nw", F.col("nw").cast("int")).join(estimates, list(keys))
+    found = tapered_divergences(rows, {0: 1, **{nw: 2 * nw for nw in widths}}, keys, count, step)
+    return found.join(estimates, list(keys))
 
 
 def folded(series: DataFrame, frequency: float) -> DataFrame:

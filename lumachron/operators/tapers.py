@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumachron.functions.numeric import TAU
-from lumachron.operators.blocks import numbered
+from lumachron.operators.blocks import numbered, same, written
+from lumachron.operators.divergence import divergences
 from lumachron.operators.moments import components
 
 #: Samples up to which tapers come from the whole matrix, and rows that are worked on at once.
@@ -159,3 +160,36 @@ def multitaper_cross(parts: DataFrame) -> DataFrame:
     side = lambda k: parts.select("taper", "freq_id", "f", F.col("series_id").alias(f"series{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
     joined = side(1).join(side(2).drop("f"), ["taper", "freq_id"]).where("series1 < series2")
     return joined.groupBy("series1", "series2", "freq_id", "f").agg(F.avg(0.5 * (F.col("a1") * F.col("a2") + F.col("b1") * F.col("b2"))).alias("co"))
+
+
+def tapered_divergences(rows: DataFrame, bands: dict[float, int], keys: tuple[str, ...], count: int = 200, step: float = 0.001) -> DataFrame:
+    """keys, nw, ix, iy, ixy, j: x of rows (keys, t, i, n, x, y) against their y, integrals averaged over the k tapers of each nw in bands; nw 0 is
+    without taper. Both values are to be demeaned."""
+    parts = written(components(tapered_moments(rows, bands, ("x", "y"), keys, count, step)).select(*keys, "value", "nw", "taper", "freq_id", "a", "b"), "parts")
+    own = (*keys, "nw", "taper")
+    both = parts.groupBy(*own, "freq_id").agg(*[F.max(F.when(F.col("value") == v, F.col(c))).alias(f"{c}{k}") for k, v in ((1, "x"), (2, "y")) for c in ("a", "b")])
+    each = divergences(both, list(own), count, step)
+    return each.groupBy(*keys, "nw").agg(*[F.avg(c).alias(c) for c in ("ix", "iy", "ixy", "j")]).withColumn("nw", F.col("nw").cast("int"))
+
+
+def runs(rows: DataFrame, length: int) -> DataFrame:
+    """Numbered rows (i from 1, n) in runs of `length` rows each: run, and i and n within it. If the last rows of a series don't fill a run, theirs starts
+    earlier, so all rows are in a run and some of the rows before the last are in two. Shorter series have one run, themselves."""
+    last = F.greatest(F.ceil(F.col("n") / length) - 1, F.lit(0)).cast("long")
+    own = F.floor((F.col("i") - 1) / length).cast("long")
+    again = (own == last - 1) & (F.col("i") > F.col("n") - length)
+    found = rows.withColumn("run", F.explode(F.when(again, F.array(own, own + 1)).otherwise(F.array(own))))
+    start = F.greatest(F.least(F.col("run") * length, F.col("n") - length), F.lit(0))
+    return found.withColumns({"i": F.col("i") - start, "n": F.least(F.col("n"), F.lit(length))})
+
+
+def run_divergences(rows: DataFrame, length: int, widths: tuple[int, ...], keys: tuple[str, ...] = ("series_id",), count: int = 200, step: float = 0.001) -> DataFrame:
+    """keys, nw, runs, ix, iy, ixy, j: multitaper divergences of x from y by runs of numbered rows (keys, t, i, n, x, y), averaged over a series' runs.
+
+    Tapers of a run know its rows alone, so a change along a series doesn't blur its spectrum, and runs are worked out apart. Null keys are series."""
+    cut = runs(rows, length)
+    own = (*keys, "run")
+    means = cut.groupBy(*own).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    level = same(cut, means, list(own)).withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
+    each = tapered_divergences(level, {nw: 2 * nw for nw in widths}, own, count, step)
+    return each.groupBy(*keys, "nw").agg(F.count("*").alias("runs"), *[F.avg(c).alias(c) for c in ("ix", "iy", "ixy", "j")])

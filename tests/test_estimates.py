@@ -130,3 +130,16 @@ def test_null_series_are_series(spark):
     assert autoregression.standardised(rows).count() == 10 and autoregression.folded(rows, 0.3).count() == 10
     labels = spark.createDataFrame([(1, None), (1, "X"), (2, None)], "g int, label string").repartition(1)
     assert {r["g"]: r["l"] for r in labels.groupBy("g").agg(cleaning.label_consensus("label").alias("l")).collect()} == {1: "X", 2: "MIXED_FLUX"}
+
+
+def test_runs_hold_all_rows(spark):
+    """Runs of equal length; the last starts earlier if need be; a short series is a run; a null key is a series."""
+    from lumachron.operators.tapers import runs
+
+    rows = [(s, i, n) for s, n in (("a", 10), ("b", 8), (None, 3), ("d", 4), ("e", 5)) for i in range(1, n + 1)]
+    got = runs(spark.createDataFrame(rows, "series_id string, i long, n long").withColumn("was", F.col("i")), 4).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["series_id"], r["run"]), {})[r["i"]] = (r["was"], r["n"])
+    assert {k: [w for w, _ in (v[i] for i in sorted(v))] for k, v in by.items()} == {("a", 0): [1, 2, 3, 4], ("a", 1): [5, 6, 7, 8], ("a", 2): [7, 8, 9, 10], ("b", 0): [1, 2, 3, 4], ("b", 1): [5, 6, 7, 8], (None, 0): [1, 2, 3], ("d", 0): [1, 2, 3, 4], ("e", 0): [1, 2, 3, 4], ("e", 1): [2, 3, 4, 5]}
+    assert all(sorted(v) == list(range(1, len(v) + 1)) and {n for _, n in v.values()} == {len(v)} for v in by.values())
