@@ -132,9 +132,36 @@ def noise(seed: int) -> Column:
     return F.sqrt(-2 * F.log(drawn(0))) * F.cos(F.lit(6.283185307179586) * drawn(1))
 
 
-def simulated_sweep(times: DataFrame, phis: Iterable[float], seed: int = 1) -> DataFrame:
+#: Blocks that are folded in one list.
+BLOCKS_A_LIST = 1000
+
+
+def carried(ends: DataFrame, keys: tuple[str, ...], many: int = BLOCKS_A_LIST) -> DataFrame:
+    """keys, block, carry: what reaches each block, of ends (keys, block, x, decay) where a block passes on x plus decay times what reached it.
+
+    A scan in two levels: blocks in lists of at most `many`, each folded from 0 along with its product of decays, then the lists' own ends. So a list is short
+    for any number of blocks that a table may have.
+    """
+    start = lambda of: F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("decay"), F.array().cast(f"array<struct<{of}: bigint, carry: double, rate: double>>").alias("out"))
+
+    def scan(rows: DataFrame, by: list[str], of: str) -> DataFrame:
+        def step(acc: Column, o: Column) -> Column:
+            reached = F.array(F.struct(o[of].cast("long").alias(of), acc["x"].alias("carry"), acc["decay"].alias("rate")))
+            return F.struct((o["x"] + o["decay"] * acc["x"]).alias("x"), (acc["decay"] * o["decay"]).alias("decay"), F.concat(acc["out"], reached).alias("out"))
+
+        lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(of, "x", "decay"))).alias("o"))
+        return lists.select(*by, F.aggregate("o", start(of), step).alias("z"))
+
+    own = scan(ends.withColumn("list", F.floor(F.col("block") / many)), [*keys, "list"], "block")
+    heads = scan(own.select(*keys, "list", "z.x", "z.decay"), list(keys), "list").select(*keys, F.inline("z.out"))
+    within = own.select(*keys, "list", F.inline("z.out").alias("block", "own", "rate"))
+    found = same(within, heads.select(*keys, "list", "carry"), [*keys, "list"])
+    return found.select(*keys, F.col("block").cast("int").alias("block"), (F.col("own") + F.col("rate") * F.col("carry")).alias("carry"))
+
+
+def simulated_sweep(times: DataFrame, phis: Iterable[float], seed: int = 1, shock: Column | None = None) -> DataFrame:
     """times (series_id, t, row_id) with x for each true_phi of phis, and block: x_j = phi^gap x_(j-1) + sqrt(1 - phi^(2 gap)) e_j, e standard
-    normal, drawn anew for each phi.
+    normal, drawn anew for each phi, or `shock` if that is given.
 
     With T the time since the start, x_j phi^-T_j is a sum of independent terms, but it overflows; so each block is folded in
     order from 0. A block's last value is its own plus phi^(its span) times the last value before, which a pass over the
@@ -143,7 +170,7 @@ def simulated_sweep(times: DataFrame, phis: Iterable[float], seed: int = 1) -> D
     rows = blocked(times.select("series_id", "t", "row_id"))
     ends = previous(rows, ["series_id"], ["t"]).select("series_id", "block", F.col("last.t").alias("since"))
     each = F.explode(F.array(*[F.lit(float(p)) for p in phis]))
-    drawn = same(rows, ends, ["series_id", "block"]).withColumn("true_phi", each).withColumn("e", noise(seed))
+    drawn = same(rows, ends, ["series_id", "block"]).withColumn("true_phi", each).withColumn("e", noise(seed) if shock is None else shock)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "row_id"], kind="stable")
@@ -164,15 +191,8 @@ def simulated_sweep(times: DataFrame, phis: Iterable[float], seed: int = 1) -> D
     schema = f"series_id {kinds['series_id']}, t double, row_id {kinds['row_id']}, block int, since double, true_phi double, x double"
     own = drawn.groupBy("series_id", "block", "true_phi").applyInPandas(fold, schema)
     tails = own.groupBy("series_id", "true_phi", "block").agg(F.max_by(F.struct("t", "since", "x"), F.struct("t", "row_id")).alias("z"))
-    lists = tails.groupBy("series_id", "true_phi").agg(F.array_sort(F.collect_list(F.struct("block", "z.t", "z.since", "z.x"))).alias("o"))
-    start = F.struct(F.lit(0.0).alias("x"), F.array().cast("array<struct<block: int, carry: double>>").alias("out"))
-
-    def step(acc: Column, o: Column) -> Column:
-        decay = F.coalesce(F.pow(F.col("true_phi"), o["t"] - o["since"]), F.lit(0.0))
-        carried = F.concat(acc["out"], F.array(F.struct(o["block"].alias("block"), acc["x"].alias("carry"))))
-        return F.struct((o["x"] + decay * acc["x"]).alias("x"), carried.alias("out"))
-
-    carries = lists.select("series_id", "true_phi", F.inline(F.aggregate("o", start, step, lambda acc: acc["out"])))
+    decay = F.coalesce(F.pow("true_phi", F.col("z.t") - F.col("z.since")), F.lit(0.0))
+    carries = carried(tails.select("series_id", "true_phi", "block", F.col("z.x").alias("x"), decay.alias("decay")), ("series_id", "true_phi"))
     carry = F.coalesce(F.pow("true_phi", F.col("t") - F.col("since")) * F.col("carry"), F.lit(0.0))
     return same(own, carries, ["series_id", "true_phi", "block"]).select("series_id", "t", "row_id", "block", "true_phi", (F.col("x") + carry).alias("x"))
 

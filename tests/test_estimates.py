@@ -143,3 +143,18 @@ def test_runs_hold_all_rows(spark):
         by.setdefault((r["series_id"], r["run"]), {})[r["i"]] = (r["was"], r["n"])
     assert {k: [w for w, _ in (v[i] for i in sorted(v))] for k, v in by.items()} == {("a", 0): [1, 2, 3, 4], ("a", 1): [5, 6, 7, 8], ("a", 2): [7, 8, 9, 10], ("b", 0): [1, 2, 3, 4], ("b", 1): [5, 6, 7, 8], (None, 0): [1, 2, 3], ("d", 0): [1, 2, 3, 4], ("e", 0): [1, 2, 3, 4], ("e", 1): [2, 3, 4, 5]}
     assert all(sorted(v) == list(range(1, len(v) + 1)) and {n for _, n in v.values()} == {len(v)} for v in by.values())
+
+
+@pytest.mark.parametrize("many", [2, 3, 1000])
+def test_carries_in_lists_of_any_length(spark, many):
+    """What reaches each block, in one list or several; block numbers have gaps, null keys are keys."""
+    rng = np.random.default_rng(3)
+    rows = [(s, int(b), float(rng.normal()), float(rng.uniform(0, 1))) for s in ("a", None) for b in rng.choice(30, 9, replace=False)]
+    got = autoregression.carried(spark.createDataFrame(rows, "series_id string, block int, x double, decay double"), ("series_id",), many).collect()
+    want = {}
+    for s in ("a", None):
+        carry = 0.0
+        for _, b, x, decay in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            want[s, b] = carry
+            carry = x + decay * carry
+    assert {(r["series_id"], r["block"]): pytest.approx(r["carry"], abs=1e-12) for r in got} == want

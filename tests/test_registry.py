@@ -11,7 +11,7 @@ from lumachron.jobs import curves, registry  # noqa: F401  both register queries
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "series_stats", "sampling_grid", "power_spectrum", "cross_spectrum", "divergence_matrix", "legacy_cross", "sigma_clip", "stitch", "phase_fold", "iar_fit", "label_consensus",
-    "own_band_divergence", "own_grid_components", "two_band_divergence", "nearest_panels", "panel_clusters", "legacy_integral", "prefix_divergence", "strict_reader", "loose_reader", "mission_to_text", "cross_catalogue", "spectrum_range", "target_dimension", "multitaper_runs",
+    "own_band_divergence", "own_grid_components", "two_band_divergence", "nearest_panels", "panel_clusters", "legacy_integral", "prefix_divergence", "strict_reader", "loose_reader", "mission_to_text", "cross_catalogue", "spectrum_range", "target_dimension", "multitaper_runs", "iar_simulation",
 ]
 
 
