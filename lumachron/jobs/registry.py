@@ -542,16 +542,18 @@ def drawn_sql(start: int) -> str:
     return f"(('0x' || md5('7:' || row_id)[{start}:{start + 11}])::bigint + 0.5::double) / 2::double ** 48"
 
 
-@query("iar_simulation", f"""with {EVENTS}, e as (select *, sqrt(-2 * ln({drawn_sql(1)})) * cos(2 * pi() * {drawn_sql(13)}) as e from ev),
+@query("iar_simulation", f"""with {EVENTS}, e as (select * replace (floor(t * 1024) / 1024 as t), sqrt(-2 * ln({drawn_sql(1)})) * cos(2 * pi() * {drawn_sql(13)}) as e from ev),
 g as (select *, t - lag(t) over w as gap, row_number() over w as i from e window w as (partition by series_id order by t, row_id)),
 s as (select series_id, row_id, t, i, phi, case when gap is null then e else sqrt(1 - phi ** (2 * gap)) * e end as s from g, (select unnest([0.3, 0.9])::double as phi))
 select l.series_id, l.row_id, l.phi, {r('sum(l.phi ** (l.t - r.t) * r.s)')} as x from s l join s r on l.series_id = r.series_id and l.phi = r.phi and r.i <= l.i group by 1, 2, 3""")
 def iar_simulation(spark: SparkSession, d: str) -> DataFrame:
-    """Autoregressive series on the events' own times for two values of phi, of normal shocks that both sides draw from row ids."""
+    """Autoregressive series on the events' own times for two values of phi, of normal shocks that both sides draw from row ids. Times are cut
+    to 1/1024 day, as small gaps would show the last digits of a time."""
     hashed = F.md5(F.concat(F.lit("7:"), F.col("row_id").cast("string")))
     u = lambda start: (F.conv(F.substring(hashed, start, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**48)
     shock = F.sqrt(-2 * F.log(u(1))) * F.cos(F.lit(TAU) * u(13))
-    found = autoregression.simulated_sweep(event_series(spark, d), (0.3, 0.9), shock=shock)
+    times = event_series(spark, d).withColumn("t", F.floor(F.col("t") * 1024) / F.lit(1024.0))
+    found = autoregression.simulated_sweep(times, (0.3, 0.9), shock=shock)
     return found.select("series_id", "row_id", F.col("true_phi").alias("phi"), rounded(F.col("x")).alias("x"))
 
 
