@@ -37,24 +37,26 @@ def split(texts: pa.Array) -> Words:
     return split_words(texts, SIGNS)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes, int]:
+def document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> np.ndarray:
     """In how many documents each word of the vocabulary occurs, over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = pa.array(shared.value, pa.binary())
+        asked = shared.value
         n = np.zeros(len(asked), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split(part.column(0))
                 place = words.places(asked)
                 found = place >= 0
-                n += np.bincount(np.unique(words.texts()[found] * len(asked) + place[found]) % len(asked), minlength=len(asked))
+                n += np.bincount(np.unique(words.texts()[found] * len(asked) + place[found]) % max(1, len(asked)), minlength=len(asked))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    return {w: 0 for w in vocabulary} | {vocabulary[r["place"]]: r["n"] for r in rows}
+    rows = docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(vocabulary), np.int64)
+    n[np.asarray(rows.column("place"))] = np.asarray(rows.column("n"))
+    return n
 
 
 def text_key() -> list[Column]:
@@ -62,13 +64,13 @@ def text_key() -> list[Column]:
     return [F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y")]
 
 
-def positional_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
+def positional_index(docs: DataFrame, vocabulary: pa.Array | None = None) -> DataFrame:
     """Postings (word, doc_id, x, y, positions) of whole texts, for the words of the vocabulary or all words; x and y are
     hashes of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = None if shared.value is None else pa.array(shared.value, pa.binary())
+        asked = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split(part.column(3))
@@ -86,36 +88,42 @@ def positional_index(docs: DataFrame, vocabulary: list[bytes] | None = None) ->
     return docs.select("doc_id", *text_key(), "text").mapInArrow(post, "word string, doc_id long, x long, y long, positions array<int>")
 
 
-def anchors(items: list[list[bytes]], frequency: dict[bytes, int], size: int) -> list[tuple[bytes, int, int]]:
-    """(word, item, place) of the two rarest words of each window."""
-    chosen = set()
-    for i, item in enumerate(items):
-        rare = [(frequency[w], q) for q, w in enumerate(item)]
-        for start in range(max(1, len(item) - size + 1) if item else 0):
-            chosen |= {(item[q], i, q) for _, q in sorted(rare[start : start + size])[:2]}
-    return sorted(chosen, key=lambda x: (x[1], x[2]))
-
-
-def candidates(index: DataFrame, names: list[tuple[bytes, int, int]], items: list[list[bytes]]) -> DataFrame:
-    """x, y and its places, (item, shift) where the lists of two anchors of the item meet (one for an item of one word)."""
-    spark = index.sparkSession
-    asked = spark.createDataFrame([(w.decode(), i, q, min(2, len(items[i]))) for w, i, q in names], "word string, item int, place int, need int")
+def anchors(words: Words, frequency: np.ndarray, size: int) -> np.ndarray:
+    """The words, by their places in `words`, that are among the two rarest of a window of their item; of equally rare ones the first. frequency is that of the
+    distinct words."""
+    total, text = len(words.words), words.texts()
+    lengths = np.minimum(np.diff(words.at)[text], size)  # of an item's windows
+    starts = np.flatnonzero(np.arange(total) + lengths <= words.at[1:][text]) if total else np.zeros(0, np.int64)
+    rank, none = frequency[words.codes] * (total + 1) + np.arange(total), np.iinfo(np.int64).max
+    first, second = np.full(len(starts), none), np.full(len(starts), none)
+    for j in range(size):
+        inside = j < lengths[starts]
+        here = np.full(len(starts), none)
+        here[inside] = rank[starts[inside] + j]
+        second = np.minimum(second, np.maximum(first, here))
+        first = np.minimum(first, here)
+    chosen = np.concatenate([first, second])
+    return np.unique(chosen[chosen < none] % (total + 1))
+
+
+def candidates(index: DataFrame, words: Words, chosen: np.ndarray) -> DataFrame:
+    """x, y and its places, (item, shift) where the lists of two chosen words of the item meet (one for an item of one word)."""
+    item = words.texts()[chosen]
+    columns = {"word": words.words.take(pa.array(chosen)).cast(pa.string()), "item": pa.array(item.astype(np.int32)), "place": pa.array((chosen - words.at[item]).astype(np.int32)), "need": pa.array(np.minimum(2, np.diff(words.at)[item]).astype(np.int32))}
+    asked = index.sparkSession.createDataFrame(pa.table(columns))
     # bounded by MOST_TEST_BYTES
     met = index.join(F.broadcast(asked), "word").select("x", "y", "item", "need", "place", F.explode("positions").alias("position"))
     starts = met.groupBy("x", "y", "item", (F.col("position") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.first("need").alias("need"))
     return starts.where("n >= need").groupBy("x", "y").agg(F.collect_list(F.struct("item", "shift")).alias("places"))
 
 
-def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], ids: list[str | None], size: int) -> DataFrame:
+def matched(docs: DataFrame, found: DataFrame, tested: Words, ids: pa.Array, size: int) -> DataFrame:
     """doc_id, x, y, n_words, spans (item_id, start, length: longest runs of whole windows) for every row of docs, and its row
     if it has one. A few candidates are sent to the documents; many meet them by hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast((items, ids))
+    shared = docs.sparkSession.sparkContext.broadcast((tested.distinct, tested.codes, tested.at, ids))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, ids = shared.value
-        vocabulary = sorted({w for item in items for w in item})
-        code = {w: k for k, w in enumerate(vocabulary)}
-        asked, coded = pa.array(vocabulary, pa.binary()), [np.array([code[w] for w in item], np.int64) for item in items]
+        asked, codes, at, ids = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split(part.column(1))
@@ -124,7 +132,7 @@ def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], ids: li
                 for r in np.flatnonzero(np.asarray(tried.is_valid())).tolist():
                     own = Words(words.words[words.at[r] : words.at[r + 1]], words.at[:1]).places(asked)
                     for c in tried[r].as_py():
-                        item, shift = coded[c["item"]], c["shift"]
+                        item, shift = codes[at[c["item"]] : at[c["item"] + 1]], c["shift"]
                         a, b = max(0, -shift), min(len(item), len(own) - shift)
                         if b - a < min(size, len(item)):
                             continue
@@ -132,7 +140,7 @@ def matched(docs: DataFrame, found: DataFrame, items: list[list[bytes]], ids: li
                         edge = np.diff(same.astype(np.int8))
                         for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                             if y - x >= min(size, len(item)):
-                                spans[r].append({"item_id": ids[c["item"]], "start": a + shift + x, "length": y - x})
+                                spans[r].append({"item_id": ids[c["item"]].as_py(), "start": a + shift + x, "length": y - x})
                 kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.at)), pa.array(spans, kind), *part.columns[3:]], ["doc_id", "n_words", "spans", *key, "x", "y"])
 
@@ -157,11 +165,9 @@ def benchmark_matches(docs: DataFrame, tests: DataFrame, size: int = 13) -> Data
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().combine_chunks()
         text = rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.string())
         words = split(text)
-        spelled = words.words.to_pylist()
-        items = [spelled[a:b] for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist())]
-        names = anchors(items, document_frequencies(docs, sorted(set(spelled))), size)
-        index = written(positional_index(docs, sorted({w for w, _, _ in names})), "index")
-        hits = matched(docs, candidates(index, names, items), items, rows.column("item_id").to_pylist(), size)
+        chosen = anchors(words, document_frequencies(docs, words.distinct), size)
+        index = written(positional_index(docs, words.distinct.take(pa.array(np.unique(words.codes[chosen])))), "index")
+        hits = matched(docs, candidates(index, words, chosen), words, rows.column("item_id").chunk(0) if rows.num_rows else text, size)
         result = hits if result is None else result.union(hits)
     if blocks > 1:
         merged = result.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("x").alias("x"), F.first("y").alias("y"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
