@@ -334,9 +334,10 @@ def own_band_divergence(spark: SparkSession, d: str) -> DataFrame:
 {parts_sql('od', grid='(select unnest(range(1, (select max(top) + 1 from tp))) as range)')}
 select series_id, freq_id, {r('a')} as a, {r('b')} as b from comp join tp using (series_id) where freq_id <= top""")
 def own_grid_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of order series, each on its own whole grid, by the fast transform; whole days make the sines vanish at half a cycle a day."""
+    """Components of order series, each on its own whole grid, by the fast transform; whole days make the sines vanish at half a cycle a day. What the
+    transform can't round for certain comes from direct sums."""
     series = order_series(spark, d)
-    parts = transforms.band_components(series, divergence.band_tops(sampling(series), STEP, False), STEP)
+    parts = transforms.band_components(series, divergence.band_tops(sampling(series), STEP, False), STEP, places=6)
     return values(parts, SERIES, a=F.col("a"), b=F.col("b"))
 
 

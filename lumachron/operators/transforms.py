@@ -11,11 +11,12 @@ holds some columns or some rows, so a series of any length is transformed by man
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumachron.functions.numeric import TAU, ieee_div
@@ -31,6 +32,10 @@ AT_ONCE = 18
 HELD = 1 << 21
 #: A component whose denominator is below this share of the observations is taken from direct sums, and so is a shift whose cosine sum is.
 WEAK = 1e-6
+#: A transform's error, as a share of the observations.
+TRANSFORM = 1e-12
+#: Times and frequencies of a block of direct sums, and angles that are worked out at once.
+TIMES, FREQUENCIES, ANGLES = 4096, 1024, 1 << 18
 NAMES = ["c1", "s1", "xc", "xs", "c2", "s2"]
 
 
@@ -213,33 +218,93 @@ def band_moments(series: DataFrame, tops: DataFrame, step: float = STEP, most: i
     return same(band_sums(series, tops, step, most), stats, ["series_id"]).withColumn("f", f).withColumn("omega", F.lit(TAU) * f)
 
 
+def tiles_of(times: DataFrame, frequencies: DataFrame, columns: list[str]) -> DataFrame:
+    """Every block of a series' times (series_id, part, t, n, x) with every block of its frequencies (series_id, freq_id and columns), dealt over all tasks."""
+    blocks = frequencies.withColumn("k", F.floor(F.col("freq_id") / F.lit(FREQUENCIES))).groupBy("series_id", "k").agg(F.collect_list(F.struct("freq_id", *columns)).alias("wanted"))
+    blocks = blocks.select("series_id", "k", F.col("wanted.freq_id").alias("freq_id"), *[F.col(f"wanted.{c}").alias(c) for c in columns])
+    return same(blocks, times, ["series_id"]).repartition(4 * times.sparkSession.sparkContext.defaultParallelism, "series_id", "k", "part")
+
+
+def tile_sums(tiles: DataFrame, columns: list[str], names: list[str], sums: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """series_id, freq_id, columns, and the sums by name over all of a series' times; sums: from freq_id, columns, t, n and x, for a few frequencies at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                given = {c: np.asarray(batch.column(c)[i].values) for c in ("freq_id", *columns, "t", "n", "x")}
+                each = [given[c][:, None] for c in ("freq_id", *columns)]
+                few = max(1, ANGLES // len(given["t"]))
+                found = [sums(*[c[at : at + few] for c in each], given["t"], given["n"], given["x"]) for at in range(0, len(each[0]), few)]
+                done = [np.concatenate(c) for c in zip(*found)]
+                key = batch.column("series_id").take(pa.array([i] * len(each[0])))
+                yield pa.RecordBatch.from_arrays([key, *[pa.array(given[c]) for c in ("freq_id", *columns)], *map(pa.array, done)], ["series_id", "freq_id", *columns, *names])
+
+    kind = dict(tiles.dtypes)["series_id"]
+    found = tiles.mapInArrow(run, f"series_id {kind}, freq_id long, " + ", ".join(f"{c} double" for c in [*columns, *names]))
+    return found.groupBy("series_id", "freq_id", *columns).agg(*[F.sum(c).alias(c) for c in names])
+
+
 def direct_components(series: DataFrame, wanted: DataFrame, step: float = STEP) -> DataFrame:
     """series_id, freq_id, tau, a, b by observation, demeaned and standardised, for wanted (series_id, freq_id, mean, sd): the shift first, then
-    sums of the shifted sines and cosines themselves."""
-    omega = F.lit(TAU) * F.col("freq_id") * F.lit(step)
-    rows = same(series.select("series_id", "t", "x"), wanted, ["series_id"]).withColumn("omega", omega)
-    angle = 2 * F.col("omega") * F.col("t")
-    tau = F.atan(ieee_div(F.sum(F.sin(angle)), F.sum(F.cos(angle)))) / F.lit(TAU)
-    shifts = written(rows.groupBy("series_id", "freq_id").agg(tau.alias("tau")), "shifts")
-    rows = same(rows, shifts, ["series_id", "freq_id"])
-    turned = (F.col("tau") - F.col("t")) * F.col("omega")
-    c, s, x = F.cos(turned), F.sin(turned), F.col("x") - F.col("mean")
-    sums = rows.groupBy("series_id", "freq_id", "tau").agg(F.first("sd").alias("sd"), F.sum(c * x).alias("nc"), F.sum(s * x).alias("ns"), F.sum(c * c).alias("dc"), F.sum(s * s).alias("ds"))
+    sums of the shifted sines and cosines themselves.
+
+    Observations of one time share their sines, and go in blocks of times, frequencies in blocks as well; a task has some pairs of blocks."""
+    wanted = written(wanted.select("series_id", F.col("freq_id").cast("long").alias("freq_id"), "mean", "sd"), "wanted")
+    stats = wanted.groupBy("series_id").agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"))
+    rows = same(series.select("series_id", F.col("t").cast("double").alias("t"), "x"), stats, ["series_id"])
+    each = rows.groupBy("series_id", "t").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("x") - F.col("mean")).alias("x"))
+    each = written(each, "times")
+    most = each.groupBy("series_id").count().agg(F.max("count")).first()[0] or 1
+    each = each.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(-(-most // TIMES))))
+    times = each.groupBy("series_id", "part").agg(F.collect_list(F.struct("t", "n", "x")).alias("rows")).select("series_id", "part", *[F.col(f"rows.{c}").alias(c) for c in "tnx"])
+    times = written(times, "time_blocks")
+
+    def shift_sums(k: np.ndarray, t: np.ndarray, n: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        angle = 2 * (TAU * k * step) * t
+        return [np.sin(angle) @ n, np.cos(angle) @ n]
+
+    def shifted_sums(k: np.ndarray, tau: np.ndarray, t: np.ndarray, n: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        turned = (tau - t) * (TAU * k * step)
+        c, s = np.cos(turned), np.sin(turned)
+        return [c @ x, s @ x, (c * c) @ n, (s * s) @ n]
+
+    tau = F.atan(ieee_div(F.col("s2"), F.col("c2"))) / F.lit(TAU)
+    shifts = written(tile_sums(tiles_of(times, wanted.select("series_id", "freq_id"), []), [], ["s2", "c2"], shift_sums).select("series_id", "freq_id", tau.alias("tau")), "shifts")
+    sums = same(tile_sums(tiles_of(times, shifts, ["tau"]), ["tau"], ["nc", "ns", "dc", "ds"], shifted_sums), stats, ["series_id"])
     each = lambda p, q: ieee_div(ieee_div(F.col(p), F.coalesce("sd", F.lit(float("nan")))), F.sqrt(q))
     return sums.select("series_id", "freq_id", "tau", each("nc", "dc").alias("a"), each("ns", "ds").alias("b"))
 
 
-def band_components(series: DataFrame, tops: DataFrame, step: float = STEP, most: int = AT_ONCE) -> DataFrame:
+def unsettled(places: int) -> Column:
+    """Whether a or b is so near to a half of the last of `places` decimals that the rounding of angles and of the transform may decide where it goes.
+
+    A bound: phases are off by a few units in the last place of the largest angle, sums by that for each observation, and the shift by what sums are off over their length."""
+    n, omega, turned = F.col("n"), F.col("omega"), F.abs(F.cos(2 * F.col("omega") * F.col("tau")) * F.col("c2") + F.sin(2 * F.col("omega") * F.col("tau")) * F.col("s2"))
+    off = 8 * omega * F.col("reach") * F.lit(2.0**-53) + F.lit(TRANSFORM)
+    flat = ieee_div(2 * n, n - turned)
+    size = F.abs("a") + F.abs("b")
+    angle = omega * ieee_div(n * off, F.sqrt(F.col("c2") * F.col("c2") + F.col("s2") * F.col("s2"))) * F.lit(math.sqrt(2) / TAU)
+    error = size * flat * (angle + off) + F.sqrt(2 * n * flat) * off
+    near = lambda c: F.abs(F.abs(c) * F.lit(10.0**places) % 1 - 0.5) <= error * F.lit(10.0**places)
+    return near("a") | near("b")
+
+
+def band_components(series: DataFrame, tops: DataFrame, step: float = STEP, most: int = AT_ONCE, places: int | None = None) -> DataFrame:
     """series_id, freq_id, f, tau, a, b of each series on its own band.
 
     Where nearly all sines or cosines vanish (as for whole days at half a cycle a day), the difference of sums that stands for
     the denominator is rounding alone; where the cosine sum of the shift is next to nothing, its sign is. Those few frequencies come from direct sums.
+    With places, so do those whose a or b, rounded to so many decimals, might be another than that of direct sums: few on short bands, most where
+    angles are large, at a cost of distinct times by frequencies.
     """
     sums = written(band_moments(series, tops, step, most), "sums")
     parts = components(sums)
     angle = 2 * F.col("omega") * F.col("tau")
     turned = F.abs(F.cos(angle) * F.col("c2") + F.sin(angle) * F.col("s2"))
     weak = F.isnan("tau") | (F.abs("c2") < WEAK * F.col("n")) | ((F.col("n") - turned) / 2 < WEAK * F.col("n"))
+    if places is not None:
+        reach = series.groupBy("series_id").agg(F.max(F.abs(F.col("t").cast("double"))).alias("reach"))
+        parts, weak = same(parts, reach, ["series_id"]), weak | unsettled(places)
     direct = direct_components(series, parts.where(weak).select("series_id", "freq_id", "mean", "sd"), step)
     joined = same(parts.select("series_id", "freq_id", "f", "tau", "a", "b"), direct.select("series_id", "freq_id", F.col("tau").alias("tau_"), F.col("a").alias("a_"), F.col("b").alias("b_"), F.lit(True).alias("direct")), ["series_id", "freq_id"], "left")
     chosen = [F.when(F.col("direct"), F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in ("tau", "a", "b")]

@@ -36,5 +36,18 @@ def test_bands_past_half_a_cycle_a_day(spark, name):
     test_against_sql(spark, name, "/root/testdata/sf0.01")
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_own_grid_components_round_as_their_sql_does(spark):
+    """To the last of six decimals, also where a value is within 1e-12 of a half of it."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{folder}/orders.parquet'")
+    keys = ["series_id", "freq_id"]
+    got, want = registry.QUERIES["own_grid_components"](spark, folder).toPandas(), con.sql(registry.ORACLES["own_grid_components"]).df()
+    both = got.merge(want, on=keys, suffixes=("", "_sql"))
+    assert len(both) == len(got) == len(want)
+    assert (both.a - both.a_sql).abs().max() < 1e-9 and (both.b - both.b_sql).abs().max() < 1e-9
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)

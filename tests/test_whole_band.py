@@ -67,6 +67,21 @@ def test_whole_days_past_half_a_cycle(spark):
     assert len(found) == 2 and (found.top > 50).all() and np.isfinite(found.j).all()
 
 
+def test_components_round_as_direct_sums(spark, monkeypatch):
+    """With places, rounded components are those of sums by observation, times in blocks or not, null series and equal times among them."""
+    r = np.random.default_rng(4)
+    data = {n: (r.integers(9000, 9400, 700).astype(float), r.normal(5, 2, 700)) for n in ("x", None)}
+    series = spark.createDataFrame([(n, float(t), float(x)) for n, (ts, xs) in data.items() for t, x in zip(ts, xs)], "series_id string, t double, x double")
+    monkeypatch.setattr(transforms, "TIMES", 100)
+    monkeypatch.setattr(transforms, "FREQUENCIES", 64)
+    parts = transforms.band_components(series, spark.createDataFrame([("x", 490), (None, 300)], "series_id string, top long"), 0.001, places=11).toPandas()
+    assert len(parts) == 790
+    for name, (t, x) in data.items():
+        own = parts[parts.series_id.isna() if name is None else parts.series_id == name].sort_values("freq_id")
+        want = np.array([components_by_hand(t, x, k * 0.001) for k in own.freq_id])
+        assert np.abs(own[["a", "b"]].to_numpy() - want).max() < 2e-11
+
+
 def test_series_without_a_band(spark, series):
     one = series.unionByName(spark.createDataFrame([("z", 1.0, 1.0)], "series_id string, t double, x double")).where("series_id is not null")
     tops = {x["series_id"]: (x["top"], x["status"]) for x in divergence.band_tops(sampling(one), 0.01, False).collect()}
