@@ -26,13 +26,16 @@ MARK = "▁"
 NONE = np.int64(2**31 - 1)
 #: Words whose ids a worker remembers.
 REMEMBERED = 150_000
+#: Text bytes encoded at once; merge rounds take some 20 times as much memory.
+AT_ONCE = 1 << 20
 
 
 class PieceModel:
-    def __init__(self, path: str):
-        import sentencepiece
+    """Tables of a model. They are worked out once, on the driver, and broadcast, as the library and what it takes to make them are larger than they."""
 
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, path: str):
+        self.path = path
+        sp = self.library()
         n = sp.vocab_size()
         text = [sp.id_to_piece(i) for i in range(n)]
         byte, plain = [sp.is_byte(i) for i in range(n)], [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) for i in range(n)]
@@ -42,7 +45,7 @@ class PieceModel:
         pairs = sorted((ids[p[:k]] << 32 | ids[p[k:]], rank[sp.get_score(i)], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs))
         self.n, self.bytes_at = n, {int(p[3:5], 16): i for i, p in enumerate(text) if byte[i]}
-        self.char = np.arange(0x110000, dtype=np.int64) + n  # a character outside the vocabulary is a symbol of its own
+        self.char = np.arange(0x110000, dtype=np.int32) + np.int32(n)  # a character outside the vocabulary is a symbol of its own
         for p, i in ids.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
@@ -55,6 +58,11 @@ class PieceModel:
         self.joins[:, 0x80:0xC0] = True  # within a character
         self.marked = np.array([plain[i] and text[i].startswith(MARK) for i in range(n)])
 
+    def library(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of each pair of symbols."""
         key = left << 32 | right
@@ -135,14 +143,14 @@ class PieceModel:
         """Ids of all words end to end, and how many each has."""
         text = [w.decode().replace(" ", MARK) for w in words]
         lengths = np.array([len(x) for x in text], np.int64)
-        return self.rounds(self.char[np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)], lengths)
+        return self.rounds(self.char[np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)].astype(np.int64), lengths)
 
 
 class PieceCoder:
     """Encodes and decodes arrays, and remembers words."""
 
-    def __init__(self, path: str):
-        self.model = PieceModel(path)
+    def __init__(self, model: str | PieceModel):
+        self.model = PieceModel(model) if isinstance(model, str) else model
         self.forget()
 
     def forget(self) -> None:
@@ -192,18 +200,21 @@ class PieceCoder:
         try:
             return out.cast(pa.string())
         except pa.ArrowInvalid:  # byte pieces that are no UTF-8
-            return pa.array([self.model.library.decode(x) for x in ids.to_pylist()], pa.string())
+            library = self.model.library()
+            return pa.array([library.decode(x) for x in ids.to_pylist()], pa.string())
 
 
 def with_piece_ids(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text; narrow, no shuffle."""
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c != out])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+    shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        pa.default_memory_pool().release_unused()  # what tasks before this one left in the worker
+        coder = PieceCoder(shared.value)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, AT_ONCE):
                 yield pa.RecordBatch.from_arrays([*part.columns, coder.encode(part.column(part.schema.get_field_index(text)))], [*part.schema.names, out])
 
     return docs.mapInArrow(encode, schema)
@@ -213,9 +224,10 @@ def with_decoded(docs: DataFrame, model_path: str, ids: str = "ids", out: str =
     """docs with a column of the text that each list of ids stands for."""
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c != out])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
+    shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        coder = PieceCoder(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, coder.decode(batch.column(batch.schema.get_field_index(ids)))], [*batch.schema.names, out])
 

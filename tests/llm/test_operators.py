@@ -585,3 +585,33 @@ def test_pieces(spark, docs):
     got = {r["doc_id"]: r["decoded"] for r in piece_tokens.with_decoded(broken, model).collect()}
     assert got == {1: library.decode([3 + 0xC3, 300]), 2: "", 3: library.decode([1, 2, 0])}
     assert piece_tokens.with_piece_ids(rows.limit(0), model).count() == 0
+
+
+def test_piece_ids_take_bounded_memory():
+    """What a task needs for a batch of many new words stays far below what merge rounds over the whole batch take; the model comes by broadcast."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    import sentencepiece
+    from pyspark.sql import types as T
+
+    sent = []
+    context = SimpleNamespace(broadcast=lambda model: sent.append(model) or SimpleNamespace(value=model))
+    docs = SimpleNamespace(columns=["text"], schema=T.StructType([T.StructField("text", T.StringType())]), sparkSession=SimpleNamespace(sparkContext=context))
+    docs.select, docs.mapInArrow = lambda *c: docs, lambda run, schema: run
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    run = piece_tokens.with_piece_ids(docs, path)
+    letters = np.random.default_rng(0).integers(97, 123, (1000, 4000), dtype=np.uint8)
+    letters[:, ::9] = 32
+    texts = [x.tobytes().decode() for x in letters]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 1000 and peak < 120, peak
+    assert len(sent) == 1
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = [x for part in run(iter([batch.slice(0, 20)])) for x in part.column(1).to_pylist()]
+    assert ids == [library.encode(x) for x in texts[:20]]
