@@ -22,8 +22,8 @@ def is_finite(c: Column) -> Column:
 
 
 def epoch_days(ts: Column) -> Column:
-    """Days since 1970 of a timestamp without time zone, to the microsecond."""
-    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts) / F.lit(86400000000.0)
+    """Days since 1970 of a timestamp without time zone, to the microsecond; rounded twice, by seconds, as in the queries' SQL."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts) / F.lit(1e6) / F.lit(86400.0)
 
 
 def rounded(c: Column, places: int = 6) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +53,40 @@ def likelihood(rows: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataF
     return rows.groupBy(*keys, "phi").agg((F.sum(terms) / 2).alias("nll"))
 
 
+def powers(phi: float, d: np.ndarray) -> np.ndarray:
+    """phi^d by the C library, as SQL engines have it: what 1 - phi^d keeps of a tiny d is the power's last digits."""
+    return np.fromiter(map(math.pow, repeat(phi), d.tolist()), np.float64, len(d))
+
+
+def grid_likelihood(rows: DataFrame, phis: Iterable[float], keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """`likelihood` of lagged rows for each of phis: sums by key of a batch are all that leaves a task."""
+    phis = [float(p) for p in phis]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: dict[tuple, list[int]] = {}
+            for r, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(keys))))):
+                at.setdefault(key, []).append(r)
+            x, gap, before = (np.asarray(batch.column(c)) for c in ("x", "gap", "before"))
+            known = np.asarray(batch.column("x").is_valid())
+            start = np.asarray(batch.column("gap").is_null()) & known
+            later = (gap > 0) & known & np.asarray(batch.column("before").is_valid())
+            total = []
+            for places in at.values():
+                r = np.array(places)
+                first, own = r[start[r]], r[later[r]]
+                head = float((x[first] ** 2).sum())
+                for phi in phis:
+                    v, e = 1 - powers(phi, 2 * gap[own]), x[own] - phi ** gap[own] * before[own]
+                    total.append(head + float((np.log(v) + e * e / v).sum()) if len(first) + len(own) else None)
+            fixed = [pa.array([v for v in column for _ in phis], batch.column(c).type) for c, column in enumerate(zip(*at))] if at else [batch.column(c) for c in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(phis * len(at), pa.float64()), pa.array(total, pa.float64())], [*keys, "phi", "nll"])
+
+    kinds = dict(rows.dtypes)
+    found = rows.select(*keys, "x", "gap", "before").mapInArrow(summed, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", phi double, nll double")
+    return found.groupBy(*keys, "phi").agg((F.sum("nll") / 2).alias("nll"))
+
+
 def standardised(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     stats = series.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     return same(series, stats, list(keys)).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
@@ -57,7 +95,7 @@ def standardised(series: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> D
 def estimated(series: DataFrame, count: int = 49, rounds: int = 1, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """keys, phi, nll: the phi of least nll on an even grid of (0, 1), refined about it for further rounds."""
     rows = lagged(standardised(series, keys), keys)
-    best = least(likelihood(rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("phi", F.col("k") / F.lit(float(count + 1))), keys), keys)
+    best = least(grid_likelihood(rows, [k / (count + 1) for k in range(1, count + 1)], keys), keys)
     width = 1.0 / (count + 1)
     for _ in range(rounds - 1):
         about = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda k: F.col("phi") + k * F.lit(width / 10))
