@@ -234,17 +234,17 @@ def integral_omega(spark: SparkSession, d: str) -> DataFrame:
 def integral_adaptive(spark: SparkSession, d: str) -> DataFrame:
     """Power of order series over a narrow band by adaptive quadrature, with ever wider tolerances for series that don't settle and
     a trapezoid of 20001 points in the end; `way` is the step that gave the result."""
-    series = order_series(spark, d).withColumn("t", F.col("t") - 8000)
+    blocks, stats = integrals.at_times(order_series(spark, d).withColumn("t", F.col("t") - 8000))
 
     def some(keys: DataFrame | None) -> DataFrame:
-        return series if keys is None else series.join(keys.select(F.col("key").alias("series_id")), "series_id", "left_semi")
+        return blocks if keys is None else blocks.join(keys.select(F.col("key").alias("series_id")), "series_id", "left_semi")
 
     def attempt(tolerance: float) -> Callable[[DataFrame | None], DataFrame]:
-        return lambda keys: integrals.adaptive(spark, 0.001, 0.05, lambda nodes: integrals.power_at(components(integrals.node_moments(some(keys), nodes), mode="paper")), tolerance, 7, 16)
+        return lambda keys: integrals.adaptive(spark, 0.001, 0.05, lambda nodes: integrals.power_at(components(integrals.node_sums(some(keys), stats, nodes), mode="paper")), tolerance, 7, 16)
 
     def grid(keys: DataFrame) -> DataFrame:
         step = (0.05 - 0.001) / 20000
-        parts = components(moments(some(keys), 20001, step, start=0.001), mode="paper")
+        parts = components(integrals.even_moments(some(keys), stats, 20001, step, 0.001), mode="paper")
         return divergence.auto_integral(parts, 20001, step).select(F.col("series_id").alias("key"), "integral", F.lit(0.0).alias("error"))
 
     found = integrals.with_ladder([attempt(t) for t in (1e-10, 1e-8, 1e-6)], 1e-6, grid)

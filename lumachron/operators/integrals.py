@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumachron.functions.numeric import TAU, is_finite
-from lumachron.operators.blocks import written
-from lumachron.operators.moments import sums_of
+from lumachron.operators.blocks import same, written
 
 
 def trapezoid(spectrum: DataFrame, keys: list[str], value: Column, count: int, step: float, name: str = "integral") -> DataFrame:
@@ -77,9 +78,91 @@ def power_at(sums_at: DataFrame) -> DataFrame:
     return sums_at.select(F.col("series_id").alias("key"), "interval", "node", (0.5 * (F.col("a") * F.col("a") + F.col("b") * F.col("b"))).alias("y"))
 
 
+#: Distinct times of a block, and of them worked on at once; series whose sums a task holds before it hands them on.
+BLOCK, TIMES, HELD = 8192, 2048, 16
+SUMS = ["c1", "s1", "c2", "s2", "xc", "xs"]
+
+
+def at_times(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (series_id, block, t, n, x) of distinct times in arrays, with how many observations each has and the sum of their values; and n, mean and
+    deviation of each series. Both written once, and read for any number of frequencies."""
+    rows = series.select("series_id", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x"))
+    stats = written(rows.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")), "stats")
+    times = written(rows.groupBy("series_id", "t").agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("x")), "times")
+    counts = times.groupBy("series_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = same(times, counts, ["series_id"]).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    blocks = dealt.repartition(cores, "series_id", "block").groupBy("series_id", "block").agg(F.collect_list(F.struct("t", "n", "x")).alias("o"))  # bounded by a block
+    return written(blocks.select("series_id", "block", "o.t", "o.n", "o.x"), "times"), stats
+
+
+def product_sums(blocks: DataFrame, base: np.ndarray, offset: np.ndarray) -> DataFrame:
+    """series_id, k and the six sums of each series at the frequencies base_i + offset_j, k = i len(offset) + j.
+
+    Waves of base and offset are made apart, and all sums are products of the two matrices, so a time costs as many waves as there are bases and offsets."""
+    base, offset = np.asarray(base, np.float64), np.asarray(offset, np.float64)
+    total = len(base) * len(offset)
+
+    def added(t: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((6, len(base), len(offset)))
+        for a in range(0, len(t), TIMES):
+            own = slice(a, a + TIMES)
+            few = np.exp(1j * TAU * np.outer(t[own], offset))
+            for b in range(0, len(base), TIMES):
+                many = np.exp(1j * TAU * np.outer(base[b : b + TIMES], t[own]))
+                for c, z in enumerate(((many * n[own]) @ few, (many * many * n[own]) @ (few * few), (many * x[own]) @ few)):
+                    out[2 * c, b : b + TIMES] += z.real
+                    out[2 * c + 1, b : b + TIMES] += z.imag
+        return out.reshape(6, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, np.ndarray] = {}
+        kind = pa.null()
+
+        def handed(key: object, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, total, 10_000):
+                k = np.arange(a, min(total, a + 10_000), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(k), kind), pa.array(k), *map(pa.array, sums[:, k])], ["series_id", "k", *SUMS])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for r in range(batch.num_rows):
+                key, sums = batch.column(0)[r].as_py(), added(*(np.asarray(batch.column(c)[r].values) for c in (1, 2, 3)))
+                held[key] = held[key] + sums if key in held else sums
+                if len(held) > HELD:
+                    for k in list(held):
+                        yield from handed(k, held.pop(k))
+        for key, sums in held.items():
+            yield from handed(key, sums)
+
+    kind = dict(blocks.dtypes)["series_id"]
+    found = blocks.select("series_id", "t", "n", "x").mapInArrow(run, f"series_id {kind}, k int, " + ", ".join(f"{c} double" for c in SUMS))
+    return found.groupBy("series_id", "k").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def node_sums(blocks: DataFrame, stats: DataFrame, nodes: list[tuple[int, int, float]]) -> DataFrame:
+    """Moments of each series of `at_times` at the frequencies of (interval, node, f) tuples. Intervals whose nodes lie alike are one matrix product."""
+    f = np.array([f for _, _, f in nodes])
+    base, offset = f, np.zeros(1)
+    wide = next((k for k, x in enumerate(nodes) if x[0] != nodes[0][0]), len(nodes))
+    if len(nodes) % wide == 0:
+        table = f.reshape(-1, wide)
+        if np.abs(table - table[:, :1] - (table[0] - table[0, 0])).max() <= 1e-15 * np.abs(f).max():
+            base, offset = table[:, 0], table[0] - table[0, 0]
+    names = blocks.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(nodes)], "k int, interval int, node int, f double")
+    sums = same(product_sums(blocks, base, offset).join(F.broadcast(names), "k"), stats, ["series_id"])
+    return sums.withColumn("omega", F.lit(TAU) * F.col("f")).drop("k", "f")
+
+
 def node_moments(series: DataFrame, nodes: list[tuple[int, int, float]]) -> DataFrame:
     """Moments of each series at the frequencies of (interval, node, f) tuples."""
-    literal = F.from_json(F.lit(json.dumps([{"interval": i, "node": j, "f": f} for i, j, f in nodes])), "array<struct<interval: int, node: int, f: double>>")
-    rows = series.select("series_id", "t", "x", F.explode(literal).alias("at")).select("series_id", "at.interval", "at.node", (F.lit(TAU) * F.col("at.f")).alias("w"), "t", "x")
-    rows = rows.select("series_id", "interval", "node", "w", "x", F.cos(F.col("w") * F.col("t")).alias("c"), F.sin(F.col("w") * F.col("t")).alias("s"))
-    return rows.groupBy("series_id", "interval", "node").agg(F.first("w").alias("omega"), *sums_of("c", "s"))
+    return node_sums(*at_times(series), nodes)
+
+
+def even_moments(blocks: DataFrame, stats: DataFrame, count: int, step: float, start: float) -> DataFrame:
+    """Moments of each series of `at_times` at start, start + step, ... (freq_id from 1 to count)."""
+    run = math.ceil(math.sqrt(count))
+    sums = product_sums(blocks, start + np.arange(-(-count // run)) * run * step, np.arange(run) * step).where(F.col("k") < count)
+    rows = same(sums.withColumn("freq_id", F.col("k") + 1).drop("k"), stats, ["series_id"])
+    f = F.lit(start) + (F.col("freq_id") - 1) * F.lit(step)
+    return rows.withColumn("f", f).withColumn("omega", F.lit(TAU) * f)

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from lumachron.jobs import registry
+from lumachron.operators import integrals
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +32,29 @@ def test_likelihood_of_small_gaps_equals_its_sql(spark, dense_events):
     got, want = registry.QUERIES["iar_mle_grid"](spark, dense_events).toPandas(), from_sql("iar_mle_grid", dense_events)
     got, want = (x.sort_values("series_id").reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_nodes_take_each_time_once(spark, monkeypatch, small):
+    """Sums at nodes are products of waves by distinct time: no row an observation and node is made, whatever the blocks, and null series are series."""
+    if small:
+        monkeypatch.setattr(integrals, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    data = {s: (rng.integers(0, 25, n).astype(float), rng.normal(3, 2, n)) for s, n in (("a", 300), (None, 40))}
+    rows = [(s, float(t), float(x)) for s, (ts, xs) in data.items() for t, x in zip(ts, xs)]
+    blocks, stats = integrals.at_times(spark.createDataFrame(rows, "series_id string, t double, x double").repartition(3))
+    held = blocks.selectExpr("series_id", "size(t) as k", "aggregate(n, 0D, (a, b) -> a + b) as n").groupBy("series_id").agg({"k": "sum", "n": "sum"}).toPandas()
+    assert sorted(held["sum(k)"]) == sorted(len(set(t)) for t, _ in data.values()) and sorted(held["sum(n)"]) == [40, 300]
+    even = [(i, j, 0.01 + 0.02 * i + 0.003 * j) for i in range(4) for j in range(5)]
+    odd = [(0, 0, 0.013), (0, 1, 0.4), (1, 0, 0.07), (2, 0, 0.2), (2, 1, 0.21)]
+    parts = [(integrals.node_sums(blocks, stats, nodes), {(i, j): f for i, j, f in nodes}, ("interval", "node")) for nodes in (even, odd)]
+    parts.append((integrals.even_moments(blocks, stats, 30, 0.004, 0.01), {(k, 1): 0.01 + (k - 1) * 0.004 for k in range(1, 31)}, ("freq_id", "n")))
+    for found, nodes, (i, j) in parts:
+        got = found.collect()
+        assert len(got) == 2 * len(nodes)
+        for r in got:
+            t, x = data[r["series_id"]]
+            w = 2 * np.pi * nodes[r[i], 1 if j == "n" else r[j]]
+            c, s = np.cos(w * t), np.sin(w * t)
+            want = [len(t), x.mean(), x.std(ddof=1), w, c.sum(), s.sum(), (2 * c * c - 1).sum(), (2 * c * s).sum(), (x * c).sum(), (x * s).sum()]
+            assert [r[k] for k in ("n", "mean", "sd", "omega", "c1", "s1", "c2", "s2", "xc", "xs")] == pytest.approx(want, rel=1e-10, abs=1e-9)
