@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumachron.operators.blocks import ORDER, blocked, numbered, same, written
+from lumachron.functions.numeric import TAU
+from lumachron.operators.blocks import ORDER, blocked, same, written
+from lumachron.operators.divergence import BETA
 from lumachron.operators.moments import COUNT, STEP
-from lumachron.operators.tapers import tapered_divergences
+from lumachron.operators.tapers import band_integrals, deviations, tapers_at, wave_components
 
 
 def previous(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -170,6 +172,24 @@ def noise(seed: int) -> Column:
     return F.sqrt(-2 * F.log(drawn(0))) * F.cos(F.lit(6.283185307179586) * drawn(1))
 
 
+def hashed_on(seeds: np.ndarray, value: float) -> np.ndarray:
+    """xxHash64 of a double's 8 bytes from hashes as seeds: what `xxhash64` gives of their columns and the value."""
+    a, b, c, d, e = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = (seeds + e + np.uint64(8)) ^ (turned(np.array([value]).view(np.uint64) * b, 31) * a)
+    h = turned(h, 27) * a + d
+    h = (h ^ (h >> np.uint64(33))) * b
+    h = (h ^ (h >> np.uint64(29))) * c
+    return h ^ (h >> np.uint64(32))
+
+
+def shocks(one: np.ndarray, two: np.ndarray, phis: list[float]) -> np.ndarray:
+    """rows x phis: the numbers that `noise` gives, of the hashes of what a row has but for true_phi."""
+    drawn = lambda seeds, p: ((hashed_on(seeds, p) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    one, two = one.view(np.uint64), two.view(np.uint64)
+    return np.stack([np.sqrt(-2 * np.log(drawn(one, p))) * np.cos(TAU * drawn(two, p)) for p in phis], 1)
+
+
 #: Blocks that are folded in one list.
 BLOCKS_A_LIST = 1000
 
@@ -240,17 +260,248 @@ def simulated(times: DataFrame, phi: float, seed: int = 1) -> DataFrame:
     return simulated_sweep(times, [phi], seed).select("series_id", "t", "row_id", "x")
 
 
+#: Blocks of a file of packed blocks, and rows that are worked on at once under tapers.
+BLOCKS_A_FILE, ROWS_AT_ONCE = 16, 1024
+
+
+def packed(times: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (series_id, block, o: t and row_id in order), few to a file and in order; and series_id, block, since (the time before the block), start
+    (rows before it), n (rows of the series). Both written."""
+    rows = blocked(times.select("series_id", F.col("t").cast("double").alias("t"), "row_id"))
+    lists = written(rows.groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("t", "row_id"))).alias("o")), "lists")  # bounded by a block
+    ends = written(lists.select("series_id", "block", F.size("o").alias("rows"), F.element_at("o", -1)["t"].alias("end")), "ends")
+    files = max(rows.sparkSession.sparkContext.defaultParallelism, -(-ends.count() // BLOCKS_A_FILE))
+    w = Window.partitionBy("series_id")
+    upto = F.sum("rows").over(w.orderBy("block")) - F.col("rows")
+    heads = ends.select("series_id", "block", F.lag("end").over(w.orderBy("block")).alias("since"), upto.alias("start"), F.sum("rows").over(w).alias("n"))
+    return written(lists.repartitionByRange(files, "series_id", "block").sortWithinPartitions("series_id", "block"), "packed"), written(heads, "heads")
+
+
+def streamed(blocks: DataFrame, heads: DataFrame, seed: int) -> DataFrame:
+    """Rows of packed blocks in order: series_id, place in the block, t, the two hashes of the row's shocks, and on a block's first row what heads tells of it."""
+    told = [c for c in heads.columns if c != "series_id"]
+    rows = same(blocks, heads, ["series_id", "block"]).select("series_id", *told, F.posexplode("o").alias("place", "r"))
+    rows = rows.select("series_id", *told, "place", "r.t", "r.row_id")
+    hashes = [F.xxhash64(F.lit(2 * seed + k), "series_id", "t", "row_id").alias(f"h{k}") for k in (0, 1)]
+    return rows.select("series_id", "place", "t", *hashes, *[F.when(F.col("place") == 0, F.col(c)).alias(c) for c in told])
+
+
+def walked(batches: Iterator[pa.RecordBatch], phis: list[float]) -> Iterator[tuple]:
+    """Streamed rows by runs of rows of one block: the block's head, place of the first row, t, gap (infinite for a series' first row), and the
+    simulated values before and at each row (rows x phis)."""
+    p, head, x, last = np.array(phis), {}, np.zeros(len(phis)), -math.inf
+    for batch in batches:
+        place, times = np.asarray(batch.column("place")), np.asarray(batch.column("t"))
+        e = shocks(np.asarray(batch.column("h0")), np.asarray(batch.column("h1")), phis)
+        cuts = sorted({0, len(times), *np.flatnonzero(place == 0).tolist()})
+        for a, b in zip(cuts, cuts[1:]):
+            if place[a] == 0:
+                head = {c: batch.column(c)[a].as_py() for c in batch.schema.names if c not in ("place", "t", "h0", "h1")}
+                head["id"] = batch.column("series_id").slice(a, 1)
+                x, last = np.array(head.get("carry") or np.zeros(len(phis))), -math.inf if head["since"] is None else head["since"]
+            t = times[a:b]
+            gap = np.diff(t, prepend=last)
+            decay = p ** gap[:, None]
+            shock = np.sqrt(1 - decay * decay) * e[a:b]
+            out = np.empty((len(t) + 1, len(phis)))
+            out[0] = x
+            for before, after, d, s in zip(out, out[1:], decay, shock):
+                np.multiply(d, before, after)
+                after += s
+            x, last = out[-1], t[-1]
+            yield head, int(place[a]), t, gap, out[:-1], out[1:]
+
+
+def repeated(head: dict, times: int) -> pa.Array:
+    return head["id"].take(pa.array([0] * times, pa.int32()))
+
+
+def tails(rows: DataFrame, phis: list[float]) -> DataFrame:
+    """series_id, block, k, x, decay: each block's last value folded from 0, for each of phis, and what is left there of the value before the block."""
+
+    def handed(head: dict, end: float, x: np.ndarray) -> pa.RecordBatch:
+        decay = np.zeros(len(phis)) if head["since"] is None else np.array(phis) ** (end - head["since"])
+        fixed = [repeated(head, len(phis)), pa.array([head["block"]] * len(phis), pa.int32()), pa.array(range(len(phis)), pa.int32())]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(x), pa.array(decay)], ["series_id", "block", "k", "x", "decay"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None
+        for head, place, t, _, _, x in walked(batches, phis):
+            if place == 0 and open_:
+                yield handed(*open_)
+            open_ = head, t[-1], x[-1]
+        if open_:
+            yield handed(*open_)
+
+    return rows.mapInArrow(run, f"series_id {dict(rows.dtypes)['series_id']}, block int, k int, x double, decay double")
+
+
+class Likelihoods:
+    """Sums of a series' rows from which come, by true phi, mean and deviation, and the likelihood of standardised values at candidates.
+
+    A row's e^2 / v is (change + q before)^2 / v, q = 1 - phi^gap, v = q (2 - q): three products of what depends on the candidate and what on the values, so
+    that all candidates and true phis are matrix products, and no digits go at small gaps."""
+
+    def __init__(self, candidates: list[np.ndarray]) -> None:
+        self.candidates, self.alike = candidates, {}
+        for k, c in enumerate(candidates):
+            self.alike.setdefault(c.tobytes(), []).append(k)
+        self.plain, self.sums = np.zeros((6, len(candidates))), np.zeros((8, len(candidates), max(map(len, candidates))))
+
+    def add(self, gap: np.ndarray, before: np.ndarray, x: np.ndarray) -> None:
+        first, later = np.isinf(gap), np.isfinite(gap) & (gap > 0)
+        self.plain += np.stack([np.full(x.shape[1], float(len(x))), x.sum(0), (x * x).sum(0), x[first].sum(0), (x[first] ** 2).sum(0), before.sum(0)])
+        u, change = before[later], (x - before)[later]
+        for code, own in self.alike.items():
+            q = -np.expm1(gap[later, None] * np.log(np.frombuffer(code)))
+            v, d, one = u[:, own], change[:, own], np.ones((len(own), 1))
+            w = 1 / (q * (2 - q)), 2 / (2 - q), q / (2 - q)
+            logs = np.log(q * (2 - q)).sum(0)
+            parts = [(d * d).T @ w[0], (d * v).T @ w[1], (v * v).T @ w[2], d.T @ w[1], v.T @ w[2], one * w[2].sum(0), one * logs, v.T @ q]
+            self.sums[:, own, : q.shape[1]] += np.stack(parts)
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.plain.ravel(), self.sums.ravel()]).tobytes()
+
+    def added(self, packed: bytes) -> None:
+        total = np.frombuffer(packed)
+        self.plain += total[: self.plain.size].reshape(self.plain.shape)
+        self.sums += total[self.plain.size :].reshape(self.sums.shape)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By true phi: the candidate of least likelihood, the mean of values, and that of their fits."""
+        n, s, ss, f, ff, u = self.plain
+        d2, dv, v2, d, v, w, logs, q = self.sums
+        with np.errstate(all="ignore"):
+            mean = s / n
+            var = (np.maximum(ss - s * mean, 0) / np.where(n > 1, n - 1, np.nan))[:, None]
+            m, start = mean[:, None], (ff - 2 * mean * f + mean**2)[:, None]
+            nll = 0.5 * ((start + d2 + dv - m * d + v2 - 2 * m * v + m * m * w) / var + logs)
+        nll = np.where(np.isnan(nll), np.inf, nll)
+        at = [int(nll[k, : len(c)].argmin()) for k, c in enumerate(self.candidates)]
+        return np.array([c[j] for c, j in zip(self.candidates, at)]), mean, (u - q[np.arange(len(at)), at]) / n
+
+
+#: Values of phi on the first grid of `sweep`.
+GRID = 49
+
+
+def candidates(about: list[float] | None, count: int) -> list[np.ndarray]:
+    """Of each of so many true phis, the values of phi that are tried: the grid, or, about its best, ten steps of a tenth of the grid's to both sides."""
+    if about is None:
+        return [np.arange(1, GRID + 1) / (GRID + 1)] * count
+    near = [b + np.arange(-10, 11) * (1 / (GRID + 1) / 10) for b in about]
+    return [c[(c > 0) & (c < 1)] for c in near]
+
+
+def most_likely(rows: DataFrame, phis: list[float]) -> DataFrame:
+    """series_id, best, mx, my: by true phi the likeliest of the candidates (those about the heads' best, if they have one), mean of the values and of their fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(head: dict, held: Likelihoods) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([repeated(head, 1), pa.array([head.get("best")], pa.list_(pa.float64())), pa.array([held.packed()], pa.binary())], ["series_id", "about", "sums"])
+
+        open_, held = None, None
+        for head, _, _, gap, before, x in walked(batches, phis):
+            if open_ is None or open_["series_id"] != head["series_id"]:
+                if held:
+                    yield handed(open_, held)
+                open_, held = head, Likelihoods(candidates(head.get("best"), len(phis)))
+            held.add(gap, before, x)
+        if held:
+            yield handed(open_, held)
+
+    def settled(table: pa.Table) -> pa.Table:
+        held = Likelihoods(candidates(table.column("about")[0].as_py(), len(phis)))
+        for sums in table.column("sums").to_pylist():
+            held.added(sums)
+        lists = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in held.best()]
+        return pa.Table.from_arrays([table.column("series_id").slice(0, 1), *lists], ["series_id", "best", "mx", "my"])
+
+    kind = dict(rows.dtypes)["series_id"]
+    sums = rows.mapInArrow(run, f"series_id {kind}, about array<double>, sums binary")
+    return sums.groupBy("series_id").applyInArrow(settled, f"series_id {kind}, best array<double>, mx array<double>, my array<double>")
+
+
+def tapered_sweep(rows: DataFrame, phis: list[float], bands: dict[int, int], count: int, step: float) -> DataFrame:
+    """series_id, k, nw, ix, iy, ixy of streamed rows whose heads have best, mx and my: values against their fits, by true phi and bandwidth.
+
+    Waves and tapers are made once a row for all true phis; a task hands on sums by series and true phi, or the results of a series that it had whole."""
+    omega, size, wide = TAU * step * np.arange(1, count + 1), sum(bands.values()), len(phis)
+
+    def integrals_of(wave: np.ndarray, plain: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """true phis x bands x 3, of sums of waves (5 x count), of tapered values (2 x tapers x 2 x true phis) and of both (2 x count x tapers x 2 x true phis)."""
+        n, own = wave[0, 0], own.transpose(0, 3, 4, 2, 1)
+        mean, sd = (v.transpose(1, 2, 0)[..., None] for v in deviations(n, *plain))
+        a, b = wave_components(n, mean, sd, wave[1:], own, omega)
+        each = band_integrals((a[0], b[0]), (a[1], b[1]), step)
+        starts = np.cumsum([0, *bands.values()])
+        return np.stack([each[:, :, s : s + int(min(k, n))].mean(2).T for s, k in zip(starts, bands.values())], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(head: dict, wave: np.ndarray, plain: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            whole = integrals_of(wave, plain, own.reshape(2, count, size, 2, wide)).reshape(wide, -1).tolist() if wave[0, 0] == head["n"] else [None] * wide
+            own = own.reshape(2, count, size, 2, wide)
+            for k, found in enumerate(whole):
+                sums = None if found else np.concatenate([wave.ravel(), plain[..., k].ravel(), own[..., k].ravel()]).tobytes()
+                yield pa.RecordBatch.from_arrays([repeated(head, 1), pa.array([k], pa.int32()), pa.array([found], pa.list_(pa.float64())), pa.array([sums], pa.binary())], ["series_id", "k", "found", "sums"])
+
+        open_, held = None, ()
+        for head, place, t, gap, before, x in walked(batches, phis):
+            if open_ is None or open_["series_id"] != head["series_id"]:
+                if held:
+                    yield from handed(open_, *held)
+                open_, held = head, (np.zeros((5, count)), np.zeros((2, size, 2, wide)), np.zeros((2 * count, size * 2 * wide)))
+            fit = np.array(head["best"]) ** gap[:, None] * before
+            both = np.concatenate([x - np.array(head["mx"]), fit - np.array(head["my"])], 1)
+            i, n = head["start"] + place + 1 + np.arange(len(t)), head["n"]
+            for a in range(0, len(t), ROWS_AT_ONCE):
+                at = slice(a, a + ROWS_AT_ONCE)
+                v = np.zeros((len(t[at]), size))
+                for s, (nw, k) in zip(np.cumsum([0, *bands.values()]), bands.items()):
+                    v[:, s : s + min(k, n)] = tapers_at(i[at], n, k, nw) if nw else 1.0
+                under = (v[:, :, None] * both[at, None, :]).reshape(len(v), -1)
+                z = np.cumprod(np.broadcast_to(np.exp(1j * TAU * step * t[at])[:, None], (len(v), count)), 1)
+                one, two = z.sum(0), np.einsum("ij,ij->j", z, z)
+                held[0][:] += np.stack([np.full(count, float(len(v))), one.real, one.imag, two.real, two.imag])
+                held[1][:] += np.stack([under.sum(0), np.einsum("ij,ij->j", under, under)]).reshape(held[1].shape)
+                held[2][:] += np.concatenate([z.real, z.imag], 1).T @ under
+        if held:
+            yield from handed(open_, *held)
+
+    def settled(table: pa.Table) -> pa.Table:
+        found = table.column("found")[0].as_py()
+        if found is None:
+            total = sum(np.frombuffer(s) for s in table.column("sums").to_pylist())
+            wave, plain = total[: 5 * count].reshape(5, count), total[5 * count : 5 * count + 4 * size].reshape(2, size, 2, 1)
+            found = integrals_of(wave, plain, total[5 * count + 4 * size :].reshape(2, count, size, 2, 1)).ravel().tolist()
+        fixed = [table.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * len(bands), pa.int32())) for c in ("series_id", "k")]
+        return pa.Table.from_arrays([*fixed, pa.array(list(bands), pa.int32()), *(pa.array(found[c::3], pa.float64()) for c in range(3))], ["series_id", "k", "nw", "ix", "iy", "ixy"])
+
+    kind = dict(rows.dtypes)["series_id"]
+    sums = rows.mapInArrow(run, f"series_id {kind}, k int, found array<double>, sums binary")
+    return sums.groupBy("series_id", "k").applyInArrow(settled, f"series_id {kind}, k int, nw int, ix double, iy double, ixy double")
+
+
 def sweep(times: DataFrame, phis: Iterable[float], widths: Iterable[int] = (2, 3, 4, 5), count: int = COUNT, step: float = STEP, seed: int = 7) -> DataFrame:
     """series_id, true_phi, nw, phi, ix, iy, ixy, j: a series simulated on the times for each true_phi, against its fit with the phi
-    estimated from it. nw 0 is the plain divergence; for each nw of widths integrals are averaged over 2 nw tapers."""
-    keys = ("series_id", "true_phi")
-    data = written(simulated_sweep(times, phis, seed), "simulated")
-    estimates = written(estimated(data, rounds=2, keys=keys).select(*keys, "phi"), "estimates")
-    rows = lagged(data, keys).join(estimates, list(keys)).withColumn("y", fitted(F.col("phi"))).drop("gap", "before", "phi")
-    means = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    rows = numbered(rows, keys).join(means, list(keys)).withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
-    found = tapered_divergences(rows, {0: 1, **{nw: 2 * nw for nw in widths}}, keys, count, step)
-    return found.join(estimates, list(keys))
+    estimated from it (as `estimated` does in two rounds). nw 0 is the plain divergence; for each nw of widths integrals are averaged over 2 nw tapers.
+
+    Only the times are written, in packed blocks. Simulated values are never rows: as a shock knows its row alone, they are drawn anew in each of four passes
+    (last values of blocks, likelihoods on a grid, likelihoods about its best, tapered sums), and what leaves a task is sums by series and true phi.
+    """
+    phis = [float(p) for p in phis]
+    blocks, heads = packed(times)
+    ends = written(tails(streamed(blocks, heads, seed), phis), "tails")
+    carries = carried(ends, ("series_id", "k")).groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("k", "carry"))).alias("o"))
+    heads = written(same(heads, carries.select("series_id", "block", F.col("o.carry").alias("carry")), ["series_id", "block"]), "heads")
+    grid = written(most_likely(streamed(blocks, heads, seed), phis).select("series_id", "best"), "grid")
+    fits = written(most_likely(streamed(blocks, same(heads, grid, ["series_id"]), seed), phis), "fits")
+    found = tapered_sweep(streamed(blocks, same(heads, fits, ["series_id"]), seed), phis, {0: 1, **{nw: 2 * nw for nw in widths}}, count, step)
+    rows = same(found, fits.select("series_id", "best"), ["series_id"])
+    j = F.lit(BETA / TAU) * (F.col("ix") + F.col("iy") - 2 * F.col("ixy"))
+    at = lambda values: F.get(values, F.col("k"))
+    return rows.select("series_id", at(F.array(*[F.lit(p) for p in phis])).alias("true_phi"), "nw", at("best").alias("phi"), "ix", "iy", "ixy", j.alias("j"))
 
 
 def folded(series: DataFrame, frequency: float) -> DataFrame:

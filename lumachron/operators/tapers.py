@@ -74,6 +74,32 @@ def tapers_at(i: np.ndarray, n: int, k: int, nw: float) -> np.ndarray:
     return out
 
 
+def wave_components(n: np.ndarray, mean: np.ndarray, sd: np.ndarray, plain: np.ndarray, own: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b as `components` has them (compat), from plain sums (c1, s1, c2, s2) and a value's own (xc, xs), with frequencies last."""
+    with np.errstate(all="ignore"):
+        c1, s1, c2, s2 = plain
+        angle = omega * np.arctan(s2 / c2) / TAU
+        ct, st, spread = np.cos(angle), np.sin(angle), np.cos(2 * angle) * c2 + np.sin(2 * angle) * s2
+        yc, ys = (own[0] - mean * c1) / sd, (own[1] - mean * s1) / sd
+        a = (ct * yc + st * ys) / np.sqrt(np.maximum((n + spread) / 2, 0.0))
+        return a, (st * yc - ct * ys) / np.sqrt(np.maximum((n - spread) / 2, 0.0))
+
+
+def deviations(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation from sums, no deviation of one value."""
+    with np.errstate(all="ignore"):
+        mean = sx / n
+        return mean, np.sqrt(np.maximum(sxx - sx * mean, 0.0) / np.where(n > 1, n - 1, np.nan))
+
+
+def band_integrals(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], step: float) -> np.ndarray:
+    """Ix, Iy and Ixy of components with frequencies last, by the trapezoid rule."""
+    weight = np.full(x[0].shape[-1], step)
+    weight[[0, -1]] = step / 2
+    with np.errstate(all="ignore"):
+        return np.stack([0.5 * (p[0] * q[0] + p[1] * q[1]) @ weight for p, q in ((x, x), (y, y), (x, y))])
+
+
 def tapered_moments(rows: DataFrame, bands: dict[float, int], values: tuple[str, ...] = ("x",), keys: tuple[str, ...] = ("series_id",), count: int = 200, step: float = 0.001) -> DataFrame:
     """Moments (as `moments` gives) of each value of rows (keys, t, i, n, values) under the k tapers of each nw in bands, and
     untapered for nw 0. Keys: keys, value, nw, taper, freq_id.

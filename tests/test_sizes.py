@@ -4,9 +4,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumachron.jobs import registry
-from lumachron.operators import integrals
+from lumachron.operators import autoregression, blocks, integrals, tapers
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,41 @@ def test_nodes_take_each_time_once(spark, monkeypatch, small):
             c, s = np.cos(w * t), np.sin(w * t)
             want = [len(t), x.mean(), x.std(ddof=1), w, c.sum(), s.sum(), (2 * c * c - 1).sum(), (2 * c * s).sum(), (x * c).sum(), (x * s).sum()]
             assert [r[k] for k in ("n", "mean", "sd", "omega", "c1", "s1", "c2", "s2", "xc", "xs")] == pytest.approx(want, rel=1e-10, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows_a_block", [90, 100_000])
+def test_sweep_writes_no_simulated_rows(spark, monkeypatch, rows_a_block):
+    """Results are those of the simulated rows, whatever the blocks, but no table or shuffle holds a row an observation and phi."""
+    rng = np.random.default_rng(6)
+    data = {s: np.sort(np.concatenate([rng.uniform(0, 300, n), rng.integers(0, 300, n // 4), rng.integers(0, 300, n // 4)])) for s, n in (("a", 800), (None, 60), ("tiny", 4))}
+    rows = spark.createDataFrame([(s, float(t), k) for s, ts in data.items() for k, t in enumerate(ts)], "series_id string, t double, row_id long").repartition(3)
+    phis, widths, keys = [0.05, 0.6, 0.9], (2, 5), ("series_id", "true_phi")
+    simulated = blocks.written(autoregression.simulated_sweep(rows.where("series_id is not null"), phis, 7), "simulated")
+    best = blocks.written(autoregression.estimated(simulated, rounds=2, keys=keys).select(*keys, "phi"), "estimates")
+    fit = blocks.same(autoregression.lagged(simulated, keys), best, list(keys)).withColumn("y", autoregression.fitted(F.col("phi")))
+    level = blocks.same(blocks.numbered(fit, keys), fit.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), list(keys))
+    level = level.withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
+    want = blocks.same(tapers.tapered_divergences(level, {0: 1, **{nw: 2 * nw for nw in widths}}, keys, 12, 0.02), best, list(keys)).toPandas()
+    tables, write = {}, autoregression.written
+
+    def counted(df, name):
+        found = write(df, name)
+        tables[name] = found.count()
+        return found
+
+    monkeypatch.setattr(blocks, "ROWS_A_BLOCK", rows_a_block)
+    monkeypatch.setattr(autoregression, "written", counted)
+    got = autoregression.sweep(rows, phis, widths, 12, 0.02, 7).toPandas()
+    total = sum(map(len, data.values()))
+    assert max(tables.values()) < total / 4
+    null = got[got.series_id.isna()]
+    assert len(got) == 3 * 3 * 3 and len(null) == 3 * 3 and null.j.notna().all()
+    got, want = (x.dropna(subset="series_id").sort_values(["series_id", "true_phi", "nw"]).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False, rtol=1e-6, atol=1e-9)
+
+
+def test_shocks_are_those_of_rows(spark):
+    rows = spark.range(50).select(F.lit("s").alias("series_id"), (F.col("id") / 7).alias("t"), F.col("id").alias("row_id"), F.lit(0.985).alias("true_phi"))
+    hashes = [F.xxhash64(F.lit(6 + k), "series_id", "t", "row_id").alias(f"h{k}") for k in (0, 1)]
+    got = rows.select(autoregression.noise(3).alias("e"), *hashes).toPandas()
+    assert autoregression.shocks(got.h0.to_numpy(), got.h1.to_numpy(), [0.2, 0.985])[:, 1] == pytest.approx(got.e.to_numpy(), rel=1e-12, abs=1e-12)
