@@ -591,9 +591,7 @@ ta as (select series_id, run, phi, nw, avg(ix) as ix, avg(iy) as iy, avg(ixy) as
 select series_id, phi, nw, count(*) as runs, {r('avg(ix)')} as ix, {r('avg(iy)')} as iy, {r('avg(ixy)')} as ixy, {r('avg(0.25 * (ix + iy - 2 * ixy) / (2 * pi()))')} as j from ta group by 1, 2, 3""")
 def multitaper_runs(spark: SparkSession, d: str) -> DataFrame:
     """Divergence of each series from its autoregressive fit for two values of phi, by multitaper with two bandwidths, by runs of 64 observations."""
-    rows = autoregression.lagged(autoregression.standardised(event_series(spark, d)))
-    rows = numbered(rows).withColumn("phi", F.explode(F.array(*[F.lit(p) for p in RUN_PHIS]))).withColumn("y", autoregression.fitted(F.col("phi")))
-    found = tapers.run_divergences(rows, RUN, RUN_BANDS, ("series_id", "phi"), RUN_COUNT, RUN_STEP)
+    found = autoregression.run_fits(event_series(spark, d), RUN_PHIS, RUN, RUN_BANDS, RUN_COUNT, RUN_STEP)
     return values(found, ("series_id", "phi", "nw", "runs"), ix=F.col("ix"), iy=F.col("iy"), ixy=F.col("ixy"), j=F.col("j"))
 
 

@@ -17,7 +17,7 @@ from lumachron.functions.numeric import TAU
 from lumachron.operators.blocks import ORDER, blocked, same, written
 from lumachron.operators.divergence import BETA
 from lumachron.operators.moments import COUNT, STEP
-from lumachron.operators.tapers import band_integrals, deviations, tapers_at, wave_components
+from lumachron.operators.tapers import band_integrals, deviations, run_integrals, tapers_at, wave_components
 
 
 def previous(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -264,16 +264,17 @@ def simulated(times: DataFrame, phi: float, seed: int = 1) -> DataFrame:
 BLOCKS_A_FILE, ROWS_AT_ONCE = 16, 1024
 
 
-def packed(times: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks (series_id, block, o: t and row_id in order), few to a file and in order; and series_id, block, since (the time before the block), start
-    (rows before it), n (rows of the series). Both written."""
-    rows = blocked(times.select("series_id", F.col("t").cast("double").alias("t"), "row_id"))
-    lists = written(rows.groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("t", "row_id"))).alias("o")), "lists")  # bounded by a block
-    ends = written(lists.select("series_id", "block", F.size("o").alias("rows"), F.element_at("o", -1)["t"].alias("end")), "ends")
+def packed(times: DataFrame, values: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Blocks (series_id, block, o: t, row_id and values in order), few to a file and in order; and series_id, block, since and values (of the row before the
+    block), start (rows before it), n (rows of the series). Both written."""
+    rows = blocked(times.select("series_id", F.col("t").cast("double").alias("t"), "row_id", *values))
+    lists = written(rows.groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("t", "row_id", *values))).alias("o")), "lists")  # bounded by a block
+    ends = written(lists.select("series_id", "block", F.size("o").alias("rows"), F.element_at("o", -1).alias("end")), "ends")
     files = max(rows.sparkSession.sparkContext.defaultParallelism, -(-ends.count() // BLOCKS_A_FILE))
     w = Window.partitionBy("series_id")
     upto = F.sum("rows").over(w.orderBy("block")) - F.col("rows")
-    heads = ends.select("series_id", "block", F.lag("end").over(w.orderBy("block")).alias("since"), upto.alias("start"), F.sum("rows").over(w).alias("n"))
+    last = F.lag("end").over(w.orderBy("block"))
+    heads = ends.select("series_id", "block", last["t"].alias("since"), *[last[v].alias(v) for v in values], upto.alias("start"), F.sum("rows").over(w).alias("n"))
     return written(lists.repartitionByRange(files, "series_id", "block").sortWithinPartitions("series_id", "block"), "packed"), written(heads, "heads")
 
 
@@ -504,6 +505,83 @@ def sweep(times: DataFrame, phis: Iterable[float], widths: Iterable[int] = (2, 3
     return rows.select("series_id", at(F.array(*[F.lit(p) for p in phis])).alias("true_phi"), "nw", at("best").alias("phi"), "ix", "iy", "ixy", j.alias("j"))
 
 
+def run_fits(series: DataFrame, phis: Iterable[float], length: int, widths: tuple[int, ...], count: int = COUNT, step: float = STEP) -> DataFrame:
+    """series_id, phi, nw, runs, ix, iy, ixy, j: multitaper divergences of standardised values from their autoregressive fit for each of phis, by `runs` of
+    so many rows, averaged over a series' runs.
+
+    A block's own runs are worked out where it is, and leave as sums by phi and width; only rows of runs that blocks cut are brought together.
+    """
+    phis, widths = [float(p) for p in phis], tuple(widths)
+    blocks, heads = packed(series.select("series_id", "t", "row_id", F.col("x").cast("double").alias("x")), ("x",))
+    stats = written(blocks.select("series_id", F.explode("o.x").alias("x")).groupBy("series_id").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")), "stats")
+    heads = same(heads.withColumnRenamed("x", "before"), stats, ["series_id"])
+    told = [c for c in heads.columns if c != "series_id"]
+    rows = same(blocks, heads, ["series_id", "block"]).select("series_id", *told, F.posexplode("o").alias("place", "r"))
+    rows = rows.select("series_id", "place", "r.t", "r.x", *[F.when(F.col("place") == 0, F.col(c)).alias(c) for c in told])
+    sums, cut = ["phi", "nw", "runs", "ix", "iy", "ixy"], ["run", "rows", "i", "t", "x", "gap", "before"]
+
+    def counted(id_: pa.Array, t: np.ndarray, x: np.ndarray, gap: np.ndarray, before: np.ndarray) -> list[pa.Array]:
+        """Sums over runs (runs x rows), a row a phi and width."""
+        total = run_integrals(t, x, np.stack([p**gap * before for p in phis]), widths, count, step).reshape(-1, 3)
+        fixed = [id_.take(pa.array([0] * len(total), pa.int32())), pa.array(np.repeat(phis, len(widths))), pa.array(np.tile(widths, len(phis)), pa.int32())]
+        return [*fixed, pa.array([len(t)] * len(total), pa.int64()), *map(pa.array, total.T)]
+
+    def of_block(head: dict, t: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sd = math.nan if head["sd"] is None else head["sd"]
+        with np.errstate(all="ignore"):
+            x = (x - head["mean"]) / sd
+            first = 0.0 if head["since"] is None else (head["before"] - head["mean"]) / np.float64(sd)
+        gap, before = np.diff(t, prepend=-math.inf if head["since"] is None else head["since"]), np.concatenate([[first], x[:-1]])
+        start, n = head["start"], head["n"]
+        size, last, end = min(length, n), max(-(-n // length) - 1, 0), start + len(t)
+        run = np.unique([last, *range(start // length, min(last, end // length) + 1)])
+        at = np.maximum(np.minimum(run * length, n - length), 0)
+        run, at = run[(at < end) & (at + size > start)], at[(at < end) & (at + size > start)]
+        own = (at >= start) & (at + size <= end)
+        if own.any():
+            r = (at[own] - start)[:, None] + np.arange(size)
+            found = counted(head["id"], t[r], x[r], gap[r], before[r])
+            yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(found[0]), k) for k in kinds)], ["series_id", *sums, *cut])
+        for number, begin in zip(run[~own].tolist(), at[~own].tolist()):
+            r = slice(max(begin - start, 0), min(begin + size, end) - start)
+            m = r.stop - r.start
+            i = np.arange(r.start, r.stop) + start - begin
+            values = [pa.array([number] * m, pa.int64()), pa.array([size] * m, pa.int32()), pa.array(i.astype(np.int32)), *(pa.array(v[r]) for v in (t, x, gap, before))]
+            yield pa.RecordBatch.from_arrays([repeated(head, m), *(pa.nulls(m, k) for k in (pa.float64(), pa.int32(), pa.int64(), *[pa.float64()] * 3)), *values], ["series_id", *sums, *cut])
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = {}, []
+        for batch in batches:
+            place, t, x = (np.asarray(batch.column(c)) for c in ("place", "t", "x"))
+            cuts = sorted({0, len(t), *np.flatnonzero(place == 0).tolist()})
+            for a, b in zip(cuts, cuts[1:]):
+                if place[a] == 0:
+                    if held:
+                        yield from of_block(head, *(np.concatenate(v) for v in zip(*held)))
+                    head, held = {c: batch.column(c)[a].as_py() for c in told}, []
+                    head["id"] = batch.column("series_id").slice(a, 1)
+                held.append((t[a:b], x[a:b]))
+        if held:
+            yield from of_block(head, *(np.concatenate(v) for v in zip(*held)))
+
+    def of_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                values = (np.asarray(batch.column(c)[k].values)[None] for c in ("t", "x", "gap", "before"))
+                yield pa.RecordBatch.from_arrays(counted(batch.column(0).slice(k, 1), *values), ["series_id", *sums])
+
+    kind = dict(rows.dtypes)["series_id"]
+    of_sums = f"series_id {kind}, phi double, nw int, runs bigint, ix double, iy double, ixy double"
+    found = written(rows.mapInArrow(by_block, f"{of_sums}, run bigint, rows int, i int, t double, x double, gap double, before double"), "runs")
+    lists = found.where("run is not null").groupBy("series_id", "run").agg(F.array_sort(F.collect_list(F.struct("i", "t", "x", "gap", "before"))).alias("o"))  # a run's rows
+    mended = lists.select("series_id", "o.t", "o.x", "o.gap", "o.before").mapInArrow(of_cut, of_sums)
+    every = found.where("run is null").select("series_id", *sums).union(mended).groupBy("series_id", "phi", "nw")
+    means = every.agg(F.sum("runs").alias("runs"), *[(F.sum(c) / F.sum("runs")).alias(c) for c in ("ix", "iy", "ixy")])
+    return means.withColumn("j", F.lit(BETA / TAU) * (F.col("ix") + F.col("iy") - 2 * F.col("ixy")))
+
+
 def folded(series: DataFrame, frequency: float) -> DataFrame:
     """series with phase in [0, 1): cycles since the series' first time, whole cycles dropped."""
     first = series.groupBy("series_id").agg(F.min("t").alias("first"))

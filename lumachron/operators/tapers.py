@@ -219,3 +219,34 @@ def run_divergences(rows: DataFrame, length: int, widths: tuple[int, ...], keys:
     level = same(cut, means, list(own)).withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
     each = tapered_divergences(level, {nw: 2 * nw for nw in widths}, own, count, step)
     return each.groupBy(*keys, "nw").agg(F.count("*").alias("runs"), *[F.avg(c).alias(c) for c in ("ix", "iy", "ixy", "j")])
+
+
+#: Runs that are worked on at once.
+RUNS_AT_ONCE = 32
+
+
+def run_integrals(t: np.ndarray, x: np.ndarray, ys: np.ndarray, widths: tuple[int, ...], count: int, step: float) -> np.ndarray:
+    """fits x widths x 3: Ix, Iy and Ixy of runs (runs x rows) against each of their fits (fits x runs x rows), averaged over tapers and summed over runs.
+
+    By observation throughout: values are demeaned, tapered and standardised, and components are sums of cosines and sines of shifted times."""
+    length, omega = t.shape[1], TAU * step * np.arange(1, count + 1)
+    drawn = [tapers_at(np.arange(1, length + 1), length, 2 * nw, nw) for nw in widths]
+    starts, v = np.cumsum([0, *(d.shape[1] for d in drawn)]), np.concatenate(drawn, 1)
+    total = np.zeros((len(ys), len(widths), 3))
+    with np.errstate(all="ignore"):
+        for a in range(0, len(t), RUNS_AT_ONCE):
+            at = slice(a, a + RUNS_AT_ONCE)
+            values = np.concatenate([x[None, at], ys[:, at]])
+            under = (values - values.mean(2, keepdims=True))[..., None] * v
+            under -= under.mean(2, keepdims=True)
+            under /= np.sqrt((under * under).sum(2, keepdims=True) / (length - 1 if length > 1 else np.nan))
+            angle = omega[:, None] * t[at, None, :]
+            c, s = np.cos(angle), np.sin(angle)
+            shift = (omega * np.arctan((2 * c * s).sum(2) / (2 * c * c - 1).sum(2)) / TAU)[..., None]
+            c, s = np.cos(shift) * c + np.sin(shift) * s, np.sin(shift) * c - np.cos(shift) * s
+            flat = under.transpose(1, 2, 0, 3).reshape(len(t[at]), length, -1)
+            parts = [((w @ flat) / np.sqrt((w * w).sum(2))[..., None]).reshape(-1, count, len(values), v.shape[1]).transpose(2, 0, 3, 1) for w in (c, s)]
+            for k in range(len(ys)):
+                each = band_integrals((parts[0][0], parts[1][0]), (parts[0][k + 1], parts[1][k + 1]), step)
+                total[k] += np.stack([each[..., i:j].mean(2).sum(1) for i, j in zip(starts, starts[1:])])
+    return total

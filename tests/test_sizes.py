@@ -97,3 +97,35 @@ def test_shocks_are_those_of_rows(spark):
     hashes = [F.xxhash64(F.lit(6 + k), "series_id", "t", "row_id").alias(f"h{k}") for k in (0, 1)]
     got = rows.select(autoregression.noise(3).alias("e"), *hashes).toPandas()
     assert autoregression.shocks(got.h0.to_numpy(), got.h1.to_numpy(), [0.2, 0.985])[:, 1] == pytest.approx(got.e.to_numpy(), rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("rows_a_block", [100, 100_000])
+def test_runs_leave_tasks_as_sums(spark, monkeypatch, dense_events, rows_a_block):
+    """Equal to the SQL, also where blocks cut runs, and times are equal or close; what is written is not more than the rows."""
+    tables, write = {}, autoregression.written
+
+    def counted(df, name):
+        found = write(df, name)
+        tables[name] = found.count()
+        return found
+
+    monkeypatch.setattr(blocks, "ROWS_A_BLOCK", rows_a_block)
+    for module in (autoregression, tapers):
+        monkeypatch.setattr(module, "written", counted)
+    got, want = registry.QUERIES["multitaper_runs"](spark, dense_events).toPandas(), from_sql("multitaper_runs", dense_events)
+    assert max(tables.values()) <= 3500
+    got, want = (x.sort_values(["series_id", "phi", "nw"]).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False, rtol=0, atol=2e-6)
+
+
+def test_runs_of_short_and_null_series(spark):
+    """As the general operator has them: a short series is one run, a null key is a series."""
+    rng = np.random.default_rng(4)
+    rows = [(s, float(t), float(x), k) for s, n in (("a", 40), (None, 25), ("b", 5), ("c", 16)) for k, (t, x) in enumerate(zip(np.sort(rng.uniform(0, 90, n)), rng.normal(size=n)))]
+    series = spark.createDataFrame(rows, "series_id string, t double, x double, row_id long").repartition(3)
+    got = autoregression.run_fits(series, (0.2, 0.8), 8, (2,), 9, 0.03).toPandas()
+    fits = blocks.numbered(autoregression.lagged(autoregression.standardised(series))).withColumn("phi", F.explode(F.array(F.lit(0.2), F.lit(0.8))))
+    want = tapers.run_divergences(fits.withColumn("y", autoregression.fitted(F.col("phi"))), 8, (2,), ("series_id", "phi"), 9, 0.03).toPandas()
+    got, want = (x.fillna({"series_id": "-"}).sort_values(["series_id", "phi"]).reset_index(drop=True) for x in (got, want))
+    assert len(got) == 8 and got[got.series_id == "b"].runs.tolist() == [1, 1]
+    pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False, rtol=1e-8, atol=1e-10)
