@@ -261,21 +261,22 @@ def simulated(times: DataFrame, phi: float, seed: int = 1) -> DataFrame:
 
 
 #: Blocks of a file of packed blocks, and rows that are worked on at once under tapers.
-BLOCKS_A_FILE, ROWS_AT_ONCE = 16, 1024
+BLOCKS_A_FILE, ROWS_AT_ONCE = 8, 1024
 
 
 def packed(times: DataFrame, values: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Blocks (series_id, block, o: t, row_id and values in order), few to a file and in order; and series_id, block, since and values (of the row before the
     block), start (rows before it), n (rows of the series). Both written."""
     rows = blocked(times.select("series_id", F.col("t").cast("double").alias("t"), "row_id", *values))
-    lists = written(rows.groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("t", "row_id", *values))).alias("o")), "lists")  # bounded by a block
-    ends = written(lists.select("series_id", "block", F.size("o").alias("rows"), F.element_at("o", -1).alias("end")), "ends")
+    row = F.struct("t", "row_id", *values)
+    ends = written(rows.groupBy("series_id", "block").agg(F.count("*").alias("rows"), F.max_by(row, F.struct(*ORDER)).alias("end")), "ends")
     files = max(rows.sparkSession.sparkContext.defaultParallelism, -(-ends.count() // BLOCKS_A_FILE))
+    lists = rows.repartitionByRange(files, "series_id", "block").groupBy("series_id", "block").agg(F.array_sort(F.collect_list(row)).alias("o"))  # bounded by a block
     w = Window.partitionBy("series_id")
     upto = F.sum("rows").over(w.orderBy("block")) - F.col("rows")
     last = F.lag("end").over(w.orderBy("block"))
     heads = ends.select("series_id", "block", last["t"].alias("since"), *[last[v].alias(v) for v in values], upto.alias("start"), F.sum("rows").over(w).alias("n"))
-    return written(lists.repartitionByRange(files, "series_id", "block").sortWithinPartitions("series_id", "block"), "packed"), written(heads, "heads")
+    return written(lists.sortWithinPartitions("series_id", "block"), "packed"), written(heads, "heads")
 
 
 def streamed(blocks: DataFrame, heads: DataFrame, seed: int) -> DataFrame:
